@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,10 +25,8 @@ def running_counts(responses: DataFrame) -> DataFrame:
 
 def with_percent(counts: DataFrame) -> DataFrame:
     """Share of all rows; applied to each emitted result, since it needs the grand total."""
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.crossJoin(total).select(
-        EXPECTED, ACTUAL, "count", percent(F.col("count"), F.col("total")).alias("percent")
-    )
+    total = F.sum("count").over(Window.partitionBy())
+    return counts.select(EXPECTED, ACTUAL, "count", percent(F.col("count"), total).alias("percent"))
 
 
 def follow_log(spark: SparkSession, log_dir: str, out: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
