@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.labels import CONTAINS_BUG, NO_BUG
 from ..functions.masking import KINDED, PLAIN, mask, unmask
 from ..functions.paths import is_system_verilog, output_folder, suffix
@@ -103,16 +104,15 @@ def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(normalized_lines(F.col("text"))).alias("line_no", "line")
+    lines = unnest(
+        documents(spark, sf_dir), normalized_lines(F.col("text")), "doc_id", item="line", pos="line_no"
     )
     return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
 def code_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = view(spark, sf_dir, "reviews", "doc_id").select(
-        "uuid", F.posexplode(code_blocks(F.col("llm_response"))).alias("block_no", "block")
-    )
+    reviews = view(spark, sf_dir, "reviews", "doc_id")
+    blocks = unnest(reviews, code_blocks(F.col("llm_response")), "uuid", item="block", pos="block_no")
     return blocks.select("uuid", F.col("block_no").cast("bigint").alias("block_no"), "block")
 
 
@@ -124,9 +124,8 @@ def json_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_entry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "events", "event_id").select(
-        "event_id", F.explode(json_entries(F.col("props"))).alias("e")
-    )
+    events = table(spark, sf_dir, "events", "event_id")
+    entries = unnest(events, json_entries(F.col("props")), "event_id", item="e")
     return entries.select("event_id", "e.key", "e.value", "e.is_text")
 
 
@@ -163,7 +162,7 @@ def rename_prompt_dedent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("name"))
+    words = unnest(documents(spark, sf_dir), F.split("text", "[ \n]+"), item="name").drop("pos")
     name = F.col("name")
     return (
         words.groupBy("name")
@@ -173,11 +172,8 @@ def valid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = (
-        table(spark, sf_dir, "documents")
-        .select(F.explode(F.array_distinct(identifier_tokens(F.col("text")))).alias("name"))
-        .distinct()
-    )
+    tokens = F.array_distinct(identifier_tokens(F.col("text")))
+    names = unnest(documents(spark, sf_dir), tokens, item="name").select("name").distinct()
     words = spark.createDataFrame([(word,) for word in RESERVED], "name string")
     return renaming.exclude_words(names, words)
 
@@ -228,12 +224,12 @@ def _renamed_by_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renaming.judge_mapping_table(
-        view(spark, sf_dir, "mappings"), table(spark, sf_dir, "documents").select("doc_id", "text")
+        view(spark, sf_dir, "mappings"), documents(spark, sf_dir).select("doc_id", "text")
     ).select("doc_id", F.col("ord").cast("bigint").alias("ord"), "old_name", "new_name", "reason")
 
 
 def mapping_accept_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = _renamed_by_response(spark, sf_dir).select("doc_id", F.explode("verdicts").alias("v"))
+    verdicts = unnest(_renamed_by_response(spark, sf_dir), F.col("verdicts"), "doc_id", item="v")
     return verdicts.select(
         "doc_id", F.col("v.ord").cast("bigint").alias("ord"), "v.old_name", "v.new_name", "v.reason"
     )
@@ -248,7 +244,7 @@ def rename_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
     accepted = mapping_accept(spark, sf_dir).where(F.col("reason").isNull())
     return renaming.rename_by_table(texts, accepted)
 

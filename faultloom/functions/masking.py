@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bind
+from .arrays import bind
 
 
 @dataclass(frozen=True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind
 from .labels import NO_MODIFICATIONS
-from .text import bind, strip
+from .text import strip
 
 # The two detection prompts and the renaming prompt, word for word.
 DETECTION_V1 = """
@@ -103,10 +104,8 @@ def rename_prompt(content: Column) -> Column:
 
     def dedented(prompt: Column, by: Column) -> Column:
         tidy = F.regexp_replace(prompt, r"(?md)^[ \t]+$", "")
-        moved = tidy
-        for width in range(1, RENAME_PROMPT_INDENT + 1):
-            moved = F.when(by == width, F.regexp_replace(tidy, rf"(?md)^ {{{width}}}", "")).otherwise(moved)
-        return strip(moved)
+        indent = F.concat(F.lit("(?md)^ {"), by.cast("string"), F.lit("}"))
+        return strip(F.when(by > 0, F.regexp_replace(tidy, indent, F.lit(""))).otherwise(tidy))
 
     return bind(margin, lambda by: dedented(_fill(RENAME_PROMPT, content), by))
 

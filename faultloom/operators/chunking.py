@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind, unnest
 from ..functions.masking import PLAIN, mask, unmask
-from ..functions.text import WHITESPACE, bind
+from ..functions.text import WHITESPACE
 
 # Block and chunk patterns in order of precedence, kinds never moved, the buckets of
 # the medium level and the single bucket of the aggressive one. W stands for a word character and S
@@ -216,16 +217,15 @@ def with_modules(documents: DataFrame, *, text: str = "text") -> DataFrame:
 def module_table(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per module-like block of the masked texts."""
     found = with_modules(documents.select(key, text), text=text)
-    return found.select(key, F.explode("modules").alias("m")).select(
+    return unnest(found, F.col("modules"), key, item="m").select(
         key, "m.module_no", "m.module_name", F.col("m.text").alias("module_text")
     )
 
 
 def chunk_table(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per chunk: ``key, module_no, module_name, chunk_no, kind, text, pinned, chunk_id``."""
-    chunks = module_table(documents, key=key, text=text).select(
-        key, "module_no", "module_name", F.explode(split_chunks(F.col("module_text"))).alias("c")
-    )
+    blocks = module_table(documents, key=key, text=text)
+    chunks = unnest(blocks, split_chunks(F.col("module_text")), key, "module_no", "module_name", item="c")
     return chunks.select(key, "module_no", "module_name", "c.*")
 
 
@@ -236,12 +236,8 @@ def placement_table(
     placed = module_table(documents, key=key, text=text).withColumn(
         "_chunks", split_chunks(F.col("module_text"))
     )
-    slots = placed.select(
-        key,
-        "module_no",
-        "module_name",
-        F.explode(reorder_chunks(F.col("_chunks"), seed=seed, level=level)).alias("p"),
-    )
+    reordered = reorder_chunks(F.col("_chunks"), seed=seed, level=level)
+    slots = unnest(placed, reordered, key, "module_no", "module_name", item="p")
     return slots.select(key, "module_no", "module_name", "p.*")
 
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, normalized_lines, split_lines_keeping_ends
+from ..functions.arrays import bind, unnest
+from ..functions.text import normalized_lines, split_lines_keeping_ends
 
 # Fixed value: equal runs of at least this many lines separate two chunks.
 CONTEXT_LINES = 3
@@ -51,7 +52,9 @@ def matching_runs(old_lines: Column, new_lines: Column, *, autojunk: bool) -> Co
             ),
         ).otherwise(F.array().cast("array<struct<i:int,j:int,n:int>>"))
 
-    return bind(kernel(old_lines, new_lines), triples)
+    # Declared nondeterministic so that filters on its result are not pushed below it, which would run
+    # the kernel twice.
+    return bind(kernel.asNondeterministic()(old_lines, new_lines), triples)
 
 
 def _gaps(runs: Column, old_size: Column, new_size: Column) -> Column:
@@ -160,7 +163,8 @@ def chunk_table(
 ) -> DataFrame:
     """Long form: one row per ``(key, chunk_no)``."""
     chunks = with_diff_chunks(pairs.select(key, old, new), old, new, mode=mode)
-    return chunks.select(key, F.posexplode("chunks").alias("chunk_no", "chunk")).select(
+    rows = unnest(chunks, F.col("chunks"), key, item="chunk", pos="chunk_no")
+    return rows.select(
         key, F.col("chunk_no").cast("bigint").alias("chunk_no"), "chunk.old_version", "chunk.new_version"
     )
 
@@ -177,10 +181,8 @@ def opcode_table(
     normalized = mode == NORMALIZED
     to_lines = normalized_lines if normalized else split_lines_keeping_ends
     lined = pairs.select(key, to_lines(F.col(old)).alias("_old"), to_lines(F.col(new)).alias("_new"))
-    ops = lined.select(
-        key,
-        F.size("_old").alias("n_old"),
-        F.size("_new").alias("n_new"),
-        matching_runs(F.col("_old"), F.col("_new"), autojunk=not normalized).alias("runs"),
-    ).select(key, F.posexplode(opcodes(F.col("runs"), F.col("n_old"), F.col("n_new"))).alias("pos", "op"))
+    matched = lined.withColumn(
+        "_runs", matching_runs(F.col("_old"), F.col("_new"), autojunk=not normalized)
+    )
+    ops = unnest(matched, opcodes(F.col("_runs"), F.size("_old"), F.size("_new")), key, item="op")
     return ops.select(key, F.col("pos").cast("bigint").alias("pos"), "op.*")

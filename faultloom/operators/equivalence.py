@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
 from ..functions.masking import BASED_LITERAL
-from ..functions.text import IDENTIFIER, WHITESPACE, bind
+from ..functions.text import IDENTIFIER, WHITESPACE
 
 # Verdicts.
 SAME, DIFFERENT, INPUT_MISSING = 0, 1, 2

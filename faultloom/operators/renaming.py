@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import IDENTIFIER_CHARS, bind, identifier_tokens, is_identifier, json_entries
+from ..functions.arrays import bind, unnest
+from ..functions.text import IDENTIFIER_CHARS, identifier_tokens, is_identifier
 from ..functions.words import MASK_PREFIX, is_candidate
 
 # Why a proposed pair is not applied, in the order of the tests.
@@ -113,25 +114,51 @@ def rename_tokens(text: Column, mapping: Column) -> Column:
     return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(renamed)
 
 
+# Pairs brought to a document's row at a time; longer mappings take several rows.
+PAIRS_PER_SLICE = 1000
+
+
+def _pairs_with_presence(pairs: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Pair slices ``key, pairs, present``: which old names occur in the document, decided on its row.
+
+    What is shuffled is one row per document with its distinct words, not one row per word, and the
+    pairs travel in bounded slices.
+    """
+    slices = pairs.groupBy(key, F.floor(F.col("ord") / PAIRS_PER_SLICE).alias("_slice")).agg(
+        F.collect_list(F.struct("ord", "old_name", "new_name")).alias("pairs")
+    )
+    words = documents.select(key, F.array_distinct(identifier_tokens(F.col(text))).alias("words"))
+    names = F.transform("pairs", lambda p: p["old_name"])
+    return slices.join(words, key, "left").select(
+        key, "pairs", F.coalesce(F.array_intersect(names, "words"), F.array().cast("array<string>")).alias("present")
+    )
+
+
 def judge_mapping_table(
     mappings: DataFrame, documents: DataFrame, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Judge a long mapping table ``(key, ord, old_name, new_name)`` against its documents.
 
-    Same rules as :func:`judge_entries`, for mappings that do not sit on their document's row. The
-    vocabulary is made distinct on the document's own row, so the join moves each word of a document
-    once and its key ``(document, word)`` has no heavy values.
+    Same rules as :func:`judge_entries`, for mappings that do not sit on their document's row. ``ord``
+    numbers a document's pairs from 0.
     """
-    vocabulary = documents.select(
-        key, F.explode(F.array_distinct(identifier_tokens(F.col(text)))).alias("old_name")
-    ).withColumn("present", F.lit(True))
-    judged = mappings.join(vocabulary, [key, "old_name"], "left").withColumn(
-        "reason",
-        _first_reason(F.col("old_name"), F.col("new_name"), F.coalesce("present", F.lit(False))),
+    placed = _pairs_with_presence(mappings, documents, key, text)
+    judged = F.transform(
+        "pairs",
+        lambda p: F.struct(
+            p["ord"].alias("ord"),
+            p["old_name"].alias("old_name"),
+            p["new_name"].alias("new_name"),
+            _first_reason(
+                p["old_name"], p["new_name"], F.array_contains("present", p["old_name"])
+            ).alias("reason"),
+        ),
     )
-    # One group holds a document's claims on one name: no more than one response contains.
+    rows = unnest(placed, judged, key, item="p").select(key, "p.*")
+    # One group holds a document's claims on one name: no more than one response contains. The rows
+    # are already partitioned by document, so the window adds no shuffle.
     claims = Window.partitionBy(key, "new_name", F.col("reason").isNull()).orderBy("ord")
-    return judged.select(
+    return rows.select(
         key,
         "ord",
         "old_name",
@@ -147,21 +174,20 @@ def judge_mapping_table(
 def rename_by_table(
     documents: DataFrame, accepted: DataFrame, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Rename documents by a long table of accepted pairs ``(key, old_name, new_name)``.
+    """Rename documents by a long table of accepted pairs ``(key, ord, old_name, new_name)``.
 
-    The table may list far more pairs than a document uses: only those in its vocabulary are brought
-    to its row, as a map that is never larger than the text's own vocabulary.
+    The table may list far more pairs than a document uses: only those whose old name occurs in it
+    are put into its map, which is therefore never larger than the text's own vocabulary.
     """
-    vocabulary = documents.select(
-        key, F.explode(F.array_distinct(identifier_tokens(F.col(text)))).alias("old_name")
-    )
-    used = (
-        vocabulary.join(accepted.select(key, "old_name", "new_name"), [key, "old_name"], "inner")
+    placed = _pairs_with_presence(accepted, documents, key, text)
+    used = F.filter("pairs", lambda p: F.array_contains("present", p["old_name"]))
+    mapping = (
+        placed.select(key, F.transform(used, lambda p: F.struct(p["old_name"], p["new_name"])).alias("used"))
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("old_name", "new_name"))).alias("_mapping"))
+        .agg(F.map_from_entries(F.flatten(F.collect_list("used"))).alias("_mapping"))
     )
     return (
-        documents.join(used, key, "left")
+        documents.join(mapping, key, "left")
         .withColumn(text, rename_tokens(F.col(text), F.col("_mapping")))
         .drop("_mapping")
     )
@@ -178,15 +204,3 @@ def exclude_words(names: DataFrame, words: DataFrame, *, on: str = "name") -> Da
     """Drop names listed in a caller's own word table (the built-in list is a plain predicate)."""
     return names.join(words.select(on).distinct(), on, "left_anti")
 
-
-__all__ = [
-    "accepted_map",
-    "exclude_words",
-    "has_untyped_value",
-    "json_entries",
-    "judge_entries",
-    "judge_mapping_table",
-    "reason_counts",
-    "rename_by_table",
-    "rename_tokens",
-]

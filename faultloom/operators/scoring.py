@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.text import code_blocks, collapse_whitespace
-from ..sizing import spread
+from ..sizing import balance, spread
 from .diffs import with_diff_chunks
 from .similarity import best_similarity
 
@@ -48,26 +49,33 @@ def report_blocks(reports: DataFrame, *, keys: list[str], text: str = "bug_repor
 
 
 def joined_slices(
-    reports: DataFrame, pairs: DataFrame, *, report_key: str, pair_key: str, text: str, base: str, buggy: str
+    reports: DataFrame,
+    pairs: DataFrame,
+    *,
+    report_key: str,
+    pair_key: str,
+    text: str,
+    base: str,
+    buggy: str,
+    scorable_only: bool = False,
 ) -> DataFrame:
     """Reports joined to their pair's change, split into slices of at most ``SIDES_PER_SLICE`` sides.
 
     Each pair is diffed once however many reports refer to it, and only blocks and sides travel
     through the join, not the source texts. The join is left to AQE, which splits a pair key that
-    many reports share; the slices split a report whose change is large.
+    many reports share; the slices split a report whose change is large. ``scorable_only`` leaves out
+    reports without blocks or whose pair has no change.
     """
     sides = pair_sides(pairs, key=pair_key, base=base, buggy=buggy)
     blocks = report_blocks(reports, keys=list(dict.fromkeys([report_key, pair_key])), text=text)
-    joined = blocks.join(sides, pair_key, "inner")
-    steps = F.sequence(F.lit(0), F.greatest(F.size("sides") - 1, F.lit(0)), F.lit(SIDES_PER_SLICE))
-    return joined.select(
-        report_key,
-        "blocks",
-        F.size("sides").alias("n_diffs"),
-        F.posexplode(F.transform(steps, lambda s: F.slice("sides", s + 1, SIDES_PER_SLICE))).alias(
-            "slice_no", "slice"
-        ),
-    )
+    joined = blocks.join(sides, pair_key, "inner").withColumn("n_diffs", F.size("sides"))
+    steps = F.sequence(F.lit(0), F.greatest(F.col("n_diffs") - 1, F.lit(0)), F.lit(SIDES_PER_SLICE))
+    slices = F.transform(steps, lambda s: F.slice("sides", s + 1, SIDES_PER_SLICE))
+    if scorable_only:
+        # Part of the generator rather than a filter: a filter would be pushed below the join and
+        # compute blocks and sides a second time.
+        slices = F.when((F.size("blocks") > 0) & (F.col("n_diffs") > 0), slices)
+    return unnest(joined, slices, report_key, "blocks", "n_diffs", item="slice", pos="slice_no")
 
 
 def similarity_table(
@@ -83,14 +91,18 @@ def similarity_table(
 ) -> DataFrame:
     """Best similarity of every diff chunk of every report that has blocks."""
     slices = joined_slices(
-        reports, pairs, report_key=report_key, pair_key=pair_key, text=text, base=base, buggy=buggy
-    ).where((F.size("blocks") > 0) & (F.col("n_diffs") > 0))
-    scored = spread(slices, report_key, "slice_no").select(
-        report_key,
-        "slice_no",
-        F.posexplode(best_similarity(F.col("slice"), F.col("blocks"), autojunk=autojunk)).alias(
-            "n", "best_similarity"
-        ),
+        reports,
+        pairs,
+        report_key=report_key,
+        pair_key=pair_key,
+        text=text,
+        base=base,
+        buggy=buggy,
+        scorable_only=True,
+    )
+    best = best_similarity(F.col("slice"), F.col("blocks"), autojunk=autojunk)
+    scored = unnest(
+        balance(slices, report_key, "slice_no"), best, report_key, "slice_no", item="best_similarity", pos="n"
     )
     return scored.select(
         report_key,
@@ -128,7 +140,7 @@ def report_scores(
         F.lit(0.0),
         lambda acc, s: acc + F.when(s >= threshold, 1.0).otherwise(s / threshold),
     )
-    scored = spread(slices, report_key, "slice_no").select(
+    scored = balance(slices, report_key, "slice_no").select(
         report_key,
         "n_diffs",
         F.size("blocks").alias("n_blocks"),

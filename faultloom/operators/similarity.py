@@ -50,4 +50,5 @@ def best_similarity(
 
         return pd.Series([best(s, b) for s, b in zip(side_lists, block_lists)], dtype=object)
 
-    return kernel(sides, blocks)
+    # Declared nondeterministic so that filters on its result do not run it twice.
+    return kernel.asNondeterministic()(sides, blocks)

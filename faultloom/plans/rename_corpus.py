@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import unnest
 from ..functions.masking import KINDED, mask, unmask
 from ..functions.prompts import rename_prompt
 from ..functions.text import first_json_object, json_entries
@@ -77,7 +78,7 @@ def rename_corpus(
 def rename_summary(renamed: DataFrame) -> DataFrame:
     """Documents per status, and over all documents the pairs accepted and dropped by reason."""
     documents = renamed.groupBy(F.lit("document").alias("what"), F.col("status").alias("outcome"))
-    pairs = renamed.select(F.explode("verdicts").alias("v")).groupBy(
+    pairs = unnest(renamed, F.col("verdicts"), item="v").groupBy(
         F.lit("pair").alias("what"), F.coalesce("v.reason", F.lit("accepted")).alias("outcome")
     )
     count = F.count("*").alias("count")

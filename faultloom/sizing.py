@@ -9,12 +9,11 @@ BYTES_PER_CORE = 64 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a plan, or None where the session does not expose it."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:
+    """Catalyst's size estimate for a plan, or None on sessions that do not expose it (Connect)."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
         return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -30,3 +29,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if size is None or size > cores * BYTES_PER_CORE:
         return df
     return df.repartition(cores * 2, *keys)
+
+
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows ahead of a per-row Python kernel, whatever their size.
+
+    A kernel's cost per byte is far above that of moving the byte, but AQE only sees bytes: it would
+    merge the small partitions of a join into one slow task and leave a hot join key's rows together.
+    The partition count is the session's shuffle setting, so it grows with the cluster.
+    """
+    spark = df.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, 2 * spark.sparkContext.defaultParallelism), *keys)
