@@ -19,8 +19,8 @@ from ..functions.text import WHITESPACE
 _W = r"[\p{L}\p{N}_]"
 _S = WHITESPACE
 MODULE_PATTERN = (
-    rf"(?isU:\b(module|interface|program|package)\b{_S}+([A-Za-z_]{_W}*)\b(.*?)"
-    r"(\bendmodule\b|\bendinterface\b|\bendprogram\b|\bendpackage\b))"
+    rf"(?isU:(?=[mip\x{{131}}])\b(module|interface|program|package)\b{_S}+([A-Za-z_]{_W}*)\b(.*?)"
+    r"(?=e)(\bendmodule\b|\bendinterface\b|\bendprogram\b|\bendpackage\b))"
 )
 CHUNK_PATTERNS = (
     ("generate", r"(?isU:\bgenerate\b.*?\bendgenerate\b)"),
@@ -42,7 +42,10 @@ MEDIUM_BUCKETS = (
 AGGRESSIVE_BUCKET = "aggressive_all"
 LEVELS = ("safe", "medium", "aggressive")
 
-_ANY_CHUNK = "|".join(pattern for _, pattern in CHUNK_PATTERNS)
+# All but the last pattern start with a keyword; looking at its first letter rules out most places
+# before the alternatives are tried one by one.
+_KEYWORD_CHUNK = "|".join(pattern for _, pattern in CHUNK_PATTERNS[:-1])
+_ANY_CHUNK = rf"(?=(?iu:[abfgilprstw]))(?:{_KEYWORD_CHUNK})|{CHUNK_PATTERNS[-1][1]}"
 
 
 def module_texts(text: Column) -> Column:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind
 from ..functions.masking import BASED_LITERAL
-from ..functions.text import IDENTIFIER, WHITESPACE
+from ..functions.text import IDENTIFIER, WHITESPACE_CHARS
 
 # Verdicts.
 SAME, DIFFERENT, INPUT_MISSING = 0, 1, 2
 
-# A based literal is one token, so that a changed digit in 2'd1 counts as a change.
-_TOKEN = rf"{BASED_LITERAL}|[A-Za-z0-9_$]+|[^A-Za-z0-9_$]"
+# Tokens of a source text; whitespace falls between them. A based literal is one token, so that a
+# changed digit in 2'd1 counts as a change.
+_TOKEN = rf"{BASED_LITERAL}|[A-Za-z0-9_$]+|[[^A-Za-z0-9_$]&&[^{WHITESPACE_CHARS}]]"
 _NAME = rf"\A{IDENTIFIER}\z"
 
 
@@ -53,43 +54,43 @@ def dataset_equivalence(gold: DataFrame | None, gate: DataFrame | None) -> DataF
 
 def code_tokens(text: Column) -> Column:
     """Tokens of a source text without whitespace."""
-    return F.filter(
-        F.regexp_extract_all(text, F.lit(_TOKEN), 0), lambda t: ~t.rlike(rf"\A{WHITESPACE}\z")
-    )
+    return F.regexp_extract_all(text, F.lit(_TOKEN), 0)
 
 
 def equal_up_to_renaming(gold: Column, gate: Column) -> Column:
     """True if the token streams agree except for a one-to-one renaming of identifiers.
 
-    Decided on the pair's own row. It is not a proof of equal behaviour: two texts that compute the
-    same in different ways come out different.
+    Decided on the pair's own row: the aligned tokens are made distinct first (tokens hold no space),
+    and only distinct pairs are looked at. It is not a proof of equal behaviour: two texts that
+    compute the same in different ways come out different.
     """
 
-    def same(both: Column) -> Column:
-        left, right = both["l"], both["r"]
-        names = F.filter(
-            F.transform(left, lambda t, i: F.when(t.rlike(_NAME), F.concat_ws(" ", t, F.get(right, i)))),
-            lambda p: p.isNotNull(),
-        )
-        aligned = F.forall(
-            F.transform(
-                left,
-                lambda t, i: F.when(t.rlike(_NAME), F.get(right, i).rlike(_NAME)).otherwise(
-                    t == F.get(right, i)
-                ),
-            ),
-            lambda ok: ok,
+    def same(left: Column, right: Column) -> Column:
+        aligned = F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+        return F.when(F.size(left) == F.size(right), bind(aligned, consistent)).otherwise(False)
+
+    def consistent(pairs: Column) -> Column:
+        fits = F.forall(
+            pairs,
+            lambda p: (old(p) == new(p)) & ~old(p).rlike(_NAME) | old(p).rlike(_NAME) & new(p).rlike(_NAME),
         )
-        return (F.size(left) == F.size(right)) & aligned & bind(names, one_to_one)
+        return fits & bind(F.filter(pairs, lambda p: old(p).rlike(_NAME)), one_to_one)
 
-    def one_to_one(pairs: Column) -> Column:
-        distinct = F.array_distinct(pairs)
-        lefts = F.array_distinct(F.transform(pairs, lambda p: F.split_part(p, F.lit(" "), F.lit(1))))
-        rights = F.array_distinct(F.transform(pairs, lambda p: F.split_part(p, F.lit(" "), F.lit(2))))
-        return (F.size(distinct) == F.size(lefts)) & (F.size(distinct) == F.size(rights))
+    def one_to_one(names: Column) -> Column:
+        olds, news = F.array_distinct(F.transform(names, old)), F.array_distinct(F.transform(names, new))
+        return (F.size(names) == F.size(olds)) & (F.size(names) == F.size(news))
+
+    def old(pair: Column) -> Column:
+        return F.split_part(pair, F.lit(" "), F.lit(1))
+
+    def new(pair: Column) -> Column:
+        return F.split_part(pair, F.lit(" "), F.lit(2))
 
     return F.when(gold == gate, True).otherwise(
-        bind(F.struct(code_tokens(gold).alias("l"), code_tokens(gate).alias("r")), same)
+        bind(
+            F.struct(code_tokens(gold).alias("l"), code_tokens(gate).alias("r")),
+            lambda both: same(both["l"], both["r"]),
+        )
     )
 
 

@@ -32,10 +32,15 @@ def _first_reason(old: Column, new: Column, present: Column) -> Column:
     )
 
 
-def judge_entries(entries: Column, text: Column) -> Column:
+def text_tokens(text: Column) -> Column:
+    """Identifier tokens and the stretches between them; joined they give the text back."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN_OR_GAP), 0)
+
+
+def judge_entries(entries: Column, tokens: Column) -> Column:
     """Judge the pairs of one document: ``array<struct<ord,old_name,new_name,is_text,reason>>``.
 
-    ``entries`` is the output of :func:`json_entries`. Pairs that pass on their own compete for
+    ``entries`` is the output of ``json_entries``, ``tokens`` that of :func:`text_tokens`. Pairs that pass on their own compete for
     their new name, the earliest wins; only then are reserved words and the like taken out, so such
     a pair may still have displaced a later one. ``reason`` is NULL for accepted pairs.
     """
@@ -78,7 +83,7 @@ def judge_entries(entries: Column, text: Column) -> Column:
 
     def with_absent(es: Column) -> Column:
         keys = F.transform(es, lambda e: e["key"])
-        return bind(F.array_except(keys, identifier_tokens(text)), lambda absent: judged(es, absent))
+        return bind(F.array_except(keys, tokens), lambda absent: judged(es, absent))
 
     return bind(entries, with_absent)
 
@@ -102,16 +107,18 @@ def accepted_map(verdicts: Column) -> Column:
     )
 
 
+def rename_token_list(tokens: Column, mapping: Column) -> Column:
+    """Text put together from tokens, each replaced by its new name if it has one."""
+    return F.array_join(
+        F.transform(tokens, lambda token: F.coalesce(F.try_element_at(mapping, token), token)), ""
+    )
+
+
 def rename_tokens(text: Column, mapping: Column) -> Column:
     """Rename whole tokens, all at once: ``{a: b, b: a}`` swaps. An empty mapping changes nothing."""
-    renamed = F.array_join(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(_TOKEN_OR_GAP), 0),
-            lambda token: F.coalesce(F.try_element_at(mapping, token), token),
-        ),
-        "",
+    return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(
+        rename_token_list(text_tokens(text), mapping)
     )
-    return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(renamed)
 
 
 # Pairs brought to a document's row at a time; longer mappings take several rows.

@@ -11,7 +11,13 @@ from ..functions.arrays import unnest
 from ..functions.masking import KINDED, mask, unmask
 from ..functions.prompts import rename_prompt
 from ..functions.text import first_json_object, json_entries
-from ..operators.renaming import accepted_map, has_untyped_value, judge_entries, rename_tokens
+from ..operators.renaming import (
+    accepted_map,
+    has_untyped_value,
+    judge_entries,
+    rename_token_list,
+    text_tokens,
+)
 from ..operators.responses import attach_responses
 
 # Outcome of a document.
@@ -39,7 +45,9 @@ def apply_rename_responses(
     staged = (
         staged.withColumn("_object", first_json_object(F.col(response)))
         .withColumn("_entries", json_entries(F.col("_object")))
-        .withColumn("verdicts", judge_entries(F.col("_entries"), body))
+        # Tokenised once, for the presence test and for the renaming.
+        .withColumn("_tokens", F.when(F.size("_entries") > 0, text_tokens(body)))
+        .withColumn("verdicts", judge_entries(F.col("_entries"), F.col("_tokens")))
         .withColumn("_mapping", accepted_map(F.col("verdicts")))
     )
     # An object that parses but whose values cannot be typed holds a nested value with repeated keys.
@@ -50,13 +58,13 @@ def apply_rename_responses(
         .when(F.coalesce(F.size("_mapping"), F.lit(0)) <= 0, UNCHANGED)
         .otherwise(SUCCEEDED)
     )
-    renamed = rename_tokens(body, F.col("_mapping"))
+    renamed = rename_token_list(F.col("_tokens"), F.col("_mapping"))
     if mask_first:
         renamed = unmask(renamed, hits, KINDED)
     return (
         staged.withColumn("status", status)
         .withColumn("renamed", F.when(F.col("status") == SUCCEEDED, renamed).otherwise(F.col(text)))
-        .drop("_mask", "_object", "_entries", "_mapping")
+        .drop("_mask", "_object", "_entries", "_tokens", "_mapping")
     )
 
 
