@@ -86,10 +86,10 @@ def code_blocks(markdown: Column) -> Column:
             F.transform(nth, block)
         )
 
-    # Texts without any fence skip the line split altogether.
-    return F.when(
-        ~markdown.contains(FENCE), F.array().cast("array<string>")
-    ).otherwise(bind(split_lines(markdown), blocks))
+    # Texts without any fence skip the line split altogether; a NULL has no blocks either.
+    return F.when(markdown.contains(FENCE), bind(split_lines(markdown), blocks)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def is_json_object(candidate: Column) -> Column:
