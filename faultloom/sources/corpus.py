@@ -26,8 +26,7 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> Data
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(
             F.substring(file, F.lit(len(root_path) + 1), F.length(file)).alias("path"),
             F.regexp_replace("value", "\r\n?", "\n").alias("content"),
