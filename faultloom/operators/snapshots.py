@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import output_folder, suffix
 from ..schemas import BRANCH_METADATA, OVERRIDES
+from ..staging import staged
 
 BASE, TIP = "base", "tip"
 
@@ -71,45 +72,57 @@ def branch_names(refs: DataFrame, *, repo: str = "repo", ref: str = "ref_name")
     )
 
 
-def content_id(content: Column) -> Column:
-    """Fingerprint that stands for a content in comparisons, so texts stay out of the shuffle."""
-    return F.sha2(content, 256)
+def content_id(content: Column) -> list[Column]:
+    """Fingerprint that stands for a content in comparisons, so texts stay out of the shuffle.
+
+    120 bits of SHA-256 as two numbers: numbers can be aggregated in hash tables, strings would be
+    sorted.
+    """
+    digest = F.sha2(content, 256)
+    return [
+        F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint").alias(name)
+        for name, start in (("_id1", 1), ("_id2", 16))
+    ]
 
 
 def all_changes(snapshots: DataFrame) -> DataFrame:
-    """Every added, modified or deleted path with its fingerprints.
+    """Every added, modified or deleted path: ``repo, branch, path, change, id1, id2``.
 
-    Both sides are compared in one pre-aggregated grouping by path; the key is a single file, so no
-    key is heavy, and only fingerprints are shuffled.
+    Both sides are compared in one grouping by path; the key is a single file, so no key is heavy,
+    and only fingerprints are shuffled. The ids are those of the content added or deleted.
     """
-    side, fingerprint = F.col("side"), F.col("_id")
+    at_base, at_tip = F.col("side") == BASE, F.col("side") == TIP
+    sides = [("base", at_base), ("tip", at_tip)]
     versions = (
-        snapshots.select("repo", "branch", "path", "side", content_id(F.col("content")).alias("_id"))
+        snapshots.select("repo", "branch", "path", "side", *content_id(F.col("content")))
         .groupBy("repo", "branch", "path")
-        .agg(
-            F.max(F.when(side == BASE, fingerprint)).alias("base_id"),
-            F.max(F.when(side == TIP, fingerprint)).alias("tip_id"),
-        )
+        .agg(*[F.max(F.when(on, F.col(f"_{i}"))).alias(f"{side}_{i}") for side, on in sides for i in ("id1", "id2")])
     )
+    same = F.col("base_id1").eqNullSafe(F.col("tip_id1")) & F.col("base_id2").eqNullSafe(F.col("tip_id2"))
     change = (
-        F.when(F.col("base_id").isNull(), "added").when(F.col("tip_id").isNull(), "deleted").otherwise("modified")
+        F.when(F.col("base_id1").isNull(), "added").when(F.col("tip_id1").isNull(), "deleted").otherwise("modified")
+    )
+    return versions.where(~same).select(
+        "repo",
+        "branch",
+        "path",
+        change.alias("change"),
+        F.coalesce("tip_id1", "base_id1").alias("id1"),
+        F.coalesce("tip_id2", "base_id2").alias("id2"),
     )
-    return versions.where(~F.col("base_id").eqNullSafe(F.col("tip_id"))).withColumn("change", change)
 
 
 def changed_paths(snapshots: DataFrame) -> DataFrame:
     """Changed paths ``repo, branch, path, change``.
 
     A file moved without an edit shows under its new path only: the deleted path is dropped when the
-    same branch adds the same content elsewhere. Moves with edits show both paths.
+    same branch adds the same content elsewhere. Moves with edits show both paths. The changes, short
+    rows without contents, are staged, so that the snapshots are read once.
     """
-    changes = all_changes(snapshots)
-    moved_to = changes.where(F.col("change") == "added").select(
-        "repo", "branch", F.col("tip_id").alias("base_id")
-    )
-    deleted = changes.where(F.col("change") == "deleted").join(
-        moved_to, ["repo", "branch", "base_id"], "left_anti"
-    )
+    changes = staged(all_changes(snapshots), "changes")
+    content = ["repo", "branch", "id1", "id2"]
+    added = changes.where(F.col("change") == "added").select(*content)
+    deleted = changes.where(F.col("change") == "deleted").join(added, content, "left_anti")
     columns = ["repo", "branch", "path", "change"]
     return changes.where(F.col("change") != "deleted").select(*columns).unionByName(deleted.select(*columns))
 

@@ -10,6 +10,7 @@ from ..operators.evaluation import status_counts
 from ..operators.snapshots import branch_metadata, changed_paths, emit_pairs, select_branches
 from ..sources.corpus import write_pairs
 from ..sources.tables import write_three_ways
+from ..staging import staged
 
 
 class PairCorpus(NamedTuple):
@@ -24,9 +25,12 @@ def build_pair_corpus(
 ) -> PairCorpus:
     """Branch decisions, files to write, metadata and run counters.
 
-    ``branches`` carries ``repo, branch, git_repo, base_commit, tip_commit``.
+    ``branches`` carries ``repo, branch, git_repo, base_commit, tip_commit``. The decisions are made
+    on fingerprints and staged, one short row per branch. The contents are then read a second time
+    against that small table, which Catalyst broadcasts when its size allows: no file that is not
+    part of a pair is ever shuffled.
     """
-    selected = select_branches(changed_paths(snapshots), branches, overrides)
+    selected = staged(select_branches(changed_paths(snapshots), branches, overrides), "branches")
     return PairCorpus(
         selected,
         emit_pairs(snapshots, selected),

@@ -1,0 +1,28 @@
+"""Small intermediate results written out and read back.
+
+A result that later steps use more than once, or that decides how a large table is read, is written
+as a table in the cluster's shared checkpoint folder. The read-back plan starts at the files, so it
+survives lost executors without recomputing its inputs, and Catalyst knows its true size: it will
+broadcast it if, and only if, it is small.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder.rstrip("/") if folder else tempfile.mkdtemp(prefix="faultloom-")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` (runs it now) and return it as read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/faultloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

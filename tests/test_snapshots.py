@@ -1,5 +1,6 @@
 import pytest
 from faultloom.operators.snapshots import (
+    all_changes,
     branch_names,
     changed_paths,
     known_overrides,
@@ -63,9 +64,10 @@ def test_changed_paths(snapshots):
 
 
 def test_contents_stay_out_of_the_shuffle(snapshots):
-    plan = changed_paths(snapshots)._jdf.queryExecution().optimizedPlan().toString()
-    grouped = [line for line in plan.splitlines() if "Aggregate [repo" in line]
-    assert grouped and all("content" not in line for line in grouped)
+    plan = all_changes(snapshots)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    [final] = [line for line in plan.splitlines() if "HashAggregate" in line][:1]
+    assert "content" not in final.split("output=")[0]
 
 
 def test_select(snapshots, branches, overrides):
