@@ -20,8 +20,86 @@ NORMALIZED = "normalized"
 EXACT = "exact"
 
 
-def matching_runs(old_lines: Column, new_lines: Column, *, autojunk: bool) -> Column:
+# Line pairs (equal lines of the two sides, counted with repeats) up to which the stdlib matcher is
+# used; it visits each of them, so files full of repeated lines would keep it busy for hours.
+DENSE_PAIRS = 5_000_000
+
+
+def _run_finder(dense_pairs: int):
+    """Matching runs of two line lists, equal to the stdlib matcher's without its heuristic.
+
+    A function made here travels to the workers by value, so the package need not be installed there.
+    """
+
+    def find(a: list, b: list) -> list[tuple[int, int, int]]:
+        from difflib import SequenceMatcher
+
+        import numpy as np
+
+        ids: dict = {}
+        codes = np.array([ids.setdefault(x, len(ids)) for x in a + b], dtype=np.int64)
+        ca, cb = codes[: len(a)], codes[len(a) :]
+        # levels[k][p] numbers the stretch of 2**k lines at p of the joined list, equal for equal ones.
+        levels = [np.concatenate([ca, [len(ids)], cb])]
+
+        def stretches(length, start, stop):
+            """Numbers of all stretches of ``length`` lines within [start, stop) of the joined list."""
+            k = length.bit_length() - 1
+            while len(levels) <= k:
+                last, half = levels[-1], 1 << (len(levels) - 1)
+                both = last[:-half] * (len(codes) + 1) + last[half:]
+                levels.append(np.unique(both, return_inverse=True)[1])
+            head = levels[k][start : stop - length + 1]
+            shift = length - (1 << k)
+            return head * (len(codes) + 1) + levels[k][start + shift : start + shift + len(head)]
+
+        def longest(alo, ahi, blo, bhi):
+            """Longest common stretch; the first in ``a``, then the first in ``b``."""
+            at = len(a) + 1
+            low, high = 0, min(ahi - alo, bhi - blo)
+            while low < high:
+                middle = (low + high + 1) // 2
+                left, right = stretches(middle, alo, ahi), stretches(middle, at + blo, at + bhi)
+                if len(np.intersect1d(left, right)):
+                    low = middle
+                else:
+                    high = middle - 1
+            if not low:
+                return None
+            left, right = stretches(low, alo, ahi), stretches(low, at + blo, at + bhi)
+            first = int(np.argmax(np.isin(left, right)))
+            return alo + first, blo + int(np.argmax(right == left[first])), low
+
+        found, todo = [], [(0, len(a), 0, len(b))]
+        while todo:
+            alo, ahi, blo, bhi = todo.pop()
+            if alo == ahi or blo == bhi:
+                continue
+            counts = [np.bincount(c, minlength=len(ids)) for c in (ca[alo:ahi], cb[blo:bhi])]
+            if int(counts[0] @ counts[1]) <= dense_pairs:
+                matcher = SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False)
+                found += [(alo + i, blo + j, n) for i, j, n in matcher.get_matching_blocks() if n]
+                continue
+            best = longest(alo, ahi, blo, bhi)
+            if best:
+                i, j, n = best
+                found.append(best)
+                todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
+        runs = []
+        for i, j, n in sorted(found):
+            if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
+                i, j, n = runs[-1][0], runs[-1][1], runs.pop()[2] + n
+            runs.append((i, j, n))
+        return runs
+
+    return find
+
+
+def matching_runs(
+    old_lines: Column, new_lines: Column, *, autojunk: bool, dense_pairs: int = DENSE_PAIRS
+) -> Column:
     """Maximal equal runs of two ``array<string>`` as ``array<struct<i,j,n>>``, in order."""
+    find = _run_finder(dense_pairs)
 
     @F.pandas_udf("array<int>")
     def kernel(old: pd.Series, new: pd.Series) -> pd.Series:
@@ -33,8 +111,10 @@ def matching_runs(old_lines: Column, new_lines: Column, *, autojunk: bool) -> Co
             a, b = list(a), list(b)
             if a == b:
                 return [0, 0, len(a)] if a else []
-            matcher = SequenceMatcher(None, a, b, autojunk=autojunk)
-            return [x for block in matcher.get_matching_blocks() if block.size for x in block]
+            if autojunk:
+                blocks = SequenceMatcher(None, a, b).get_matching_blocks()
+                return [x for block in blocks if block.size for x in block]
+            return [x for run in find(a, b) for x in run]
 
         return pd.Series([runs(a, b) for a, b in zip(old, new)], dtype=object)
 
