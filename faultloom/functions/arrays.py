@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body`` (a let-binding for columns)."""
+    """Evaluate ``value`` once and use it several times in ``body`` (a let-binding for columns).
+
+    Needed wherever a lambda looks at anything but its own variables: the optimizer merges a column's
+    definition into its only user, and inside a lambda it would then be computed for every element.
+    """
     return F.transform(F.array(value), body)[0]
 
 

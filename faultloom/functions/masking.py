@@ -149,11 +149,11 @@ def unmask(text: Column, hits: Column, style: MaskStyle) -> Column:
     """
     pattern = style.placeholder_pattern
 
-    def restored(found: Column, pieces: Column) -> Column:
+    def restored(originals: Column, found: Column, pieces: Column) -> Column:
         def original(i: Column) -> Column:
             literal = F.get(found, i)
             number = F.regexp_extract(literal, pattern, 1).try_cast("int")
-            return F.coalesce(F.get(hits, number), literal)
+            return F.coalesce(F.get(originals, number), literal)
 
         return F.array_join(
             F.transform(
@@ -165,9 +165,12 @@ def unmask(text: Column, hits: Column, style: MaskStyle) -> Column:
             "",
         )
 
-    return F.when(F.size(hits) == 0, text).otherwise(
-        bind(
+    def woven(originals: Column) -> Column:
+        return bind(
             F.regexp_extract_all(text, F.lit(pattern), 0),
-            lambda found: bind(F.split(text, pattern, -1), lambda pieces: restored(found, pieces)),
+            lambda found: bind(
+                F.split(text, pattern, -1), lambda pieces: restored(originals, found, pieces)
+            ),
         )
-    )
+
+    return bind(hits, lambda originals: F.when(F.size(originals) == 0, text).otherwise(woven(originals)))

@@ -140,41 +140,49 @@ def reorder_chunks(chunks: Column, *, seed: int = 0, level: str = "safe") -> Col
     def group(c: Column) -> Column:
         return F.coalesce(bucket(c["kind"], c["pinned"], level), F.lit(""))
 
-    slots = F.sort_array(
-        F.transform(chunks, lambda c: F.struct(group(c).alias("bucket"), c["chunk_no"].alias("slot")))
-    )
-    draws = F.sort_array(
-        F.transform(
-            chunks,
-            lambda c: F.struct(
-                group(c).alias("bucket"),
-                F.when(group(c) != "", draw(c)).alias("draw"),
-                c["chunk_no"].alias("chunk_no"),
-                c["kind"].alias("kind"),
-                c["text"].alias("text"),
-                c["chunk_id"].alias("chunk_id"),
-            ),
+    def slots_of(all_chunks: Column) -> Column:
+        return F.sort_array(
+            F.transform(
+                all_chunks, lambda c: F.struct(group(c).alias("bucket"), c["chunk_no"].alias("slot"))
+            )
         )
+
+    def draws_of(all_chunks: Column) -> Column:
+        return F.sort_array(
+            F.transform(
+                all_chunks,
+                lambda c: F.struct(
+                    group(c).alias("bucket"),
+                    F.when(group(c) != "", draw(c)).alias("draw"),
+                    c["chunk_no"].alias("chunk_no"),
+                    c["kind"].alias("kind"),
+                    c["text"].alias("text"),
+                    c["chunk_id"].alias("chunk_id"),
+                ),
+            )
+        )
+
+    def filled(slot: Column, drawn: Column) -> Column:
+        return F.struct(
+            slot["slot"].alias("slot"),
+            F.when(slot["bucket"] != "", slot["bucket"]).alias("bucket"),
+            drawn["chunk_no"].alias("chunk_no"),
+            drawn["kind"].alias("kind"),
+            drawn["text"].alias("text"),
+            drawn["chunk_id"].alias("chunk_id"),
+        )
+
+    return bind(
+        chunks, lambda cs: F.sort_array(F.zip_with(slots_of(cs), draws_of(cs), filled))
     )
-    placed = bind(
-        draws,
-        lambda drawn: F.transform(
-            slots,
-            lambda s, i: F.struct(
-                s["slot"].alias("slot"),
-                F.when(s["bucket"] != "", s["bucket"]).alias("bucket"),
-                F.get(drawn, i)["chunk_no"].alias("chunk_no"),
-                F.get(drawn, i)["kind"].alias("kind"),
-                F.get(drawn, i)["text"].alias("text"),
-                F.get(drawn, i)["chunk_id"].alias("chunk_id"),
-            ),
-        ),
-    )
-    return F.sort_array(placed)
 
 
-def order_map(placed: Column, level: str) -> Column:
+def order_map(reordered: Column, level: str) -> Column:
     """``map<bucket, array<chunk_id>>`` of one reordered block, ids in slot order."""
+    return bind(reordered, lambda placed: _order_map(placed, level))
+
+
+def _order_map(placed: Column, level: str) -> Column:
     present = F.array_distinct(
         F.transform(F.filter(placed, lambda p: p["bucket"].isNotNull()), lambda p: p["bucket"])
     )
@@ -274,20 +282,15 @@ def shuffle_documents(
             ),
         ),
     )
-    rebuilt = F.array_join(
-        F.transform(
-            "gaps",
-            lambda gap, i: F.concat(
-                gap,
-                F.coalesce(
-                    F.array_join(
-                        F.transform(F.get("_blocks", i)["placed"], lambda p: p["text"]), ""
-                    ),
-                    F.lit(""),
-                ),
-            ),
+    def body(blocks: Column, i: Column) -> Column:
+        texts = F.transform(F.get(blocks, i)["placed"], lambda p: p["text"])
+        return F.coalesce(F.array_join(texts, ""), F.lit(""))
+
+    rebuilt = bind(
+        F.col("_blocks"),
+        lambda blocks: F.array_join(
+            F.transform("gaps", lambda gap, i: F.concat(gap, body(blocks, i))), ""
         ),
-        "",
     )
     order = F.transform(
         "_blocks",
@@ -297,18 +300,20 @@ def shuffle_documents(
             order_map(b["placed"], level).alias("order"),
         ),
     )
-    names = F.array_distinct(F.transform("chunk_order", lambda b: b["module_name"]))
-    by_name = F.map_from_entries(
-        F.transform(
-            names,
-            lambda name: F.struct(
-                name,
-                F.element_at(F.filter("chunk_order", lambda b: b["module_name"] == name), -1)["order"],
-            ),
+
+    def by_name(blocks: Column) -> Column:
+        names = F.array_distinct(F.transform(blocks, lambda b: b["module_name"]))
+        return F.map_from_entries(
+            F.transform(
+                names,
+                lambda name: F.struct(
+                    name, F.element_at(F.filter(blocks, lambda b: b["module_name"] == name), -1)["order"]
+                ),
+            )
         )
-    )
+
     return (
         placed.withColumns({text: unmask(rebuilt, F.col("hits"), PLAIN), "chunk_order": order})
-        .withColumn("order_json", F.to_json(by_name))
+        .withColumn("order_json", F.to_json(bind(F.col("chunk_order"), by_name)))
         .drop("masked", "hits", "gaps", "modules", "_blocks")
     )

@@ -144,16 +144,20 @@ def _gaps(runs: Column, old_size: Column, new_size: Column) -> Column:
         names = ("i1", "i2", "j1", "j2")
         return F.struct(*[c.cast("int").alias(n) for n, c in zip(names, (i1, i2, j1, j2))])
 
-    def before(k: Column) -> Column:
-        prev, here = F.get(runs, k - 1), F.get(runs, k)
+    def before(x: Column, k: Column) -> Column:
+        prev, here = F.get(x["runs"], k - 1), F.get(x["runs"], k)
         return gap(
             F.when(k == 0, 0).otherwise(prev["i"] + prev["n"]),
-            F.coalesce(here["i"], old_size),
+            F.coalesce(here["i"], x["n_old"]),
             F.when(k == 0, 0).otherwise(prev["j"] + prev["n"]),
-            F.coalesce(here["j"], new_size),
+            F.coalesce(here["j"], x["n_new"]),
         )
 
-    return F.transform(F.sequence(F.lit(0), F.size(runs)), before)
+    inputs = F.struct(runs.alias("runs"), old_size.alias("n_old"), new_size.alias("n_new"))
+    return bind(
+        inputs,
+        lambda x: F.transform(F.sequence(F.lit(0), F.size(x["runs"])), lambda k: before(x, k)),
+    )
 
 
 def opcodes(runs: Column, old_size: Column, new_size: Column) -> Column:
@@ -169,17 +173,21 @@ def opcodes(runs: Column, old_size: Column, new_size: Column) -> Column:
         )
         return op(tag, g["i1"], g["i2"], g["j1"], g["j2"])
 
-    def with_run(g: Column, k: Column) -> Column:
-        run = F.get(runs, k)
+    def with_run(found: Column, g: Column, k: Column) -> Column:
+        run = F.get(found, k)
         equal = op(F.lit("equal"), run["i"], run["i"] + run["n"], run["j"], run["j"] + run["n"])
         return F.array(
             F.when((g["i1"] < g["i2"]) | (g["j1"] < g["j2"]), change(g)),
-            F.when(k < F.size(runs), equal),
+            F.when(k < F.size(found), equal),
         )
 
-    return F.filter(
-        F.flatten(F.transform(_gaps(runs, old_size, new_size), with_run)), lambda o: o.isNotNull()
-    )
+    def script(found: Column) -> Column:
+        gaps = _gaps(found, old_size, new_size)
+        return F.filter(
+            F.flatten(F.transform(gaps, lambda g, k: with_run(found, g, k))), lambda o: o.isNotNull()
+        )
+
+    return bind(runs, script)
 
 
 def with_diff_chunks(
@@ -212,25 +220,28 @@ def with_diff_chunks(
         "_runs", matching_runs(F.col("_old"), F.col("_new"), autojunk=not normalized)
     )
 
-    def side(lines: str, start: Column, end: Column) -> Column:
+    def side(lines: Column, start: Column, end: Column) -> Column:
         body = F.slice(lines, start + 1, end - start)
         return F.btrim(F.array_join(body, "\n"), F.lit("\n")) if normalized else F.array_join(body, "")
 
-    separators = F.filter("_runs", lambda r: r["n"] >= context)
-    stretches = F.filter(
-        bind(separators, lambda s: _gaps(s, F.size("_old"), F.size("_new"))),
-        lambda g: (g["i1"] < g["i2"]) | (g["j1"] < g["j2"]),
-    )
-    chunks = F.transform(
-        stretches,
-        lambda g: F.struct(
-            side("_old", g["i1"], g["i2"]).alias("old_version"),
-            side("_new", g["j1"], g["j2"]).alias("new_version"),
-        ),
-    )
-    if normalized:
-        chunks = F.filter(chunks, lambda c: c["old_version"] != c["new_version"])
-    return matched.withColumn(into, chunks).drop("_old", "_new", "_runs")
+    def chunks(both: Column) -> Column:
+        old, new = both["old"], both["new"]
+        separators = F.filter(both["runs"], lambda r: r["n"] >= context)
+        stretches = F.filter(
+            _gaps(separators, F.size(old), F.size(new)),
+            lambda g: (g["i1"] < g["i2"]) | (g["j1"] < g["j2"]),
+        )
+        built = F.transform(
+            stretches,
+            lambda g: F.struct(
+                side(old, g["i1"], g["i2"]).alias("old_version"),
+                side(new, g["j1"], g["j2"]).alias("new_version"),
+            ),
+        )
+        return F.filter(built, lambda c: c["old_version"] != c["new_version"]) if normalized else built
+
+    parts = F.struct(F.col("_old").alias("old"), F.col("_new").alias("new"), F.col("_runs").alias("runs"))
+    return matched.withColumn(into, bind(parts, chunks)).drop("_old", "_new", "_runs")
 
 
 def chunk_table(

@@ -109,15 +109,21 @@ def accepted_map(verdicts: Column) -> Column:
 
 def rename_token_list(tokens: Column, mapping: Column) -> Column:
     """Text put together from tokens, each replaced by its new name if it has one."""
-    return F.array_join(
-        F.transform(tokens, lambda token: F.coalesce(F.try_element_at(mapping, token), token)), ""
+    return bind(
+        mapping,
+        lambda names: F.array_join(
+            F.transform(tokens, lambda token: F.coalesce(F.try_element_at(names, token), token)), ""
+        ),
     )
 
 
 def rename_tokens(text: Column, mapping: Column) -> Column:
     """Rename whole tokens, all at once: ``{a: b, b: a}`` swaps. An empty mapping changes nothing."""
-    return F.when(mapping.isNull() | (F.size(mapping) == 0), text).otherwise(
-        rename_token_list(text_tokens(text), mapping)
+    return bind(
+        mapping,
+        lambda names: F.when(names.isNull() | (F.size(names) == 0), text).otherwise(
+            rename_token_list(text_tokens(text), names)
+        ),
     )
 
 
@@ -150,17 +156,15 @@ def judge_mapping_table(
     numbers a document's pairs from 0.
     """
     placed = _pairs_with_presence(mappings, documents, key, text)
-    judged = F.transform(
-        "pairs",
-        lambda p: F.struct(
-            p["ord"].alias("ord"),
-            p["old_name"].alias("old_name"),
-            p["new_name"].alias("new_name"),
-            _first_reason(
-                p["old_name"], p["new_name"], F.array_contains("present", p["old_name"])
-            ).alias("reason"),
-        ),
-    )
+
+    def judge(p: Column, present: Column) -> Column:
+        old, new = p["old_name"], p["new_name"]
+        reason = _first_reason(old, new, F.array_contains(present, old))
+        return F.struct(
+            p["ord"].alias("ord"), old.alias("old_name"), new.alias("new_name"), reason.alias("reason")
+        )
+
+    judged = bind(F.col("present"), lambda present: F.transform("pairs", lambda p: judge(p, present)))
     rows = unnest(placed, judged, key, item="p").select(key, "p.*")
     # One group holds a document's claims on one name: no more than one response contains. The rows
     # are already partitioned by document, so the window adds no shuffle.
@@ -187,7 +191,10 @@ def rename_by_table(
     are put into its map, which is therefore never larger than the text's own vocabulary.
     """
     placed = _pairs_with_presence(accepted, documents, key, text)
-    used = F.filter("pairs", lambda p: F.array_contains("present", p["old_name"]))
+    used = bind(
+        F.col("present"),
+        lambda present: F.filter("pairs", lambda p: F.array_contains(present, p["old_name"])),
+    )
     mapping = (
         placed.select(key, F.transform(used, lambda p: F.struct(p["old_name"], p["new_name"])).alias("used"))
         .groupBy(key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import unnest
+from ..functions.arrays import bind, unnest
 from ..functions.text import code_blocks, collapse_whitespace
 from ..sizing import balance, spread
 from .diffs import with_diff_chunks
@@ -70,7 +70,10 @@ def joined_slices(
     blocks = report_blocks(reports, keys=list(dict.fromkeys([report_key, pair_key])), text=text)
     joined = blocks.join(sides, pair_key, "inner").withColumn("n_diffs", F.size("sides"))
     steps = F.sequence(F.lit(0), F.greatest(F.col("n_diffs") - 1, F.lit(0)), F.lit(SIDES_PER_SLICE))
-    slices = F.transform(steps, lambda s: F.slice("sides", s + 1, SIDES_PER_SLICE))
+    slices = bind(
+        F.col("sides"),
+        lambda sides: F.transform(steps, lambda s: F.slice(sides, s + 1, SIDES_PER_SLICE)),
+    )
     if scorable_only:
         # Part of the generator rather than a filter: a filter would be pushed below the join and
         # compute blocks and sides a second time.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 # Inputs above this many bytes per core are already split finely enough by the file scan.
-BYTES_PER_CORE = 64 << 20
+BYTES_PER_CORE = 16 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
