@@ -9,6 +9,7 @@ from .views import cte
 
 SEED = 7
 
+# The patterns of the column functions in the checking engine's dialect.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN_OR_GAP = "[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+"

@@ -14,7 +14,11 @@ SAME, DIFFERENT, INPUT_MISSING = 0, 1, 2
 
 # Tokens of a source text; whitespace falls between them. A based literal is one token, so that a
 # changed digit in 2'd1 counts as a change.
-_TOKEN = rf"{BASED_LITERAL}|[A-Za-z0-9_$]+|[[^A-Za-z0-9_$]&&[^{WHITESPACE_CHARS}]]"
+# Most tokens are names, so these are tried first; a based literal starts with a digit or a quote.
+_TOKEN = (
+    rf"[A-Za-z_$][A-Za-z0-9_$]*+|(?=[0-9']){BASED_LITERAL}|[0-9][A-Za-z0-9_$]*+"
+    rf"|[!-~]|[[^!-~]&&[^{WHITESPACE_CHARS}]]"
+)
 _NAME = rf"\A{IDENTIFIER}\z"
 
 

@@ -31,12 +31,19 @@ def collect_responses(
     model: str,
     version: str = "v2",
     log: DataFrame | None = None,
+    ordered: bool = False,
     concurrency: int = 1,
 ) -> DataFrame:
-    """Response records plus an ``error`` column; with a ``log`` only what it lacks is asked."""
+    """Response records plus an ``error`` column; with a ``log`` only what it lacks is asked.
+
+    ``ordered`` sorts by path. The prompts are sorted, not the answers: sorting samples its input,
+    which would ask for some answers twice.
+    """
     prompts = build_prompts(corpus, model=model, version=version)
     if log is not None:
         prompts = unanswered(prompts, log)
+    if ordered:
+        prompts = prompts.orderBy("input_file_rel_path")
     answered = attach_responses(prompts, responder, concurrency=concurrency)
     return answered.select(*RESPONSES.names, "error")
 

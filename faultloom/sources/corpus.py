@@ -6,32 +6,81 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import with_suffix_prefix
 
 # Fixed value: the files that make up a corpus.
-SOURCE_GLOB = "*.{v,sv}"
+SOURCE_SUFFIXES = (".v", ".sv")
 
 
-def scan_corpus(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
+def scan_corpus(
+    spark: SparkSession, root: str, suffixes: tuple[str, ...] = SOURCE_SUFFIXES, *, complete: bool = True
+) -> DataFrame:
     """One row per source file below ``root``: ``path, content, valid_utf8``.
 
     ``path`` is relative to the root. Line ends become ``\\n``. Files that are not valid UTF-8 are
-    flagged, not dropped. Spark's file listing leaves out names starting with ``_`` or ``.``.
+    flagged, not dropped. Spark's own listing leaves out empty files and names starting with ``_`` or
+    ``.``; ``complete`` adds them, for which Arrow must be able to open the file system.
     """
     root_path = _path_part(_qualified(spark, root)).rstrip("/") + "/"
     file = F.regexp_replace(_decoded(F.col("_metadata.file_path")), _SCHEME, "")
-    return (
+    raw = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", "*{" + ",".join(suffixes) + "}")
         .text(root, wholetext=True)
-        .select(
-            F.substring(file, F.lit(len(root_path) + 1), F.length(file)).alias("path"),
-            F.regexp_replace("value", "\r\n?", "\n").alias("content"),
-            F.is_valid_utf8("value").alias("valid_utf8"),
-        )
+        .select(F.substring(file, F.lit(len(root_path) + 1), F.length(file)).alias("path"), "value")
+    )
+    if complete:
+        raw = raw.unionByName(_files_left_out(spark, root, suffixes))
+    return raw.select(
+        "path",
+        F.regexp_replace("value", "\r\n?", "\n").alias("content"),
+        F.is_valid_utf8("value").alias("valid_utf8"),
+    )
+
+
+def _files_left_out(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """``path, value`` of the files that Spark's listing skips.
+
+    The driver only opens directories until there are enough of them to go round; the tasks list the
+    rest and read what was skipped.
+    """
+    uri = re.sub(r"\As3[an]://", "s3://", _qualified(spark, root))
+    uri = _path_part(uri) if uri.startswith("file:") else uri
+    system, base = fs.FileSystem.from_uri(uri)
+
+    def skipped(info):
+        parts = info.path[len(base) :].strip("/").split("/")
+        hidden = any(p.startswith(".") or (p.startswith("_") and "=" not in p) for p in parts)
+        return info.is_file and info.path.endswith(suffixes) and (hidden or info.size == 0)
+
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    names, folders = [], [base]
+    while folders and len(folders) < wanted:
+        inside = [info for folder in folders for info in system.get_file_info(fs.FileSelector(folder))]
+        names += [info.path for info in inside if skipped(info)]
+        folders = [info.path for info in inside if not info.is_file]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        files, _ = arrow_fs.FileSystem.from_uri(uri)
+
+        for batch in batches:
+            for place, is_folder in zip(batch["place"], batch["is_folder"]):
+                where = arrow_fs.FileSelector(place, recursive=True) if is_folder else [place]
+                for info in filter(skipped, files.get_file_info(where)):
+                    with files.open_input_stream(info.path) as stream:
+                        data = stream.read()
+                    yield pd.DataFrame({"path": [info.path[len(base) :].strip("/")], "value": [data]})
+
+    places = [(f, True) for f in folders] + [(n, False) for n in names]
+    listed = spark.createDataFrame(places, "place string, is_folder boolean").repartition(wanted, "place")
+    return listed.mapInPandas(read, "path string, value binary").select(
+        "path", F.col("value").cast("string").alias("value")
     )
 
 
@@ -74,9 +123,9 @@ def export_files(df: DataFrame, root: str, *, path: str = "out_path", content: s
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+        from pyarrow import fs as arrow_fs
 
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = arrow_fs.FileSystem.from_uri(root)
         for batch in batches:
             done = []
             for name, text in zip(batch["path"], batch["content"]):

@@ -38,7 +38,7 @@ package p;
   parameter Q3 = 3;
 endpackage
 """
-# Search patterns tried one by one by the plain scanner below.
+# Patterns tried one by one by the plain scanner below.
 SCAN = [
     ("generate", re.compile(r"\bgenerate\b.*?\bendgenerate\b", re.S | re.I)),
     ("param", re.compile(r"\b(?:parameter|localparam)\b[^;]*?;", re.S | re.I)),

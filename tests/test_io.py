@@ -1,4 +1,5 @@
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -72,12 +73,21 @@ def corpus_dir(tmp_path):
         (root / name).write_bytes(text.encode())
     (root / "a/bad.v").write_bytes(b"wire \xc3;")
     (root / "dir.v").mkdir()
+    # Left out by Spark's own listing.
+    (root / "a/_private.v").write_text("wire h;\r\n")
+    (root / "b c/.hidden/deep").mkdir(parents=True)
+    (root / "b c/.hidden/deep/h.sv").write_text("wire k;")
+    (root / "b c/empty.sv").touch()
+    (root / "_top.v").write_text("top")
     return root
 
 
 def test_scan_corpus(spark, corpus_dir):
     rows = {r.path: r for r in scan_corpus(spark, str(corpus_dir)).collect()}
-    assert set(rows) == {"a/buggy.sv", "a/base.v", "a/bad.v", "b c/deep/x%20y+z.sv"}
+    listed = {"a/buggy.sv", "a/base.v", "a/bad.v", "b c/deep/x%20y+z.sv"}
+    assert set(rows) == listed | {"a/_private.v", "b c/.hidden/deep/h.sv", "b c/empty.sv", "_top.v"}
+    assert rows["a/_private.v"].content == "wire h;\n" and rows["b c/empty.sv"].content == ""
+    assert {r.path for r in scan_corpus(spark, str(corpus_dir), complete=False).collect()} == listed
     assert rows["a/buggy.sv"].content == "module a;\n  wire w;\nendmodule\n"
     assert not rows["a/bad.v"].valid_utf8 and rows["b c/deep/x%20y+z.sv"].valid_utf8
     by_uri = scan_corpus(spark, f"file://{corpus_dir}").collect()
@@ -91,7 +101,7 @@ def test_relative_root(spark, corpus_dir, monkeypatch):
 
 
 def test_collect_resumes(spark, corpus_dir, tmp_path):
-    corpus = scan_corpus(spark, str(corpus_dir)).where("valid_utf8")
+    corpus = scan_corpus(spark, str(corpus_dir), complete=False).where("valid_utf8")
     log = str(tmp_path / "log.ndjson")
 
     def flaky(prompt):
@@ -111,7 +121,23 @@ def test_collect_resumes(spark, corpus_dir, tmp_path):
     assert everything.count() == 6 and latest_per_key(everything).count() == 3
     joined = join_responses(build_prompts(corpus, model="m"), latest_per_key(everything))
     assert joined.where("llm_response is null").count() == 0
-    assert collect_responses(corpus, str.upper, model="m").columns == [*RESPONSES.names, "error"]
+    ordered = collect_responses(corpus, str.upper, model="m", ordered=True)
+    assert ordered.columns == [*RESPONSES.names, "error"]
+    paths = [r.input_file_rel_path for r in ordered.collect()]
+    assert paths == sorted(paths) and len(paths) == 3
+
+
+def test_ordered_collection_asks_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def responder(prompt):
+        (asked / f"{abs(hash(prompt))}-{time.time_ns()}").touch()
+        return "No modifications detected"
+
+    rows = spark.range(40).selectExpr("concat('c', id, '/base.v') as path", "concat('wire w', id, ';') as content")
+    assert collect_responses(rows.repartition(4), responder, model="m", ordered=True).collect()
+    assert len(list(asked.iterdir())) == 40
 
 
 def test_analyze_file(spark, responses, tmp_path):
@@ -126,7 +152,7 @@ def test_analyze_file(spark, responses, tmp_path):
 
 
 def test_rename_and_export(spark, corpus_dir, tmp_path):
-    corpus = scan_corpus(spark, str(corpus_dir)).where("valid_utf8")
+    corpus = scan_corpus(spark, str(corpus_dir), complete=False).where("valid_utf8")
     renamed = rename_corpus(corpus, lambda prompt: '{"w": "w2", "a": "top"}')
     out = tmp_path / "out dir"
     written = export_files(rewritten(renamed), out.as_uri(), content="renamed").collect()

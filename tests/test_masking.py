@@ -6,7 +6,7 @@ from faultloom.functions.masking import KINDED, PLAIN, mask, unmask
 from pyspark.sql import functions as F
 
 SAMPLE = "a = 2'b00; b = 2'd1; // c\nx /* y */ \"s\\\"t\" z"
-# Independent patterns for a regex engine without possessive loops.
+# The same hits for a regex engine without possessive loops.
 PLAIN_PATTERNS = {
     "kinded": r"/\*[\s\S]*?\*/|//[^\n]*\n?|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'",
     "plain": r"(?sm://.*?$|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')",

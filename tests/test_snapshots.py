@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from faultloom.operators.snapshots import (
     all_changes,
@@ -7,8 +9,9 @@ from faultloom.operators.snapshots import (
     select_branches,
     union_metadata,
 )
-from faultloom.plans.pair_corpus import build_pair_corpus, write_pair_corpus
+from faultloom.plans.pair_corpus import build_pair_corpus, corpus_files, write_pair_corpus
 from faultloom.schemas import BRANCH_METADATA, OVERRIDES
+from faultloom.sources.corpus import export_files, scan_corpus
 
 SNAPSHOT = "repo string, branch string, side string, path string, content string"
 # (branch, path, base content, tip content); None means the file is absent on that side.
@@ -121,6 +124,19 @@ def test_pair_corpus(snapshots, branches, overrides, spark, tmp_path):
         assert frame.count() == 3 and set(frame.columns) == set(BRANCH_METADATA.names)
 
 
+def test_corpus_layout(snapshots, branches, overrides, spark, tmp_path):
+    corpus = build_pair_corpus(snapshots, branches, overrides)
+    assert all(r.error is None for r in export_files(corpus_files(corpus), str(tmp_path / "out")).collect())
+    written = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    names = {"r_one": ".sv", "r_choice": ".sv", "r_empty": ".v"}
+    assert written == {f"{d}/{n}" for d, e in names.items() for n in (f"buggy{e}", f"base{e}", "metadata.json")}
+    described = json.loads((tmp_path / "out/r_choice/metadata.json").read_text())
+    assert described["source_path"] == "y.sv" and set(described) == set(BRANCH_METADATA.names)
+    # The emitted layout is what the scanner and the labels expect.
+    scanned = {r.path for r in scan_corpus(spark, str(tmp_path / "out")).collect()}
+    assert "r_one/buggy.sv" in scanned and len(scanned) == 6
+
+
 def test_branch_names(spark):
     refs = ["origin/HEAD", "origin/main", "origin/b", "origin/a/b", "origin/b", "up/HEAD"]
     df = spark.createDataFrame([("r", x) for x in refs], "repo string, ref_name string")
