@@ -414,7 +414,7 @@ ORACLES: dict[str, str] = {
     "shuffle_corpus_aggressive": shuffled("aggressive"),
     "report_blocks": f"""{cte("reports")}
         select report_id, pair_id,
-               case pair_id % 4 when 2 then 0 when 3 then 2 else 1 end as n_blocks,
+               (case pair_id % 4 when 2 then 0 when 3 then 2 else 1 end)::bigint as n_blocks,
                case pair_id % 4 when 0 then 'MUTATED ' || pair_id when 1 then 'assign unrelated = 1;' when 2 then ''
                     else {collapsed("split_part(base_code, chr(10), 1)")} || '|MUTATED' end as blocks
         from reports join code_pairs using (pair_id)""",
@@ -445,7 +445,7 @@ ORACLES: dict[str, str] = {
           union all select 'repeated', (select count(*) from (from gold except all from repeated)),
                                        (select count(*) from (from repeated except all from gold))
           union all select 'missing', null, null)
-        select "case", case when only_gold is null then 2 when only_gold = 0 and only_gate = 0 then 0 else 1 end as verdict,
+        select "case", (case when only_gold is null then 2 when only_gold = 0 and only_gate = 0 then 0 else 1 end)::bigint as verdict,
                only_gold, only_gate from counts""",
     "rename_equiv": f"""{ALL_RENAMED}, paired as (
           select doc_id, gold, case when doc_id % 5 = 0 then renamed || ' 2''d1' else renamed end as gate from outputs),
@@ -462,7 +462,7 @@ ORACLES: dict[str, str] = {
                  and count(distinct lt) filter (ln) = count(distinct (lt, rt)) filter (ln)
                  and count(distinct rt) filter (ln) = count(distinct (lt, rt)) filter (ln) as same
           from tested group by doc_id)
-        select b.doc_id, case when gold = gate or coalesce(same, true) then 0 else 1 end as verdict
+        select b.doc_id, (case when gold = gate or coalesce(same, true) then 0 else 1 end)::bigint as verdict
         from paired b left join judged_docs using (doc_id)""",
     "collect_stub": f"""with asked as (
           select *, 'ch' || (doc_id % 50) || '/f' || doc_id || '.sv' as path, {V2} as prompt from documents)

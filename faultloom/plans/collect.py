@@ -49,11 +49,22 @@ def collect_responses(
 
 
 def collect_to_log(
-    corpus: DataFrame, responder: Callable[[str], str], path: str, *, model: str, **options
+    corpus: DataFrame,
+    responder: Callable[[str], str],
+    path: str,
+    *,
+    model: str,
+    rounds: int = 1,
+    **options,
 ) -> None:
     """Append the successful responses to an NDJSON log.
 
-    Failed calls stay out of the log, so running again with ``log=`` retries exactly those.
+    Failed calls stay out of the log, so running again with ``log=`` retries exactly those. A job's
+    rows become visible when it ends; ``rounds`` splits the corpus by path into that many jobs, so
+    that an interrupted run keeps the answers of the rounds it finished.
     """
-    answered = collect_responses(corpus, responder, model=model, **options)
-    append_ndjson(answered.where(F.col("error").isNull()).drop("error"), path)
+    turn = F.pmod(F.xxhash64("path"), F.lit(rounds))
+    for number in range(rounds):
+        part = corpus if rounds == 1 else corpus.where(turn == number)
+        answered = collect_responses(part, responder, model=model, **options)
+        append_ndjson(answered.where(F.col("error").isNull()).drop("error"), path)

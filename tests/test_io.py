@@ -127,6 +127,13 @@ def test_collect_resumes(spark, corpus_dir, tmp_path):
     assert paths == sorted(paths) and len(paths) == 3
 
 
+def test_rounds_cover_the_corpus(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('c', id, '/base.v') as path", "concat('wire w', id, ';') as content")
+    collect_to_log(rows, lambda prompt: "No modifications detected", str(tmp_path / "log"), model="m", rounds=3)
+    logged = spark.read.schema(RESPONSES).json(str(tmp_path / "log"))
+    assert logged.count() == logged.select("uuid").distinct().count() == 40
+
+
 def test_ordered_collection_asks_once(spark, tmp_path):
     asked = tmp_path / "asked"
     asked.mkdir()
