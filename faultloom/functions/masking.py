@@ -22,6 +22,11 @@ class MaskStyle:
     template: str
     kinds: tuple[tuple[str, str], ...] = ()
 
+    @property
+    def hit_pattern(self) -> str:
+        """The pattern behind a look at the opening character, which rules out nearly all places."""
+        return rf"(?=[/\"'])(?:{self.pattern})"
+
     @property
     def placeholder_pattern(self) -> str:
         kinds = "|".join(kind for _, kind in self.kinds)
@@ -59,14 +64,14 @@ BASED_LITERAL = r"[0-9]*'[sS]?[bBoOdDhH][0-9a-fA-FxXzZ_?]+"
 def mask_hits(text: Column, style: MaskStyle, *, keep_based_literals: bool = False) -> Column:
     """The masked stretches of a text in order; the n-th one belongs to placeholder n."""
     if not keep_based_literals:
-        return F.regexp_extract_all(text, F.lit(style.pattern), 0)
+        return F.regexp_extract_all(text, F.lit(style.hit_pattern), 0)
     return F.filter(
         F.regexp_extract_all(text, F.lit(_stepping_over(style)), 0), _is_masked
     )
 
 
 def _stepping_over(style: MaskStyle) -> str:
-    return f"{BASED_LITERAL}|{style.pattern}"
+    return rf"(?=[/\"'0-9])(?:{BASED_LITERAL}|{style.pattern})"
 
 
 def _is_masked(hit: Column) -> Column:
@@ -75,7 +80,7 @@ def _is_masked(hit: Column) -> Column:
 
 def mask(text: Column, style: MaskStyle, *, keep_based_literals: bool = False) -> Column:
     """``struct<masked string, hits array<string>>`` of a text."""
-    pattern = _stepping_over(style) if keep_based_literals else style.pattern
+    pattern = _stepping_over(style) if keep_based_literals else style.hit_pattern
 
     def joined(pieces: Column, found: Column) -> Column:
         if keep_based_literals:

@@ -42,10 +42,10 @@ MEDIUM_BUCKETS = (
 AGGRESSIVE_BUCKET = "aggressive_all"
 LEVELS = ("safe", "medium", "aggressive")
 
-# All but the last pattern start with a keyword; looking at its first letter rules out most places
-# before the alternatives are tried one by one.
+# All but the last pattern start with a keyword; a word start and its first letter rule out most
+# places before the alternatives are tried one by one.
 _KEYWORD_CHUNK = "|".join(pattern for _, pattern in CHUNK_PATTERNS[:-1])
-_ANY_CHUNK = rf"(?=(?iu:[abfgilprstw]))(?:{_KEYWORD_CHUNK})|{CHUNK_PATTERNS[-1][1]}"
+_ANY_CHUNK = rf"(?U:\b)(?=(?iu:[abfgilprstw]))(?:{_KEYWORD_CHUNK})|{CHUNK_PATTERNS[-1][1]}"
 
 
 def module_texts(text: Column) -> Column:
