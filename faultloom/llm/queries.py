@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_documents
 from .decontaminate import contamination
+from .ring_shards import ring_shards
 from .simhash_dedup import simhash_groups
 
 
@@ -12,13 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring_shards(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_sha256")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_ring_shards, op4_decontaminate, op7_byte_bpe, op10_simhash)}

@@ -23,7 +23,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Distinct fingerprints a leaf shard should hold, and the sampled ones that steer each split.
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4_096
 PER_SHARD = 16
 #: Bound of the sample, and so of the routing tree that tasks receive (8 bytes each).
 SAMPLE_ROWS = 65_536
@@ -187,7 +187,7 @@ def fingerprint_classes(scratch: Scratch, prints: DataFrame, radius: int = RADIU
         return pa.table({"a": points[joined], "b": points[labels[joined]]})
 
     dealt = nodes.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean")
-    edges = dealt.groupBy("leaf").applyInArrow(link, "a long, b long")
+    edges = scratch.table(dealt.groupBy("leaf").applyInArrow(link, "a long, b long"))
     found = components(scratch, edges)
     joined = nodes.join(found, nodes.fp == found.node, "left").select(
         "fp", "first_key", F.coalesce("component", "fp").alias("root")
