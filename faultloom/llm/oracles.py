@@ -22,4 +22,13 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from w left join hits using (row) left join items using (row)
 """
 
-ORACLES = {"op4_decontaminate": DECONTAMINATE}
+WARC = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+top as (select payload, max(page_id) as top from p where octet_length(payload) >= 1000 group by payload)
+select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as payload_digest,
+  case when page_id < top then 'revisit' else 'response' end as record_type,
+  case when page_id < top then top end as refers_to
+from p left join top using (payload)
+"""
+
+ORACLES = {"op2_warc": WARC, "op4_decontaminate": DECONTAMINATE}

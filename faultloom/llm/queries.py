@@ -9,12 +9,17 @@ from .byte_bpe import encode_documents
 from .decontaminate import contamination
 from .ring_shards import ring_shards
 from .simhash_dedup import simhash_groups
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(table(spark, sf_dir, "documents"))
 
@@ -33,4 +38,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ring_shards, op4_decontaminate, op7_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op7_byte_bpe, op10_simhash)}
