@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .decontaminate import contamination
+from .language_id import languages
 from .ring_shards import ring_shards
 from .simhash_dedup import simhash_groups
+from .toxicity import toxicity_scores
 from .warc import archive_round_trip
 
 
@@ -29,13 +31,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op7_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op6_toxicity, op7_byte_bpe, op8_language_id, op10_simhash)}
