@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .decontaminate import contamination
+from .html_text import extract_text
 from .language_id import languages
 from .ring_shards import ring_shards
 from .simhash_dedup import simhash_groups
@@ -44,8 +45,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op6_toxicity, op7_byte_bpe, op8_language_id, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op6_toxicity, op7_byte_bpe, op8_language_id, op9_html_text, op10_simhash)}

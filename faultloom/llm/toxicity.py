@@ -22,7 +22,7 @@ BUCKETS = 1 << 17
 WIDTH = 8
 SHORTEST, LONGEST = 3, 5
 #: Bounds of the training sample: rows of each class, and characters of a text that may be chosen.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 8_000
 TRAIN_CHARS = 50_000
 EPOCHS = 8
 BATCH = 256
@@ -135,7 +135,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
 
 #: N-grams in fewer texts of the sample keep no vector; the floor of a step's divisor.
 LEAST_TEXTS = 30
-EASE = 1e-4
+EASE = 2e-4
 #: The softmax reads averages times this: a few words among hundreds must be able to decide.
 SCALE = 20.0
 
