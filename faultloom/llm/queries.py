@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
 from .decontaminate import contamination
+from .embedding_dedup import embedding_groups
 from .html_text import extract_text
 from .language_id import languages
 from .ring_shards import ring_shards
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -53,4 +58,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_ring_shards, op4_decontaminate, op6_toxicity, op7_byte_bpe, op8_language_id, op9_html_text, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_warc, op3_ring_shards, op4_decontaminate, op6_toxicity, op7_byte_bpe, op8_language_id, op9_html_text, op10_simhash)}
