@@ -22,7 +22,7 @@ from .shared import Scratch
 
 CHUNK = 65_536
 OVERLAP = 512
-MEMO_PIECES = 200_000
+MEMO_PIECES = 300_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -32,42 +32,60 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of pieces by rank merges, remembered for the most recent pieces."""
+    """Ids of pieces by rank merges, and what they read and decode as, remembered for recent pieces.
+
+    The memo has two generations of bounded size: a full one becomes the old one, and pieces still in use
+    move over.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, piece: str) -> tuple[int, ...]:
-        ids = self.memo.get(piece)
-        if ids is None:
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes]] = {}
+
+    def ids(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode()
+        known = self.ranks.get(raw)
+        return (known,) if known is not None else self.merged(raw)
+
+    def remember(self, piece: str) -> tuple[int, str, bytes]:
+        """The number of ids, the ids in decimal joined by spaces, and the bytes they decode to."""
+        entry = self.old.get(piece)
+        if entry is None:
+            ids = self.ids(piece)
+            entry = (len(ids), " ".join(map(str, ids)), decode(ids, self.tokens))
+        if len(piece) <= 64:
             if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
-            raw = piece.encode()
-            known = self.ranks.get(raw)
-            ids = (known,) if known is not None else self.merged(raw)
-            if len(piece) <= 64:
-                self.memo[piece] = ids
-        return ids
+                self.old, self.memo = self.memo, {}
+            self.memo[piece] = entry
+        return entry
+
+    def entries(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+        known, more = self.memo.get, self.remember
+        return [known(p) or more(p) for p in pieces]
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
         """Merge the adjacent pair of least rank, leftmost first, until none is left."""
         if len(raw) > 256:
             return self.merged_long(raw)
-        rank = self.ranks.get
+        rank, none = self.ranks.get, len(self.tokens)
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best = min((r for r in pairs if r is not None), default=None)
-            if best is None:
-                return tuple(self.ranks[p] for p in parts)
+        pairs = [rank(raw[i : i + 2], none) for i in range(len(raw) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
             at = pairs.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = rank(parts[at - 1] + parts[at])
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
             if at < len(pairs):
-                pairs[at] = rank(parts[at] + parts[at + 1])
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def merged_long(self, raw: bytes) -> tuple[int, ...]:
         """The same order of merges from a heap, for pieces of any length in n log n."""
@@ -104,14 +122,6 @@ def decode(ids, tokens: list[bytes]) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
-def _coder(ranks, pattern):
-    """Per task: the compiled pattern, the encoder and the bytes of each id."""
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        tokens[i] = token
-    return regex.compile(pattern), Encoder(ranks), tokens
-
-
 def chunk_view(scan, text: str, start: int, first: bool, last: bool, chunk: int, overlap: int):
     """Pieces of one chunk from its row's text, which begins at ``start`` of the chunk's document.
 
@@ -158,29 +168,21 @@ def encode_documents(
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), body.alias("text"))
 
     def whole(batches):
-        scan, encode, tokens = _coder(coder.value, pattern)
+        scan, encoder = regex.compile(pattern), Encoder(coder.value)
         for batch in batches:
-            out = [_digest(scan.findall(t.as_py()), encode, tokens) for t in batch.column(1)]
+            out = [_digest(encoder.entries(scan.findall(t.as_py()))) for t in batch.column(1)]
             yield _result(batch.column(0), out)
 
     def spans(batches):
-        scan, encode, tokens = _coder(coder.value, pattern)
+        scan, encoder = regex.compile(pattern), Encoder(coder.value)
         for batch in batches:
             cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             out = []
             for no, start, last, part in zip(*(cols[c].to_pylist() for c in ("no", "start", "last", "text"))):
                 seen = chunk_view(scan, part, start, no == 0, last, chunk, overlap)
                 begin, end, pieces = seen
-                ids = [encode(p) for p in pieces]
-                out.append(
-                    (
-                        begin,
-                        end,
-                        sum(map(len, ids)),
-                        b" ".join(b"%d" % i for own in ids for i in own),
-                        b"".join(decode(own, tokens) for own in ids),
-                    )
-                )
+                counts, ids, raws = zip(*encoder.entries(pieces)) if pieces else ((),) * 3
+                out.append((begin, end, sum(counts), " ".join(ids).encode(), b"".join(raws)))
             begins, ends, counts, id_bytes, raws = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -250,13 +252,9 @@ def encode_documents(
     return short.unionByName(good).unionByName(again).withColumnRenamed("key", key)
 
 
-def _digest(pieces, encode, tokens) -> tuple[int, str, str]:
-    ids = [i for piece in pieces for i in encode(piece)]
-    return (
-        len(ids),
-        hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
-        hashlib.sha256(decode(ids, tokens)).hexdigest(),
-    )
+def _digest(entries) -> tuple[int, str, str]:
+    counts, ids, raws = zip(*entries) if entries else ((),) * 3
+    return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raws)).hexdigest()
 
 
 def _result(keys, out):
