@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ SHORTEST, LONGEST = 3, 5
 #: Bounds of the training sample: rows of each class, and characters of a text that may be chosen.
 TRAIN_ROWS = 8_000
 TRAIN_CHARS = 50_000
-EPOCHS = 8
+STEPS = 250
 BATCH = 256
 RATE = 0.05
 DECAY = 0.1
@@ -56,14 +58,17 @@ class Bags:
             words = words_of(text)
             own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
             seen, count = np.unique(own, return_counts=True)
-            rows.append(np.full(len(seen), at))
-            ids.append(seen)
-            weights.append(count / max(1, len(words)))
+            rows.append(np.full(len(seen), at, np.int32))
+            ids.append(seen.astype(np.int32))
+            weights.append((count / max(1, len(words))).astype(np.float32))
         self.rows, self.ids, self.weights = map(np.concatenate, (rows, ids, weights))
-        lists = [grams(w) for w in vocabulary]
-        self.sizes = np.array([len(g) for g in lists], np.int64)
+        flat, sizes = array("i"), array("i")
+        for word in vocabulary:
+            own = grams(word)
+            flat.extend(own)
+            sizes.append(len(own))
+        self.sizes, self.grams = np.array(sizes, np.int64), np.array(flat, np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.grams = np.array([b for g in lists for b in g], np.int64)
         self.texts = len(rows)
 
     def spread(self) -> np.ndarray:
@@ -87,7 +92,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
     """One number per bucket and a bias: the log-odds of label 1 are their average plus the bias."""
     labels = np.asarray(labels, np.int64)
     weights, bias = np.zeros(BUCKETS, np.float32), 0.0
-    if len(labels) == 0 or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max():
         share = 0.5 if len(labels) == 0 else float(labels[0])
         return weights, {0.0: -4.0, 0.5: -1.0, 1.0: 4.0}[share]
     rng = np.random.default_rng(seed)
@@ -98,8 +103,8 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
     vectors[~known] = 0
     offset = np.log(np.bincount(labels, minlength=2) / len(labels))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, offset)]
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, -(-STEPS // -(-len(labels) // BATCH))
+    for epoch in range(epochs):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
@@ -123,7 +128,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
             grad = np.stack([np.bincount(flat, to_grams[owner, d], BUCKETS) for d in range(WIDTH)], 1)
             grad[~known] = 0
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for p, g, (m, v) in zip((vectors, soft, offset), (grad, hidden.T @ error * SCALE, error.sum(0)), state):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -160,11 +165,12 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[str, int]]:
-    """The bounded training sample: labelled rows whose crc32 of the key as text modulo 5 is not 0.
+def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """``(at, key, text, label)`` of the bounded training sample, one row per key.
 
-    Rows are taken in the order of a hash of the key until TRAIN_ROWS are held; texts over TRAIN_CHARS are
-    not chosen, rows without text or label neither. Of a key labelled twice, the larger label counts.
+    Labelled rows whose crc32 of the key as text modulo 5 is not 0, in the order of a hash of the key, until
+    TRAIN_ROWS are held; texts over TRAIN_CHARS are not chosen, rows without text or label neither. Of a key
+    labelled twice the larger label counts, of a key with two texts the lesser text.
     """
     fold = F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0
     marked = labels.where(F.col(label).isin(0, 1) & fold).groupBy(F.col(key).alias("_k"))
@@ -174,13 +180,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     chosen = held.orderBy(F.xxhash64("_k"), "_k").limit(TRAIN_ROWS)
     rows = docs.where(F.length(text) <= TRAIN_CHARS).select(F.col(key).alias("_k"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(chosen), "_k").groupBy("_k", "label").agg(F.min("text").alias("text"))
-    return [(r.text, r.label) for r in rows.orderBy(F.xxhash64("_k"), "_k").collect()]
+    return rows.select(F.xxhash64("_k").alias("at"), F.col("_k").alias("key"), "text", "label")
 
 
 def toxicity_model(docs, labels, key="doc_id", text="text", label="toxic") -> tuple[np.ndarray, float]:
-    """Weights and bias learnt from the training rows; a constant model where one label is missing."""
-    rows = training_rows(docs, labels, key, text, label)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    """Weights and bias, learnt by one task from the bounded sample; constant where a label is missing."""
+
+    def run(batches):
+        texts, truth = [], []
+        for batch in batches:
+            texts += batch.column(2).to_pylist()
+            truth += batch.column(3).to_pylist()
+        weights, bias = train(texts, truth)
+        yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
+
+    rows = training_rows(docs, labels, key, text, label).repartition(1).sortWithinPartitions("at", "key")
+    found = rows.mapInArrow(run, "weights binary, bias double").collect()
+    if not found:  # no task runs over an empty sample
+        return train([], [])
+    return np.frombuffer(found[0].weights, np.float32), found[0].bias
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
