@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,12 +38,18 @@ class Scratch:
         """Write ``df`` and read it back; ``replaces`` is an earlier scratch table to drop."""
         where = self.path()
         df.write.parquet(where)
+        self.release()
         back = self.spark.read.schema(df.schema).parquet(where)
         back.scratch_path = where
         if replaces is not None:
             self.drop(replaces)
         return back
 
+    def release(self) -> None:
+        """Let the driver notice that the shuffle files of finished steps are no longer referred to."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,8 +32,8 @@ from .shared import Scratch
 
 SPAN = 400
 GRAM = 16
-RATE = 48
-REACH = 288
+RATE = 32
+REACH = 192
 CORE = SPAN - REACH
 #: Kinds around one core that one task sorts together; more take the way by hash.
 KINDS = 50_000
@@ -141,21 +141,68 @@ def occurrences(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.select("text", "t1", "t2").mapInArrow(run, kinds)
 
 
-def explicit_windows(texts: DataFrame) -> DataFrame:
-    """``(h1, h2, t1, t2, start)`` of the starts that belong to no unit."""
+def _lone_windows(data):
+    """Of the starts that belong to no unit: hashes, starts and how often each string is among them."""
+    *_, lone, prefix = units(data)
+    h1, h2 = halves(prefix, lone)
+    order = np.lexsort((lone, h2, h1))
+    h1, h2, lone = h1[order], h2[order], lone[order]
+    new = np.ones(len(lone), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    group = np.cumsum(new) - 1
+    return h1, h2, lone, new, np.bincount(group, minlength=int(new.sum()))[group] if len(lone) else lone
+
+
+def explicit_counts(texts: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of the strings outside units that occur more than once, counted per text first."""
 
     def run(batches):
         def parts():
             for batch in batches:
-                ids = [batch.column(i).to_numpy() for i in (1, 2)]
-                for row, data in _texts(batch, 0):
-                    *_, lone, prefix = units(data)
-                    h1, h2 = halves(prefix, lone)
-                    yield _as_long(h1), _as_long(h2), *(np.full(len(lone), i[row]) for i in ids), lone
+                for _, data in _texts(batch, 0):
+                    h1, h2, _, new, times = _lone_windows(data)
+                    yield _as_long(h1[new]), _as_long(h2[new]), times[new]
+
+        yield from _batches(["h1", "h2", "n"], parts())
+
+    found = texts.select("text").mapInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2")
+    return found.agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
 
-        yield from _batches(["h1", "h2", "t1", "t2", "start"], parts())
 
-    return texts.select("text", "t1", "t2").mapInArrow(run, "h1 long, h2 long, t1 long, t2 long, start long")
+def explicit_ranges(texts: DataFrame, often: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(t1, t2, a, b)`` of starts outside units that repeat; those that repeat within a text need no join."""
+
+    def run(batches):
+        def parts():
+            for batch in batches:
+                ids = [batch.column(i).to_numpy() for i in (1, 2)]
+                for row, data in _texts(batch, 0):
+                    h1, h2, lone, _, times = _lone_windows(data)
+                    slot = h1 & np.uint64(BITMAP_BITS - 1)
+                    may = ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                    own = np.sort(lone[times > 1])
+                    first = np.flatnonzero(np.diff(own, prepend=-2) != 1)
+                    last = np.append(first[1:] - 1, len(own) - 1)[: len(first)]
+                    ask = may & (times == 1)
+                    size = len(first) + int(ask.sum())
+                    sure = np.arange(size) < len(first)
+                    none = np.zeros(len(first), np.int64)
+                    yield (
+                        np.concatenate([none, _as_long(h1[ask])]),
+                        np.concatenate([none, _as_long(h2[ask])]),
+                        *(np.full(size, i[row]) for i in ids),
+                        np.concatenate([own[first], lone[ask]]),
+                        np.concatenate([own[last], lone[ask]]),
+                        sure,
+                    )
+
+        yield from _batches(["h1", "h2", "t1", "t2", "a", "b", "sure"], parts())
+
+    kinds = "h1 long, h2 long, t1 long, t2 long, a long, b long, sure boolean"
+    rows = texts.select("text", "t1", "t2").mapInArrow(run, kinds)
+    known = often.select("h1", "h2", F.lit(True).alias("often"))
+    rows = rows.join(known, ["h1", "h2"], "left").where("sure or often")
+    return rows.select("t1", "t2", "a", "b")
 
 
 CONTENT = "core long, unit long, down int, up int, left binary, right binary"
@@ -214,7 +261,7 @@ def named(scratch: Scratch, rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def suffix_keys(scratch: Scratch, held: DataFrame) -> DataFrame:
-    """``(core, unit, keys)``: the order of ``keys`` is that of the bytes after the core."""
+    """``(id, keys)``: the order of ``keys`` is that of the bytes after the core."""
 
     @F.pandas_udf("array<long>")
     def symbols(right: pd.Series) -> pd.Series:
@@ -226,26 +273,26 @@ def suffix_keys(scratch: Scratch, held: DataFrame) -> DataFrame:
             out.append((big ^ np.uint64(1 << 63)).view(np.int64))
         return pd.Series(out)
 
-    now = held.select("core", "unit", symbols("right").alias("s"))
-    now = scratch.table(now.select("core", "unit", F.array(F.get("s", F.lit(0))).alias("keys"), _rest("s").alias("s")))
+    now = held.select("id", symbols("right").alias("s"))
+    now = scratch.table(now.select("id", F.array(F.get("s", F.lit(0))).alias("keys"), _rest("s").alias("s")))
     while now.agg(F.max(F.size("s"))).first()[0]:
-        triples = now.select("core", "unit", F.posexplode(_triples("s")).alias("at", "t"))
-        triples = triples.select("core", "unit", "at", F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
+        triples = now.select("id", F.posexplode(_triples("s")).alias("at", "t"))
+        triples = triples.select("id", "at", F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
         triples = scratch.table(triples)
         names = named(scratch, triples, ["x", "y", "z"])
-        levels = triples.join(names, ["x", "y", "z"]).groupBy("core", "unit")
+        levels = triples.join(names, ["x", "y", "z"]).groupBy("id")
         levels = levels.agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("own"))
-        levels = levels.select("core", "unit", F.col("own.name").alias("next"))
+        levels = levels.select("id", F.col("own.name").alias("next"))
         now = scratch.table(
-            now.join(levels, ["core", "unit"], "left").select(
-                "core",
-                "unit",
+            now.join(levels, "id", "left").select(
+                "id",
                 F.array_append("keys", F.coalesce(F.get("next", F.lit(0)), F.lit(0))).alias("keys"),
                 F.coalesce(_rest("next"), F.array().cast("array<long>")).alias("s"),
             ),
             replaces=now,
         )
-    return now.select("core", "unit", "keys")
+        scratch.drop(triples)
+    return now.select("id", "keys")
 
 
 def _rest(name):
@@ -311,7 +358,7 @@ def repeated_starts(batch: pa.Table):
 def sorted_runs(scratch: Scratch, held: DataFrame) -> DataFrame:
     """``(core, unit, first, last)`` from the suffix order of the units of each core."""
     keys = suffix_keys(scratch, held)
-    rows = held.join(keys, ["core", "unit"]).repartition("core").sortWithinPartitions("core", "keys").drop("keys")
+    rows = held.join(keys, "id").repartition("core").sortWithinPartitions("core", "keys").drop("keys", "id")
 
     def run(batches):
         held, size = [], 0
@@ -356,7 +403,7 @@ def hashed_runs(held: DataFrame) -> DataFrame:
 
         yield from _batches(["h1", "h2", "core", "unit", "first"], parts())
 
-    rows = held.mapInArrow(run, "h1 long, h2 long, core long, unit long, first long")
+    rows = held.drop("id").mapInArrow(run, "h1 long, h2 long, core long, unit long, first long")
     often = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(often, ["h1", "h2"]).select("core", "unit", "first", F.col("first").alias("last"))
 
@@ -376,19 +423,24 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame) -> DataFrame:
     several = kinds.where("several").select("core", "unit", "example.*")
     many = several.groupBy("core").agg(F.count("*").alias("kinds")).where(f"kinds > {KINDS}").select("core")
     chosen = bitmap(several.select(F.col("t1").alias("h")))
-    held = scratch.table(contents(texts.where(_may(chosen)("t1")), several))
+    held = contents(texts.where(_may(chosen)("t1")), several)
+    held = scratch.table(held.select(F.monotonically_increasing_id().alias("id"), "*"))
     runs = sorted_runs(scratch, held.join(many, "core", "left_anti"))
     runs = runs.unionByName(hashed_runs(held.join(many, "core", "left_semi")))
-    place = seen.select("core", "unit", "t1", "t2", "low", "high", "place").distinct()
-    copies = place.join(kinds.where("n > 1").select("core", "unit"), ["core", "unit"])
-    copies = copies.select("t1", "t2", F.col("low").alias("a"), F.col("high").alias("b"))
-    single = place.join(runs, ["core", "unit"])
-    single = single.select("t1", "t2", (F.col("place") - F.col("last")).alias("a"), (F.col("place") - F.col("first")).alias("b"))
-    lone = explicit_windows(texts)
-    often = lone.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    lone = lone.join(often, ["h1", "h2"]).select("t1", "t2", F.col("start").alias("a"), F.col("start").alias("b"))
-    ranges = copies.unionByName(single).unionByName(lone).distinct()
-    return ranges.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    none = F.lit(None).cast("long")
+    whole = kinds.where("n > 1").select("core", "unit", none.alias("first"), none.alias("last"))
+    verdicts = scratch.table(whole.unionByName(runs), replaces=held)
+    found = seen.join(verdicts, ["core", "unit"]).select(
+        "t1",
+        "t2",
+        F.coalesce(F.col("place") - F.col("last"), "low").alias("a"),
+        F.coalesce(F.col("place") - F.col("first"), "high").alias("b"),
+    )
+    found = scratch.table(found.distinct(), replaces=seen)
+    often = scratch.table(explicit_counts(texts))
+    lone = explicit_ranges(texts, often, bitmap(often.select(F.col("h1").alias("h"))))
+    ranges = found.unionByName(lone)
+    return ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
 def _may(bits: np.ndarray):
