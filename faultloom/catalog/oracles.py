@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.prompts import DETECTION_PROMPTS, RENAME_PROMPT
 from ..functions.labels import NO_MODIFICATIONS
 from ..functions.words import RESERVED
-from .views import cte
+from .views import CODE_TAIL, TAIL_EDITS, cte
 
 SEED = 7
 
@@ -14,7 +14,8 @@ WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN_OR_GAP = "[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+"
 BASED = "[0-9]*''[sS]?[bBoOdDhH][0-9a-fA-FxXzZ_?]+"
-CODE_TOKEN = f"{BASED}|[A-Za-z0-9_$]+|[^A-Za-z0-9_$]"
+STRING = r"""\"(?:\\[\s\S]|[^\"\\])*\""""
+CODE_TOKEN = f"{STRING}|{BASED}|[A-Za-z0-9_$]+|[^A-Za-z0-9_$]"
 KINDED = r"/\*[\s\S]*?\*/|//[^\n]*\n?|\"(?:\\[^\n]|[^\"\\])*\"|''(?:\\[^\n]|[^''\\])*''".replace(r"\"", '"')
 PLAIN = r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:\\[\s\S]|[^\"\\])*\"|''(?:\\[\s\S]|[^''\\])*''".replace(r"\"", '"')
 MODULE = (
@@ -326,11 +327,119 @@ renaming as (
 
 V2 = filled(DETECTION_PROMPTS["v2"], "text")
 
+def tail_case() -> str:
+    cases = " ".join(
+        f"when {n} then {quoted(CODE_TAIL.replace(old, new))}" for n, (old, new) in enumerate(TAIL_EDITS)
+    )
+    return f"case doc_id % 6 {cases} else {quoted(CODE_TAIL)} end"
+
+
+def code_of(text: str) -> str:
+    """Tokens of a source text: comments are white space, a string is one token."""
+    bare = f"regexp_replace({text}, '({STRING})|//[^\\n]*|/\\*[\\s\\S]*?\\*/', '\\1 ', 'g')"
+    return f"list_filter(regexp_extract_all({bare}, '{CODE_TOKEN}'), lambda t: not regexp_matches(t, '^{WS}$'))"
+
+
+NAME_TEST = "regexp_full_match({0}, '[A-Za-z_][A-Za-z0-9_$]*') and {0} not in ({1})"
+RENAME_EQUIV = f"""{ALL_RENAMED}, paired as (
+  select doc_id, gold || {quoted(CODE_TAIL)} as gold, renamed || {tail_case()} as gate from outputs),
+listed as (select doc_id, {code_of("gold")} as l, {code_of("gate")} as r from paired),
+tokens as (select doc_id, len(l) as nl, len(r) as nr, unnest(l) as lt, unnest(r) as rt from listed),
+tested as (
+  select *, {NAME_TEST.format("lt", ", ".join(quoted(w) for w in RESERVED))} as ln,
+         {NAME_TEST.format("rt", ", ".join(quoted(w) for w in RESERVED))} as rn from tokens),
+judged_docs as (
+  select doc_id, bool_and(nl = nr and coalesce(ln = rn, false) and (ln or lt = rt))
+         and count(distinct lt) filter (ln) = count(distinct (lt, rt)) filter (ln)
+         and count(distinct rt) filter (ln) = count(distinct (lt, rt)) filter (ln) as same
+  from tested group by doc_id)
+select b.doc_id, (case when gold = gate or coalesce(same, true) then 0 else 1 end)::bigint as verdict
+from paired b left join judged_docs using (doc_id)"""
+
+# --- line matching: the longest common run of a range, then the ranges before and after it, until none is left
+
+
+def collapsed_lines(text: str) -> str:
+    return f"list_transform({lines_of(text)}, lambda l: {collapsed('l')})"
+
+
+def kept_lines(text: str) -> str:
+    none = r"[^\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
+    return f"regexp_extract_all({text}, '{none}*(?:{BREAK})|{none}+')"
+
+
+def matched(lines) -> str:
+    """Matching runs, opcodes and the line lists of every pair; no list here is long enough for popular lines."""
+    with_recursive = cte("code_pairs").replace("with ", "with recursive ", 1)
+    return f"""{with_recursive}, listed as materialized (
+  select pair_id, {lines("base_code")} as la, {lines("buggy_code")} as lb from code_pairs),
+olds as (select pair_id, unnest(range(len(la))) as i, unnest(la) as line from listed),
+news as (select pair_id, unnest(range(len(lb))) as j, unnest(lb) as line from listed),
+equal_places as (select pair_id, i, j, i - j as d from olds join news using (pair_id, line)),
+numbered as (select *, i - row_number() over (partition by pair_id, d order by i) as island from equal_places),
+runs as materialized (
+  select pair_id, d, min(i) as i0, max(i) + 1 as i9 from numbered group by pair_id, d, island),
+ranges as (
+  select pair_id, 0::bigint as alo, len(la)::bigint as ahi, 0::bigint as blo, len(lb)::bigint as bhi,
+         null::struct(n bigint, i bigint, j bigint) as best
+  from listed
+  union all
+  select pair_id, side.alo, side.ahi, side.blo, side.bhi, side.best
+  from (
+    select pair_id, alo, ahi, blo, bhi, max(struct_pack(n := n, i := -i, j := -j)) as best
+    from (
+      select g.pair_id, alo, ahi, blo, bhi, greatest(i0, alo, blo + d) as i, greatest(i0, alo, blo + d) - d as j,
+             least(i9, ahi, bhi + d) - greatest(i0, alo, blo + d) as n
+      from ranges g join runs u on u.pair_id = g.pair_id
+      where g.best is null and u.i0 < g.ahi and u.i9 > g.alo)
+    where n > 0 group by pair_id, alo, ahi, blo, bhi) m,
+  lateral (select unnest([
+    struct_pack(alo := -m.best.i, ahi := -m.best.i + m.best.n, blo := -m.best.j, bhi := -m.best.j + m.best.n, best := m.best),
+    struct_pack(alo := m.alo, ahi := -m.best.i, blo := m.blo, bhi := -m.best.j, best := null),
+    struct_pack(alo := -m.best.i + m.best.n, ahi := m.ahi, blo := -m.best.j + m.best.n, bhi := m.bhi, best := null)]) as side)),
+found as (select pair_id, alo as i, blo as j, ahi - alo as n from ranges where best is not null),
+joined as (
+  select *, case when lag(i + n) over w = i and lag(j + n) over w = j then 0 else 1 end as new
+  from found window w as (partition by pair_id order by i)),
+grouped as (select *, sum(new) over (partition by pair_id order by i) as g from joined),
+blocks as (
+  select pair_id, min(i) as i, min(j) as j, sum(n)::bigint as n from grouped group by pair_id, g
+  union all select pair_id, len(la), len(lb), 0 from listed),
+gaps as (
+  select *, coalesce(lag(i + n) over w, 0) as pi, coalesce(lag(j + n) over w, 0) as pj
+  from blocks window w as (partition by pair_id order by i, j, n desc)),
+opcodes as (
+  select pair_id, case when pi = i then 'insert' when pj = j then 'delete' else 'replace' end as tag,
+         pi as i1, i as i2, pj as j1, j as j2 from gaps where pi < i or pj < j
+  union all select pair_id, 'equal', i, i + n, j, j + n from blocks where n > 0)"""
+
+
+def diff_chunks(lines, normalized: bool) -> str:
+    join = "chr(10)" if normalized else "''"
+    trim = "trim({}, chr(10))" if normalized else "{}"
+    sides = ", ".join(
+        trim.format(f"coalesce(array_to_string({side}[{a} + 1:{b}], {join}), '')") + f" as {name}"
+        for side, a, b, name in (("la", "pi", "i", "old_version"), ("lb", "pj", "j", "new_version"))
+    )
+    differ = "where old_version <> new_version" if normalized else ""
+    return f"""{matched(lines)}, separators as (
+  select pair_id, i, j, n from blocks where n >= 3 or n = 0),
+stretches as (
+  select *, coalesce(lag(i + n) over w, 0) as pi, coalesce(lag(j + n) over w, 0) as pj
+  from separators window w as (partition by pair_id order by i, j, n desc)),
+built as (
+  select pair_id, pi, pj, {sides} from stretches join listed using (pair_id) where pi < i or pj < j)
+select pair_id, (row_number() over (partition by pair_id order by pi, pj) - 1)::bigint as chunk_no, old_version, new_version
+from built {differ}"""
+
+
 ORACLES: dict[str, str] = {
     "labels_rowlevel": f"""{LABELLED} select uuid, input_file_rel_path, challenge_id,
         expected_detection_result, actual_detection_result from labelled""",
-    "labels_strict": f"""{LABELLED} select uuid, expected_detection_result, actual_detection_result from labelled
-        where contains(llm_response, 'No modifications detected') or contains(llm_response, '```')""",
+    "labels_strict": f"""{cte("usable_reviews")} select uuid,
+        case when contains(input_file_rel_path, '/buggy.') then 'contains_bug' else 'no_bug' end as expected_detection_result,
+        case when contains(llm_response, 'No modifications detected') then 'no_bug' else 'contains_bug' end
+          as actual_detection_result from usable_reviews""",
     "confusion_matrix": matrix(),
     "by_model_confusion": matrix("llm_model_name"),
     "by_challenge": BY_CHALLENGE,
@@ -412,12 +521,23 @@ ORACLES: dict[str, str] = {
     "shuffle_corpus": shuffled("safe"),
     "shuffle_corpus_medium": shuffled("medium"),
     "shuffle_corpus_aggressive": shuffled("aggressive"),
-    "report_blocks": f"""{cte("reports")}
-        select report_id, pair_id,
-               (case pair_id % 4 when 2 then 0 when 3 then 2 else 1 end)::bigint as n_blocks,
-               case pair_id % 4 when 0 then 'MUTATED ' || pair_id when 1 then 'assign unrelated = 1;' when 2 then ''
-                    else {collapsed("split_part(base_code, chr(10), 1)")} || '|MUTATED' end as blocks
-        from reports join code_pairs using (pair_id)""",
+    "report_blocks": f"""{cte("reports")}, pieces as (select report_id, pair_id, {lines_of("bug_report")} as lines from reports),
+        rows as (select report_id, unnest(range(len(lines))) as pos, unnest(lines) as line from pieces),
+        fences as (select report_id, pos, row_number() over (partition by report_id order by pos) - 1 as n
+                   from rows where regexp_matches(line, '^{WS}*```')),
+        spans as (select o.report_id, o.n // 2 as block_no, o.pos as opened, c.pos as closed
+                  from fences o join fences c on c.report_id = o.report_id and c.n = o.n + 1 where o.n % 2 = 0),
+        texts as (select s.report_id, s.block_no, coalesce(string_agg(r.line, chr(10) order by r.pos), '') as block
+                  from spans s left join rows r on r.report_id = s.report_id and r.pos > s.opened and r.pos < s.closed
+                  group by s.report_id, s.block_no),
+        listed as (select report_id, count(*) as n, string_agg({collapsed("block")}, '|' order by block_no) as blocks
+                   from texts group by report_id)
+        select report_id, pair_id, coalesce(n, 0)::bigint as n_blocks, coalesce(blocks, '') as blocks
+        from reports left join listed using (report_id)""",
+    "diff_opcodes": f"""{matched(collapsed_lines)} select pair_id, (row_number() over (partition by pair_id order by i1, j1, i2, j2) - 1)::bigint as pos,
+        tag, i1::int as i1, i2::int as i2, j1::int as j1, j2::int as j2 from opcodes""",
+    "diff_chunks": diff_chunks(collapsed_lines, True),
+    "diff_chunks_exact": diff_chunks(kept_lines, False),
     "branch_names": f"""{cte("refs")}
         select distinct repo, substr(ref_name, instr(ref_name, '/') + 1) as branch from refs
         where not ends_with(ref_name, '/HEAD') and substr(ref_name, instr(ref_name, '/') + 1) <> 'main'""",
@@ -447,23 +567,7 @@ ORACLES: dict[str, str] = {
           union all select 'missing', null, null)
         select "case", (case when only_gold is null then 2 when only_gold = 0 and only_gate = 0 then 0 else 1 end)::bigint as verdict,
                only_gold, only_gate from counts""",
-    "rename_equiv": f"""{ALL_RENAMED}, paired as (
-          select doc_id, gold, case when doc_id % 5 = 0 then renamed || ' 2''d1' else renamed end as gate from outputs),
-        listed as (
-          select doc_id, list_filter(regexp_extract_all(gold, '{CODE_TOKEN}'), lambda t: not regexp_matches(t, '^{WS}$')) as l,
-                 list_filter(regexp_extract_all(gate, '{CODE_TOKEN}'), lambda t: not regexp_matches(t, '^{WS}$')) as r from paired),
-        tokens as (
-          select doc_id, len(l) as nl, len(r) as nr, unnest(l) as lt, unnest(r) as rt from listed),
-        tested as (
-          select *, regexp_full_match(lt, '[A-Za-z_][A-Za-z0-9_$]*') as ln,
-                 regexp_full_match(rt, '[A-Za-z_][A-Za-z0-9_$]*') as rn from tokens),
-        judged_docs as (
-          select doc_id, bool_and(nl = nr and coalesce(ln = rn, false) and (ln or lt = rt))
-                 and count(distinct lt) filter (ln) = count(distinct (lt, rt)) filter (ln)
-                 and count(distinct rt) filter (ln) = count(distinct (lt, rt)) filter (ln) as same
-          from tested group by doc_id)
-        select b.doc_id, (case when gold = gate or coalesce(same, true) then 0 else 1 end)::bigint as verdict
-        from paired b left join judged_docs using (doc_id)""",
+    "rename_equiv": RENAME_EQUIV,
     "collect_stub": f"""with asked as (
           select *, 'ch' || (doc_id % 50) || '/f' || doc_id || '.sv' as path, {V2} as prompt from documents)
         select sha256(path || chr(31) || prompt || chr(31) || 'model-a') as uuid, path as input_file_rel_path,

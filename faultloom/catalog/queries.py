@@ -28,8 +28,9 @@ from ..plans.collect import collect_responses
 from ..plans.pair_corpus import build_pair_corpus
 from ..plans.rename_corpus import apply_rename_responses, rename_corpus, rename_summary
 from ..plans.score import pairs_from_emitted
-from ..sizing import spread
+from ..sizing import widened
 from ..sources.tables import read_table
+from . import views
 from .views import RENAME_JSON, VIEWS
 
 SEED = 7
@@ -38,9 +39,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A driver table; with keys, a small one is spread over the cores for text work."""
+    """A driver table; with keys, its scan is spread by them if the session asks for that."""
     df = read_table(spark, f"{sf_dir}/{name}.parquet")
-    return spread(df, *keys) if keys else df
+    return widened(df, *keys) if keys else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
@@ -67,12 +68,8 @@ def labels_rowlevel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict label domain over the responses that can be labelled at all."""
-    reviews = view(spark, sf_dir, "reviews")
-    usable = reviews.where(
-        F.col("llm_response").contains("No modifications detected") | F.col("llm_response").contains("```")
-    )
-    strict = evaluation.with_labels(usable, strict=True)
+    """Strict label domain over responses that all lie within it."""
+    strict = evaluation.with_labels(view(spark, sf_dir, "usable_reviews"), strict=True)
     return strict.select("uuid", evaluation.EXPECTED, evaluation.ACTUAL)
 
 
@@ -245,8 +242,7 @@ def rename_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rename_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir).select("doc_id", "text")
-    accepted = mapping_accept(spark, sf_dir).where(F.col("reason").isNull())
-    return renaming.rename_by_table(texts, accepted)
+    return renaming.rename_by_proposals(texts, view(spark, sf_dir, "mappings"))
 
 
 def rename_corpus_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,11 +345,7 @@ def report_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def override_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        view(spark, sf_dir, "override_paths")
-        .groupBy("repo", "branch", "action", "chosen_path")
-        .agg(F.sort_array(F.collect_list("expected_path")).alias("expected_paths"))
-    )
+    return view(spark, sf_dir, "override_paths")
 
 
 def _pair_corpus(spark: SparkSession, sf_dir: str):
@@ -416,12 +408,13 @@ def dataset_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rename_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renamed texts with a tail of code: as it is, or with a literal, comment, keyword or string changed."""
+    kind = F.col("doc_id") % 6
+    tail = F.lit(views.CODE_TAIL)
+    for n, (old, new) in enumerate(views.TAIL_EDITS):
+        tail = F.when(kind == n, F.lit(views.CODE_TAIL.replace(old, new))).otherwise(tail)
     pairs = _renamed_by_response(spark, sf_dir).select(
-        "doc_id",
-        F.col("text").alias("gold"),
-        F.when(F.col("doc_id") % 5 == 0, F.concat("renamed", F.lit(" 2'd1")))
-        .otherwise(F.col("renamed"))
-        .alias("gate"),
+        "doc_id", F.concat("text", F.lit(views.CODE_TAIL)).alias("gold"), F.concat("renamed", tail).alias("gate")
     )
     return equivalence.rename_verdicts(pairs, key="doc_id").withColumn("verdict", F.col("verdict").cast("bigint"))
 

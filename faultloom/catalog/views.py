@@ -15,16 +15,32 @@ select 'r' || cast(doc_id as string) as uuid,
        case when doc_id % 7 = 0 then 'No modifications detected'
             when doc_id % 7 = 1 then 'too short'
             when doc_id % 7 = 2 then text
-            else 'Found:' || chr(10) || '```systemverilog' || chr(10)
-                 || split_part(text, chr(10), 1) || chr(10) || '```' end as llm_response,
+            when doc_id % 7 = 3 then 'Two:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || 'and'
+                 || chr(10) || '  ```sv' || chr(10) || source || chr(10) || '```' || chr(10) || '```open' || chr(10) || text
+            else 'Found:' || chr(10) || '```systemverilog' || chr(10) || text || chr(10) || '```' end as llm_response,
        'model-' || cast(doc_id % 3 as string) as llm_model_name
 from {documents}
 """
 
+# Every response can be labelled: an all-clear or a block with the whole text.
+USABLE_REVIEWS = """
+select uuid, input_file_rel_path, input_file_contents,
+       case when uuid like '%0' or uuid like '%5' then 'No modifications detected'
+            else 'A bug is in this block:' || chr(10) || '```' || chr(10) || input_file_contents || chr(10) || '```'
+            end as llm_response,
+       llm_model_name
+from {reviews}
+"""
+
+# Every document gets a pair: its second line is exchanged, or a line added where it has none; every
+# fifth pair is equal on both sides.
 CODE_PAIRS = """
 select doc_id as pair_id, text as base_code,
-       replace(text, split_part(text, chr(10), 2), 'MUTATED ' || cast(doc_id as string)) as buggy_code
-from {documents} where length(split_part(text, chr(10), 2)) > 0
+       case when doc_id % 5 = 4 then text
+            when length(split_part(text, chr(10), 2)) > 0
+            then replace(text, split_part(text, chr(10), 2), 'MUTATED ' || cast(doc_id as string))
+            else text || chr(10) || 'MUTATED ' || cast(doc_id as string) end as buggy_code
+from {documents}
 """
 
 REPORTS = """
@@ -32,8 +48,10 @@ select pair_id as report_id, pair_id,
        case when pair_id % 4 = 0 then 'Bug:' || chr(10) || '```' || chr(10) || 'MUTATED ' || cast(pair_id as string) || chr(10) || '```'
             when pair_id % 4 = 1 then 'Bug:' || chr(10) || '```sv' || chr(10) || 'assign unrelated = 1;' || chr(10) || '```'
             when pair_id % 4 = 2 then 'No modifications detected'
+            when pair_id % 8 = 3 then 'All of it:' || chr(10) || '```' || chr(10) || buggy_code || chr(10) || '```'
             else '```' || chr(10) || split_part(base_code, chr(10), 1) || chr(10) || '```' || chr(10)
-                 || '```' || chr(10) || 'MUTATED' || chr(10) || '```' end as bug_report
+                 || '```' || chr(10) || 'MUTATED' || chr(10) || '```' || chr(10) || '```' || chr(10) || base_code
+                 || chr(10) || '```' || chr(10) || '```' || chr(10) || 'open' end as bug_report
 from {code_pairs}
 """
 
@@ -92,13 +110,14 @@ with changed as (
          'src/f' || cast(doc_id as string) || '.sv' as path, doc_id
   from {documents}
   where doc_id % 33 = 0 or (doc_id % 97 = 5) <> (doc_id % 89 = 7)
-)
-select repo, branch,
-       case when branch = 'fix_cwe_1' then 'skip' else 'choose' end as action,
-       path as expected_path,
-       max(case when doc_id % 33 = 0 and doc_id % 97 <> 5 and doc_id % 89 <> 7 then path end)
-         over (partition by repo, branch) as chosen_path
-from changed where branch in ('fix_cwe_1', 'fix_cwe_2', 'fix_cwe_3')
+), chosen as (
+  select repo, branch, max(case when doc_id % 33 = 0 and doc_id % 97 <> 5 and doc_id % 89 <> 7 then path end) as chosen_path
+  from changed group by repo, branch)
+select c.repo, c.branch,
+       case when c.branch = 'fix_cwe_1' then 'skip' else 'choose' end as action,
+       c.path as expected_path, h.chosen_path
+from changed c join chosen h on h.repo = c.repo and h.branch = c.branch
+where c.branch in ('fix_cwe_1', 'fix_cwe_2', 'fix_cwe_3')
 union all
 select 'repo0', 'fix_cwe_4', 'choose', 'src/none.sv', 'src/none.sv' from (select count(*) as n from {documents}) t
 """
@@ -109,8 +128,13 @@ RENAME_JSON = (
     '"is": "9bad", "tok_b": "the", "de": "la", "la": "de"}'
 )
 
+# Code put after prose for comparisons up to renaming, and edits of it: only the comment's leaves it the same.
+CODE_TAIL = ' wire q9; s9 = "a b"; n9 = 2\'d1; // note'
+TAIL_EDITS = (("2'd1", "2'd0"), ("// note", "/* other */"), ("wire", "reg"), ('"a b"', '"a  b"'), ("s9 =", "q9 ="))
+
 VIEWS = {
     "reviews": (REVIEWS, ("documents",)),
+    "usable_reviews": (USABLE_REVIEWS, ("reviews",)),
     "code_pairs": (CODE_PAIRS, ("documents",)),
     "reports": (REPORTS, ("code_pairs",)),
     "mappings": (MAPPINGS, ("documents",)),

@@ -100,24 +100,29 @@ def is_json_object(candidate: Column) -> Column:
 def first_json_object(text: Column) -> Column:
     """The first JSON object embedded in free text, else NULL.
 
-    The object starts at the first ``{``; its end is the earliest later ``}`` that makes it parse.
+    The object starts at the first ``{``. Only the brace that closes it outside strings can make it parse, so
+    one pass over strings, braces and the stretches between them finds the end, and one parse decides.
     """
+    tokens = r'"(?:[^"\\]++|\\[\s\S])*+"|[{}]|[^"{}]++|"'
 
-    def search(tail: Column) -> Column:
-        closers = F.length(tail) - F.length(F.replace(tail, F.lit("}"), F.lit("")))
-
-        def try_next(found: Column, k: Column) -> Column:
-            return F.coalesce(
-                found,
-                bind(
-                    F.concat(F.call_function("substring_index", tail, F.lit("}"), k), F.lit("}")),
-                    lambda c: F.when(is_json_object(c), c),
-                ),
-            )
-
+    def step(state: Column, token: Column) -> Column:
+        open_ = state["end"] < 0
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        at = state["at"] + F.length(token)
         return F.when(
-            closers > 0,
-            F.aggregate(F.sequence(F.lit(1), closers), F.lit(None).cast("string"), try_next),
+            open_,
+            F.struct(
+                depth.cast("int").alias("depth"),
+                at.cast("int").alias("at"),
+                F.when(depth == 0, at).otherwise(-1).cast("int").alias("end"),
+            ),
+        ).otherwise(state)
+
+    def search(tail: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+        end = F.aggregate(F.regexp_extract_all(tail, F.lit(tokens), 0), start, step)["end"]
+        return bind(
+            F.when(end > 0, F.substring(tail, F.lit(1), end)), lambda found: F.when(is_json_object(found), found)
         )
 
     start = F.instr(text, "{")
@@ -145,15 +150,28 @@ def json_entries(obj: Column) -> Column:
         return bind(flat, lambda rows: bind(F.array_distinct(keys), lambda ks: last_of(rows, keys, ks)))
 
     def last_of(rows: Column, keys: Column, distinct_keys: Column) -> Column:
-        def entry(key: Column, ord_: Column) -> Column:
-            row = F.element_at(F.filter(rows, lambda r: r["key"] == key), -1)
-            return F.struct(
-                ord_.cast("int").alias("ord"),
-                key.alias("key"),
-                row["value"].alias("value"),
-                row["is_text"].alias("is_text"),
+        def of_runs(own: Column) -> Column:
+            """First place and last value of every key, from rows in the order of key and place."""
+            edge = lambda i, step: ~F.coalesce(F.get(own, i + step)["key"].eqNullSafe(F.get(own, i)["key"]), F.lit(False))
+            starts = F.filter(own, lambda x, i: (i == 0) | edge(i, -1))
+            ends = F.filter(own, lambda x, i: edge(i, 1))
+            joined = F.zip_with(
+                starts,
+                ends,
+                lambda x, y: F.struct(x["at"].alias("at"), x["key"].alias("key"), y["value"].alias("value"), y["is_text"].alias("is_text")),
+            )
+            return F.transform(
+                F.array_sort(joined),
+                lambda x, i: F.struct(
+                    i.cast("int").alias("ord"), x["key"].alias("key"), x["value"].alias("value"), x["is_text"].alias("is_text")
+                ),
             )
 
+        placed = F.transform(
+            rows,
+            lambda r, i: F.struct(r["key"].alias("key"), i.alias("at"), r["value"].alias("value"), r["is_text"].alias("is_text")),
+        )
+
         unchanged = F.transform(
             rows,
             lambda r, i: F.struct(
@@ -164,7 +182,7 @@ def json_entries(obj: Column) -> Column:
             ),
         )
         return F.when(F.size(rows) == F.size(distinct_keys), unchanged).otherwise(
-            F.transform(distinct_keys, entry)
+            bind(F.array_sort(placed), of_runs)
         )
 
     return bind(F.map_entries(typed), described)

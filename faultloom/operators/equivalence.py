@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import bind
 from ..functions.masking import BASED_LITERAL
 from ..functions.text import IDENTIFIER, WHITESPACE_CHARS
+from ..functions.words import is_reserved
 
 # Verdicts.
 SAME, DIFFERENT, INPUT_MISSING = 0, 1, 2
@@ -15,16 +17,44 @@ SAME, DIFFERENT, INPUT_MISSING = 0, 1, 2
 # Tokens of a source text; whitespace falls between them. A based literal is one token, so that a
 # changed digit in 2'd1 counts as a change.
 # Most tokens are names, so these are tried first; a based literal starts with a digit or a quote.
+_STRING = r'"(?:[^"\\]++|\\[\s\S])*+"'
+_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
 _TOKEN = (
-    rf"[A-Za-z_$][A-Za-z0-9_$]*+|(?=[0-9']){BASED_LITERAL}|[0-9][A-Za-z0-9_$]*+"
+    rf"{_STRING}|[A-Za-z_$][A-Za-z0-9_$]*+|(?=[0-9']){BASED_LITERAL}|[0-9][A-Za-z0-9_$]*+"
     rf"|[!-~]|[[^!-~]&&[^{WHITESPACE_CHARS}]]"
 )
 _NAME = rf"\A{IDENTIFIER}\z"
 
 
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A value as text or nested text, such that equal values and only those agree; NULL stays NULL."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [canonical(value[f.name], f.dataType).alias(f.name) for f in fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(
+            F.to_json(F.struct(canonical(e["key"], kind.keyType).alias("k"))).alias("key"),
+            F.to_json(F.struct(canonical(e["value"], kind.valueType).alias("v"))).alias("value"),
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    return value.cast("string")
+
+
 def row_fingerprint(df: DataFrame) -> Column:
-    """SHA-256 over all columns; NULLs and empty strings differ."""
-    return F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    """SHA-256 over all columns; NULLs and empty strings differ, maps are equal in any order of entries."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.sha2(F.to_json(F.struct(*[canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])), 256)
+
+
+def _kinds(df: DataFrame) -> list:
+    return sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields)
 
 
 def dataset_equivalence(gold: DataFrame | None, gate: DataFrame | None) -> DataFrame:
@@ -42,8 +72,8 @@ def dataset_equivalence(gold: DataFrame | None, gate: DataFrame | None) -> DataF
             F.lit(None).cast("bigint").alias("only_gold"),
             F.lit(None).cast("bigint").alias("only_gate"),
         )
-    if sorted(gold.columns) != sorted(gate.columns):
-        raise ValueError("the two tables have different columns")
+    if _kinds(gold) != _kinds(gate):
+        raise ValueError("the two tables have different columns or types")
     signed = gold.select(row_fingerprint(gold).alias("id"), F.lit(1).alias("d")).unionAll(
         gate.select(row_fingerprint(gate).alias("id"), F.lit(-1).alias("d"))
     )
@@ -57,39 +87,35 @@ def dataset_equivalence(gold: DataFrame | None, gate: DataFrame | None) -> DataF
 
 
 def code_tokens(text: Column) -> Column:
-    """Tokens of a source text without whitespace."""
-    return F.regexp_extract_all(text, F.lit(_TOKEN), 0)
+    """Tokens of a source text without whitespace and comments; a string literal is one token."""
+    code = F.regexp_replace(text, rf"({_STRING})|{_COMMENT}", "$1 ")
+    return F.regexp_extract_all(code, F.lit(_TOKEN), 0)
 
 
 def equal_up_to_renaming(gold: Column, gate: Column) -> Column:
     """True if the token streams agree except for a one-to-one renaming of identifiers.
 
-    Decided on the pair's own row: the aligned tokens are made distinct first (tokens hold no space),
-    and only distinct pairs are looked at. It is not a proof of equal behaviour: two texts that
-    compute the same in different ways come out different.
+    Reserved words, literals and signs must be equal; comments count as whitespace. Decided on the pair's own
+    row: the aligned tokens are made distinct first, and only distinct pairs are looked at. It is not a proof
+    of equal behaviour: two texts that compute the same in different ways come out different.
     """
 
     def same(left: Column, right: Column) -> Column:
-        aligned = F.array_distinct(F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+        aligned = F.array_distinct(F.zip_with(left, right, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
         return F.when(F.size(left) == F.size(right), bind(aligned, consistent)).otherwise(False)
 
+    def is_name(token: Column) -> Column:
+        return token.rlike(_NAME) & ~is_reserved(token)
+
     def consistent(pairs: Column) -> Column:
-        fits = F.forall(
-            pairs,
-            lambda p: (old(p) == new(p)) & ~old(p).rlike(_NAME) | old(p).rlike(_NAME) & new(p).rlike(_NAME),
-        )
-        return fits & bind(F.filter(pairs, lambda p: old(p).rlike(_NAME)), one_to_one)
+        """Unequal pairs must be two names; of all names each may stand beside one other only."""
+        fits = F.forall(pairs, lambda p: (p["a"] == p["b"]) | (is_name(p["a"]) & is_name(p["b"])))
+        return fits & bind(F.filter(pairs, lambda p: is_name(p["a"])), one_to_one)
 
     def one_to_one(names: Column) -> Column:
-        olds, news = F.array_distinct(F.transform(names, old)), F.array_distinct(F.transform(names, new))
+        olds, news = F.array_distinct(F.transform(names, lambda p: p["a"])), F.array_distinct(F.transform(names, lambda p: p["b"]))
         return (F.size(names) == F.size(olds)) & (F.size(names) == F.size(news))
 
-    def old(pair: Column) -> Column:
-        return F.split_part(pair, F.lit(" "), F.lit(1))
-
-    def new(pair: Column) -> Column:
-        return F.split_part(pair, F.lit(" "), F.lit(2))
-
     return F.when(gold == gate, True).otherwise(
         bind(
             F.struct(code_tokens(gold).alias("l"), code_tokens(gate).alias("r")),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import bind, unnest
+from ..functions.arrays import bind, members, unnest
 from ..functions.text import IDENTIFIER_CHARS, identifier_tokens, is_identifier
 from ..functions.words import MASK_PREFIX, is_candidate
 
@@ -45,33 +46,36 @@ def judge_entries(entries: Column, tokens: Column) -> Column:
     a pair may still have displaced a later one. ``reason`` is NULL for accepted pairs.
     """
 
-    def judged(es: Column, absent: Column) -> Column:
-        first = F.transform(
-            es,
-            lambda e: F.struct(
-                e["ord"].alias("ord"),
-                e["key"].alias("old_name"),
-                e["value"].alias("new_name"),
-                e["is_text"].alias("is_text"),
-                _first_reason(e["key"], e["value"], ~F.array_contains(absent, e["key"])).alias("reason"),
-            ),
+    def described(e: Column, absent: Column) -> Column:
+        return F.struct(
+            e["ord"].alias("ord"),
+            e["key"].alias("old_name"),
+            e["value"].alias("new_name"),
+            e["is_text"].alias("is_text"),
+            _first_reason(e["key"], e["value"], ~absent).alias("reason"),
         )
-        return bind(first, contended)
+
+    def judged(es: Column, absent: Column) -> Column:
+        rows = F.transform(members(es, lambda e: e["key"], absent), lambda m: described(m["row"], m["hit"]))
+        return bind(rows, contended)
 
     def contended(rows: Column) -> Column:
-        names = F.transform(F.filter(rows, lambda r: r["reason"].isNull()), lambda r: r["new_name"])
-        owners = F.transform(F.filter(rows, lambda r: r["reason"].isNull()), lambda r: r["ord"])
-        return bind(
-            F.struct(names.alias("names"), owners.alias("owners")),
-            lambda c: F.transform(rows, lambda r: settled(r, c)),
+        claims = F.transform(
+            F.filter(rows, lambda r: r["reason"].isNull()),
+            lambda r: F.struct(r["new_name"].alias("name"), r["ord"].alias("ord")),
         )
+        return bind(F.array_sort(claims), lambda own: decided(rows, own))
+
+    def decided(rows: Column, claims: Column) -> Column:
+        """Claims are sorted by name and place, so all but the first of a name have lost it."""
+        lost = F.filter(claims, lambda c, i: (i > 0) & (F.get(claims, i - 1)["name"] == c["name"]))
+        lost = F.transform(lost, lambda c: c["ord"])
+        settled_rows = F.transform(members(rows, lambda r: r["ord"], lost), lambda m: settled(m["row"], m["hit"]))
+        return F.array_sort(settled_rows)
 
-    def settled(r: Column, claims: Column) -> Column:
-        owner = F.get(claims["owners"], (F.array_position(claims["names"], r["new_name"]) - 1).cast("int"))
+    def settled(r: Column, lost: Column) -> Column:
         reason = F.coalesce(
-            r["reason"],
-            F.when(owner != r["ord"], COLLISION),
-            F.when(~is_candidate(r["old_name"]), NOT_CANDIDATE),
+            r["reason"], F.when(lost, COLLISION), F.when(~is_candidate(r["old_name"]), NOT_CANDIDATE)
         )
         return F.struct(
             r["ord"].alias("ord"),
@@ -83,7 +87,7 @@ def judge_entries(entries: Column, tokens: Column) -> Column:
 
     def with_absent(es: Column) -> Column:
         keys = F.transform(es, lambda e: e["key"])
-        return bind(F.array_except(keys, tokens), lambda absent: judged(es, absent))
+        return bind(F.coalesce(F.array_except(keys, tokens), keys), lambda absent: judged(es, absent))
 
     return bind(entries, with_absent)
 
@@ -107,24 +111,28 @@ def accepted_map(verdicts: Column) -> Column:
     )
 
 
-def rename_token_list(tokens: Column, mapping: Column) -> Column:
-    """Text put together from tokens, each replaced by its new name if it has one."""
-    return bind(
-        mapping,
-        lambda names: F.array_join(
-            F.transform(tokens, lambda token: F.coalesce(F.try_element_at(names, token), token)), ""
-        ),
-    )
+def rename_tokens(text: Column, mapping: Column) -> Column:
+    """Rename whole tokens, all at once: ``{a: b, b: a}`` swaps. An empty or null mapping changes nothing.
 
+    Columns have no keyed lookup (an element of a map is found by going through its keys), so the one step
+    that looks up every token is a small Arrow kernel over text and pairs; its cost is linear in both.
+    """
 
-def rename_tokens(text: Column, mapping: Column) -> Column:
-    """Rename whole tokens, all at once: ``{a: b, b: a}`` swaps. An empty mapping changes nothing."""
-    return bind(
-        mapping,
-        lambda names: F.when(names.isNull() | (F.size(names) == 0), text).otherwise(
-            rename_token_list(text_tokens(text), names)
-        ),
-    )
+    @F.pandas_udf("string")
+    def kernel(texts: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
+        import re
+
+        token = re.compile(f"[{IDENTIFIER_CHARS}]+")
+
+        def one(value, old, new):
+            if value is None or old is None or not len(old):
+                return value
+            names = dict(zip(old, new))
+            return token.sub(lambda m: names.get(m[0], m[0]), value)
+
+        return pd.Series([one(*row) for row in zip(texts, olds, news)], dtype=object)
+
+    return kernel.asNondeterministic()(text, F.map_keys(mapping), F.map_values(mapping))
 
 
 # Pairs brought to a document's row at a time; longer mappings take several rows.
@@ -159,13 +167,13 @@ def judge_mapping_table(
 
     def judge(p: Column, present: Column) -> Column:
         old, new = p["old_name"], p["new_name"]
-        reason = _first_reason(old, new, F.array_contains(present, old))
         return F.struct(
-            p["ord"].alias("ord"), old.alias("old_name"), new.alias("new_name"), reason.alias("reason")
+            p["ord"].alias("ord"), old.alias("old_name"), new.alias("new_name"), _first_reason(old, new, present).alias("reason")
         )
 
-    judged = bind(F.col("present"), lambda present: F.transform("pairs", lambda p: judge(p, present)))
-    rows = unnest(placed, judged, key, item="p").select(key, "p.*")
+    # A slice may list an old name twice, so its pairs are looked up by place in the sorted list.
+    rows = unnest(placed, F.col("pairs"), key, "present", item="p").withColumn("hit", F.array_contains("present", F.col("p.old_name")))
+    rows = rows.select(key, judge(F.col("p"), F.col("hit")).alias("p")).select(key, "p.*")
     # One group holds a document's claims on one name: no more than one response contains. The rows
     # are already partitioned by document, so the window adds no shuffle.
     claims = Window.partitionBy(key, "new_name", F.col("reason").isNull()).orderBy("ord")
@@ -187,18 +195,12 @@ def rename_by_table(
 ) -> DataFrame:
     """Rename documents by a long table of accepted pairs ``(key, ord, old_name, new_name)``.
 
-    The table may list far more pairs than a document uses: only those whose old name occurs in it
-    are put into its map, which is therefore never larger than the text's own vocabulary.
+    Of an old name listed twice for a document the last new name counts. The pairs are put on their
+    document's row, which is joined once.
     """
-    placed = _pairs_with_presence(accepted, documents, key, text)
-    used = bind(
-        F.col("present"),
-        lambda present: F.filter("pairs", lambda p: F.array_contains(present, p["old_name"])),
-    )
-    mapping = (
-        placed.select(key, F.transform(used, lambda p: F.struct(p["old_name"], p["new_name"])).alias("used"))
-        .groupBy(key)
-        .agg(F.map_from_entries(F.flatten(F.collect_list("used"))).alias("_mapping"))
+    last = accepted.groupBy(key, "old_name").agg(F.max_by("new_name", "ord").alias("new_name"))
+    mapping = last.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("old_name", "new_name"))).alias("_mapping")
     )
     return (
         documents.join(mapping, key, "left")
@@ -207,6 +209,27 @@ def rename_by_table(
     )
 
 
+def rename_by_proposals(
+    documents: DataFrame, mappings: DataFrame, *, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Judge a long table of proposed pairs and rename in one go: documents are joined once.
+
+    As in a JSON object, a repeated old name keeps its first place and its last new name.
+    """
+    entries = mappings.groupBy(key, "old_name").agg(
+        F.min("ord").cast("int").alias("ord"), F.max_by("new_name", "ord").alias("value")
+    )
+    entry = F.struct("ord", F.col("old_name").alias("key"), "value", F.lit(True).alias("is_text"))
+    grouped = entries.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    tokens = F.when(F.size("_entries") > 0, F.array_distinct(identifier_tokens(F.col(text))))
+    return (
+        documents.join(grouped, key, "left")
+        .withColumn("_mapping", accepted_map(judge_entries(F.col("_entries"), tokens)))
+        .withColumn(text, rename_tokens(F.col(text), F.col("_mapping")))
+        .drop("_entries", "_mapping")
+    )
+
+
 def reason_counts(judged: DataFrame) -> DataFrame:
     """Pairs per outcome over the whole table."""
     return judged.groupBy(F.coalesce("reason", F.lit(ACCEPTED)).alias("reason")).agg(

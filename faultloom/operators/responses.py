@@ -57,6 +57,13 @@ def unanswered(prompts: DataFrame, log: DataFrame, *, key: str = "uuid") -> Data
     return prompts.join(log.select(key), key, "left_anti")
 
 
-def latest_per_key(log: DataFrame, *, key: str = "uuid") -> DataFrame:
-    """One row per record key of a log that several runs appended to."""
-    return log.dropDuplicates([key])
+def one_per_key(log: DataFrame, *, key: str = "uuid", order: str = "llm_response") -> DataFrame:
+    """One row per record key of a log that several runs appended to: that of the largest ``order``.
+
+    Pass a time column to keep the latest; the default keeps an answer rather than none. Ties go to the
+    largest row by its other columns, so the choice never depends on the run. Maxima are aggregated before
+    the shuffle.
+    """
+    others = [c for c in log.columns if c not in (key, order)]
+    best = F.max(F.struct(order, *others)).alias("_best")
+    return log.groupBy(key).agg(best).select(*[F.col(key) if c == key else F.col(f"_best.{c}").alias(c) for c in log.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, unnest
 from ..functions.text import code_blocks, collapse_whitespace
-from ..sizing import balance, spread
+from ..sizing import balance
 from .diffs import with_diff_chunks
 from .similarity import best_similarity
 
@@ -16,13 +16,16 @@ DEFAULT_THRESHOLD = 0.8
 OK = "ok"
 NO_DIFFS = "no_diffs"
 NO_CODE_BLOCKS = "no_code_blocks"
+NO_PAIR = "no_pair"
 MESSAGES = {
     NO_DIFFS: "No diffs found between base and buggy code.",
     NO_CODE_BLOCKS: "No code blocks found in bug report.",
+    NO_PAIR: "No pair of base and buggy code for this bug report.",
 }
 
-# Sides scored per kernel row; a report with more of them is split over several rows.
+# Sides and blocks scored per kernel row; a report with more of either is split over several rows.
 SIDES_PER_SLICE = 64
+BLOCKS_PER_SLICE = 64
 
 
 def change_sides(chunks: Column) -> Column:
@@ -37,7 +40,7 @@ def change_sides(chunks: Column) -> Column:
 
 def pair_sides(pairs: DataFrame, *, key: str, base: str = "base_code", buggy: str = "buggy_code") -> DataFrame:
     """``(key, sides)``: the quotable sides of each pair's change, one row per pair."""
-    chunked = with_diff_chunks(spread(pairs.select(key, base, buggy), key), base, buggy)
+    chunked = with_diff_chunks(pairs.select(key, base, buggy), base, buggy)
     return chunked.select(key, change_sides(F.col("chunks")).alias("sides"))
 
 
@@ -59,26 +62,35 @@ def joined_slices(
     buggy: str,
     scorable_only: bool = False,
 ) -> DataFrame:
-    """Reports joined to their pair's change, split into slices of at most ``SIDES_PER_SLICE`` sides.
-
-    Each pair is diffed once however many reports refer to it, and only blocks and sides travel
-    through the join, not the source texts. The join is left to AQE, which splits a pair key that
-    many reports share; the slices split a report whose change is large. ``scorable_only`` leaves out
-    reports without blocks or whose pair has no change.
+    """Reports joined to their pair's change, in slices of some sides against some blocks.
+
+    Only pairs that a report names are diffed, once however many reports name them, and only blocks and
+    sides travel through the join, not the source texts. The join is left to AQE, which splits a pair key
+    that many reports share; slices split a report whose change or number of blocks is large. A report
+    without a pair stays, with a null ``n_diffs``. ``scorable_only`` leaves out reports without a pair or
+    blocks or whose pair has no change. ``slice_no`` counts the slices of sides, ``block_slice`` those of
+    blocks.
     """
-    sides = pair_sides(pairs, key=pair_key, base=base, buggy=buggy)
+    named = pairs.join(reports.select(pair_key).distinct(), pair_key, "left_semi")
+    sides = pair_sides(named, key=pair_key, base=base, buggy=buggy)
     blocks = report_blocks(reports, keys=list(dict.fromkeys([report_key, pair_key])), text=text)
-    joined = blocks.join(sides, pair_key, "inner").withColumn("n_diffs", F.size("sides"))
-    steps = F.sequence(F.lit(0), F.greatest(F.col("n_diffs") - 1, F.lit(0)), F.lit(SIDES_PER_SLICE))
-    slices = bind(
-        F.col("sides"),
-        lambda sides: F.transform(steps, lambda s: F.slice(sides, s + 1, SIDES_PER_SLICE)),
-    )
+    joined = blocks.join(sides.withColumn("n_diffs", F.size("sides")), pair_key, "left")
+    joined = joined.withColumn("n_blocks", F.size("blocks"))
+
+    def sliced(values: Column, size: int) -> Column:
+        steps = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(size))
+        return F.transform(steps, lambda s: F.slice(values, s + 1, size))
+
+    none = F.array().cast("array<string>")
+    of_sides = bind(F.coalesce("sides", none), lambda own: sliced(own, SIDES_PER_SLICE))
     if scorable_only:
         # Part of the generator rather than a filter: a filter would be pushed below the join and
         # compute blocks and sides a second time.
-        slices = F.when((F.size("blocks") > 0) & (F.col("n_diffs") > 0), slices)
-    return unnest(joined, slices, report_key, "blocks", "n_diffs", item="slice", pos="slice_no")
+        of_sides = F.when((F.col("n_blocks") > 0) & (F.col("n_diffs") > 0), of_sides)
+    rows = unnest(joined, of_sides, report_key, "blocks", "n_diffs", "n_blocks", item="slice", pos="slice_no")
+    of_blocks = bind(F.col("blocks"), lambda own: sliced(own, BLOCKS_PER_SLICE))
+    kept = (report_key, "slice", "slice_no", "n_diffs", "n_blocks")
+    return unnest(rows, of_blocks, *kept, item="blocks", pos="block_slice")
 
 
 def similarity_table(
@@ -104,14 +116,10 @@ def similarity_table(
         scorable_only=True,
     )
     best = best_similarity(F.col("slice"), F.col("blocks"), autojunk=autojunk)
-    scored = unnest(
-        balance(slices, report_key, "slice_no"), best, report_key, "slice_no", item="best_similarity", pos="n"
-    )
-    return scored.select(
-        report_key,
-        (F.col("slice_no") * SIDES_PER_SLICE + F.col("n")).cast("bigint").alias("chunk_no"),
-        "best_similarity",
-    )
+    placed = balance(slices, report_key, "slice_no", "block_slice")
+    scored = unnest(placed, best, report_key, "slice_no", item="best_similarity", pos="n")
+    chunk_no = (F.col("slice_no") * SIDES_PER_SLICE + F.col("n")).cast("bigint").alias("chunk_no")
+    return scored.groupBy(report_key, chunk_no).agg(F.max("best_similarity").alias("best_similarity"))
 
 
 def report_scores(
@@ -130,7 +138,7 @@ def report_scores(
     """One row per report: ``n_diffs, n_code_blocks, status, score``.
 
     The score is the mean over the change's chunks of 1 at or above the threshold, else the best
-    similarity as a share of the threshold. Reports without a change or without blocks have a status
+    similarity as a share of the threshold. Reports without a pair, a change or blocks have a status
     and a NULL score; with ``strict`` they fail the job.
     """
     slices = joined_slices(
@@ -138,24 +146,22 @@ def report_scores(
     )
     # The score only asks whether the threshold is met, so the search may stop there.
     best = best_similarity(F.col("slice"), F.col("blocks"), stop_at=threshold, autojunk=autojunk)
-    credit = F.aggregate(
-        best,
-        F.lit(0.0),
-        lambda acc, s: acc + F.when(s >= threshold, 1.0).otherwise(s / threshold),
-    )
-    scored = balance(slices, report_key, "slice_no").select(
-        report_key,
-        "n_diffs",
-        F.size("blocks").alias("n_blocks"),
-        F.when((F.size("blocks") > 0) & (F.col("n_diffs") > 0), credit).alias("credit"),
+    # The best of each side over all slices of blocks, then its credit.
+    per_side = (
+        balance(slices, report_key, "slice_no", "block_slice")
+        .select(report_key, "slice_no", "n_diffs", "n_blocks", F.posexplode_outer(best).alias("n", "best"))
+        .groupBy(report_key, "slice_no", "n")
+        .agg(F.max("n_diffs").alias("n_diffs"), F.max("n_blocks").alias("n_blocks"), F.max("best").alias("best"))
     )
-    totals = scored.groupBy(report_key).agg(
+    credit = F.when(F.col("best") >= threshold, 1.0).otherwise(F.col("best") / threshold)
+    totals = per_side.groupBy(report_key).agg(
         F.max("n_diffs").cast("bigint").alias("n_diffs"),
         F.max("n_blocks").cast("bigint").alias("n_code_blocks"),
-        F.sum("credit").alias("credit"),
+        F.sum(F.when((F.col("n_blocks") > 0) & (F.col("n_diffs") > 0), credit)).alias("credit"),
     )
     status = (
-        F.when(F.col("n_diffs") == 0, NO_DIFFS)
+        F.when(F.col("n_diffs").isNull(), NO_PAIR)
+        .when(F.col("n_diffs") == 0, NO_DIFFS)
         .when(F.col("n_code_blocks") == 0, NO_CODE_BLOCKS)
         .otherwise(OK)
     )

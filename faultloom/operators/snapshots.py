@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import output_folder, suffix
 from ..schemas import BRANCH_METADATA, OVERRIDES
-from ..staging import staged
 
 BASE, TIP = "base", "tip"
 
@@ -56,8 +55,8 @@ MISSING_AT_TIP = "missing_at_tip"
 
 
 def known_overrides(spark: SparkSession) -> DataFrame:
-    """The fixed exceptions as an override table."""
-    rows = [(r, b, a, list(e) if e else None, c) for r, b, a, e, c in KNOWN_OVERRIDES]
+    """The fixed exceptions as an override table, one row per expected path."""
+    rows = [(r, b, a, e, c) for r, b, a, paths, c in KNOWN_OVERRIDES for e in paths or (None,)]
     return spark.createDataFrame(rows, OVERRIDES)
 
 
@@ -116,15 +115,15 @@ def changed_paths(snapshots: DataFrame) -> DataFrame:
     """Changed paths ``repo, branch, path, change``.
 
     A file moved without an edit shows under its new path only: the deleted path is dropped when the
-    same branch adds the same content elsewhere. Moves with edits show both paths. The changes, short
-    rows without contents, are staged, so that the snapshots are read once.
+    same branch adds the same content elsewhere. Moves with edits show both paths. One lazy plan: the
+    contents that a branch adds are an aggregate of the same short rows, joined back to them.
     """
-    changes = staged(all_changes(snapshots), "changes")
+    changes = all_changes(snapshots)
     content = ["repo", "branch", "id1", "id2"]
-    added = changes.where(F.col("change") == "added").select(*content)
-    deleted = changes.where(F.col("change") == "deleted").join(added, content, "left_anti")
-    columns = ["repo", "branch", "path", "change"]
-    return changes.where(F.col("change") != "deleted").select(*columns).unionByName(deleted.select(*columns))
+    added = changes.where(F.col("change") == "added").select(*content).distinct()
+    added = added.withColumn("_added", F.lit(True))
+    kept = changes.join(added, content, "left").where((F.col("change") != "deleted") | F.col("_added").isNull())
+    return kept.select("repo", "branch", "path", "change")
 
 
 def select_branches(changes: DataFrame, branches: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -132,18 +131,23 @@ def select_branches(changes: DataFrame, branches: DataFrame, overrides: DataFram
 
     ``branches`` lists all ``repo, branch``; those without changes are reported too. A branch counts
     if it changes one file, or has an override whose expected set is exactly what it changes, and if
-    the file exists on both sides. Paths are never gathered: a single changed path is its group's
-    minimum, and an expected set is compared by counting matches.
+    the file exists on both sides. ``overrides`` has one row per expected path; without any the known
+    exceptions hold. A branch whose rows name two actions or two chosen paths is an ``override_mismatch``.
+    Paths are never gathered: a single changed path is its group's minimum, and an expected set is
+    compared by counting matches.
     """
     if overrides is None:
-        overrides = branches.sparkSession.createDataFrame([], OVERRIDES)
+        overrides = known_overrides(branches.sparkSession)
     key = ["repo", "branch"]
-    rules = overrides.select(
-        *key, "action", F.array_distinct("expected_paths").alias("expected_paths"), "chosen_path"
-    ).dropDuplicates(key)
-    expected = rules.where(F.col("action") == CHOOSE).select(
-        *key, F.explode("expected_paths").alias("path"), "chosen_path"
+    listed = overrides.select(*key, "action", "expected_path", "chosen_path").distinct()
+    rules = listed.groupBy(*key).agg(
+        F.min("action").alias("action"),
+        F.min("chosen_path").alias("chosen_path"),
+        F.count(F.when(F.col("action") == CHOOSE, F.col("expected_path"))).alias("n_wanted"),
+        ((F.min("action") != F.max("action")) | (F.min("chosen_path") != F.max("chosen_path"))).alias("contradictory"),
     )
+    expected = listed.where((F.col("action") == CHOOSE) & F.col("expected_path").isNotNull())
+    expected = expected.groupBy(*key, F.col("expected_path").alias("path")).agg(F.min("chosen_path").alias("chosen_path"))
     per_branch = (
         changes.where(~F.col("path").isin(*IGNORED_PATHS))
         .select(*key, "path", "change")
@@ -158,12 +162,13 @@ def select_branches(changes: DataFrame, branches: DataFrame, overrides: DataFram
         )
     )
     n = F.coalesce("n_changed", F.lit(0).cast("bigint"))
-    wanted = F.size("expected_paths")
+    wanted = F.coalesce("n_wanted", F.lit(0))
     is_choice = (n > 1) & F.coalesce(F.col("action") == CHOOSE, F.lit(False))
     agrees = F.coalesce((F.col("n_expected") == wanted) & (n == wanted), F.lit(False))
     change = F.when(is_choice, F.col("chosen_change")).otherwise(F.col("only_change"))
     status = (
-        F.when(F.col("action") == SKIP, DUPLICATE)
+        F.when(F.coalesce("contradictory", F.lit(False)), MISMATCH)
+        .when(F.col("action") == SKIP, DUPLICATE)
         .when(n == 0, NO_CHANGES)
         .when(is_choice & ~agrees, MISMATCH)
         .when((n > 1) & ~is_choice, MULTIPLE)

@@ -11,7 +11,7 @@ from ..schemas import RESPONSES
 from ..sources.tables import analysis_dir, read_table
 
 # Names of the outputs.
-ROWS = "10_rows_with_analysis.pq"
+ROWS = "10_llm_bug_detection_data_with_analysis.pq"
 MATRIX = "confusion_matrix.pq"
 BY_CHALLENGE = "results_by_challenge.pq"
 

@@ -12,7 +12,6 @@ from ..operators.snapshots import branch_metadata, changed_paths, emit_pairs, se
 from ..schemas import BRANCH_METADATA
 from ..sources.corpus import write_pairs
 from ..sources.tables import write_three_ways
-from ..staging import staged
 
 
 class PairCorpus(NamedTuple):
@@ -28,11 +27,10 @@ def build_pair_corpus(
     """Branch decisions, files to write, metadata and run counters.
 
     ``branches`` carries ``repo, branch, git_repo, base_commit, tip_commit``. The decisions are made
-    on fingerprints and staged, one short row per branch. The contents are then read a second time
-    against that small table, which Catalyst broadcasts when its size allows: no file that is not
-    part of a pair is ever shuffled.
+    on fingerprints, one short row per branch, and nothing runs before a result is asked for. The contents
+    are read a second time against the decisions, which AQE broadcasts once their true size allows it.
     """
-    selected = staged(select_branches(changed_paths(snapshots), branches, overrides), "branches")
+    selected = select_branches(changed_paths(snapshots), branches, overrides)
     return PairCorpus(
         selected,
         emit_pairs(snapshots, selected),

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import unnest
 from ..functions.masking import KINDED, mask, unmask
 from ..functions.prompts import rename_prompt
-from ..functions.text import first_json_object, json_entries
+from ..functions.text import first_json_object, identifier_tokens, json_entries
 from ..operators.renaming import (
     accepted_map,
     has_untyped_value,
     judge_entries,
-    rename_token_list,
-    text_tokens,
+    rename_tokens,
 )
 from ..operators.responses import attach_responses
 
@@ -45,8 +44,7 @@ def apply_rename_responses(
     staged = (
         staged.withColumn("_object", first_json_object(F.col(response)))
         .withColumn("_entries", json_entries(F.col("_object")))
-        # Tokenised once, for the presence test and for the renaming.
-        .withColumn("_tokens", F.when(F.size("_entries") > 0, text_tokens(body)))
+        .withColumn("_tokens", F.when(F.size("_entries") > 0, F.array_distinct(identifier_tokens(body))))
         .withColumn("verdicts", judge_entries(F.col("_entries"), F.col("_tokens")))
         .withColumn("_mapping", accepted_map(F.col("verdicts")))
     )
@@ -58,13 +56,15 @@ def apply_rename_responses(
         .when(F.coalesce(F.size("_mapping"), F.lit(0)) <= 0, UNCHANGED)
         .otherwise(SUCCEEDED)
     )
-    renamed = rename_token_list(F.col("_tokens"), F.col("_mapping"))
+    # A column of its own: the kernel must not end up inside a lambda.
+    staged = staged.withColumn("_renamed", rename_tokens(body, F.col("_mapping")))
+    renamed = F.col("_renamed")
     if mask_first:
         renamed = unmask(renamed, hits, KINDED)
     return (
         staged.withColumn("status", status)
         .withColumn("renamed", F.when(F.col("status") == SUCCEEDED, renamed).otherwise(F.col(text)))
-        .drop("_mask", "_object", "_entries", "_tokens", "_mapping")
+        .drop("_mask", "_object", "_entries", "_tokens", "_mapping", "_renamed")
     )
 
 

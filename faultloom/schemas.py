@@ -30,7 +30,7 @@ OVERRIDES = T.StructType(
         T.StructField("repo", T.StringType()),
         T.StructField("branch", T.StringType()),
         T.StructField("action", T.StringType()),
-        T.StructField("expected_paths", T.ArrayType(T.StringType())),
+        T.StructField("expected_path", T.StringType()),
         T.StructField("chosen_path", T.StringType()),
     ]
 )

@@ -1,43 +1,28 @@
-"""Size checks and input spreading."""
+"""Spreading of work whose cost the engine cannot see."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Inputs above this many bytes per core are already split finely enough by the file scan.
-BYTES_PER_CORE = 16 << 20
+#: Session setting with the number of partitions that :func:`widened` spreads a scan over; unset by default.
+SCAN_PARTITIONS = "spark.faultloom.scan.partitions"
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a plan, or None on sessions that do not expose it (Connect)."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def widened(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan over as many partitions as the session's ``spark.faultloom.scan.partitions`` says.
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a *small* input over the cores; return a large one untouched.
-
-    A small table often sits in one row group, hence one task, and the text work that follows would
-    run on one core. For a large table the scan already yields enough splits and shuffling the text
-    would only cost, so the plan is left alone. The spread is by key, so retried tasks see the same
-    rows.
+    For inputs that sit in fewer row groups than there are cores, such as a test table in one file. It is
+    the caller's decision alone: without the setting no plan is changed, whatever the input's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size > cores * BYTES_PER_CORE:
-        return df
-    return df.repartition(cores * 2, *keys)
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted), *keys) if wanted else df
 
 
 def balance(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread rows ahead of a per-row Python kernel, whatever their size.
+    """Hash-spread rows ahead of a per-row Python kernel.
 
     A kernel's cost per byte is far above that of moving the byte, but AQE only sees bytes: it would
     merge the small partitions of a join into one slow task and leave a hot join key's rows together.
     The partition count is the session's shuffle setting, so it grows with the cluster.
     """
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(wanted, 2 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -111,8 +111,12 @@ def rewritten(df: DataFrame, *, path: str = "path", in_place: bool = False) -> D
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
-    """Write emitted file pairs as a table partitioned by folder and role."""
-    pairs.write.mode("overwrite").partitionBy("output_folder", "role").parquet(path)
+    """Write emitted file pairs as a table clustered by folder, so that a folder's rows lie together.
+
+    No directory per folder: there would be two tiny files for every branch.
+    """
+    clustered = pairs.repartitionByRange("output_folder", "role").sortWithinPartitions("output_folder", "role")
+    clustered.write.mode("overwrite").parquet(path)
 
 
 def export_files(df: DataFrame, root: str, *, path: str = "out_path", content: str = "content") -> DataFrame:

@@ -17,6 +17,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.faultloom.scan.partitions", "16")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

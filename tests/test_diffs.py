@@ -144,28 +144,28 @@ def test_unknown_mode(spark):
         chunk_table(df, mode="other")
 
 
-@pytest.mark.parametrize("dense_pairs", [0, 10, 200, 10**9])
-def test_run_finder_equals_the_stdlib(dense_pairs):
-    """The path for files full of repeated lines finds exactly the stdlib's runs."""
-    find = _run_finder(dense_pairs)
+@pytest.mark.parametrize("heuristic", [False, True])
+def test_run_finder_equals_the_stdlib(heuristic):
+    find = _run_finder(heuristic)
     rng = random.Random(31)
-    for _ in range(400):
-        letters = "ab" if rng.random() < 0.5 else "abcdef"
-        a = [rng.choice(letters) for _ in range(rng.randrange(0, 40))]
-        b = list(a) if rng.random() < 0.5 else [rng.choice(letters) for _ in range(rng.randrange(0, 40))]
+    for size in [40] * 300 + [450] * 60:
+        letters = rng.choice(["ab", "abcdef", [str(i) for i in range(300)]])
+        a = [rng.choice(letters) for _ in range(rng.randrange(0, size))]
+        b = list(a) if rng.random() < 0.5 else [rng.choice(letters) for _ in range(rng.randrange(0, size))]
         for _ in range(rng.randrange(0, 5)):
             if b:
                 b[rng.randrange(len(b))] = rng.choice(letters)
-        want = [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+        want = [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=heuristic).get_matching_blocks() if x.size]
         assert find(a, b) == want
 
 
-def test_repeated_lines_stay_fast():
+@pytest.mark.parametrize("heuristic", [False, True])
+def test_repeated_lines_stay_fast(heuristic):
     """Half of 60,000 lines alike: the stdlib matcher alone would visit 900 million pairs."""
     rng = random.Random(32)
     a = ["end" if i % 2 else f"line {i}" for i in range(60_000)]
     b = list(a)
     for _ in range(20):
         b[rng.randrange(len(b))] = "changed"
-    runs = _run_finder(5_000_000)(a, b)
+    runs = _run_finder(heuristic)(a, b)
     assert 20 <= len(runs) <= 60 and all(a[i : i + n] == b[j : j + n] for i, j, n in runs)

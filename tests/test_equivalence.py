@@ -26,6 +26,13 @@ PAIRS = [
     ("8'hFF", "8'hFE", 1),
     ("é a", "é b", 0),
     ("", "", 0),
+    ("@(posedge clk)", "@(negedge clk)", 1),
+    ("wire a", "reg a", 1),
+    ('$display("hello")', '$display("world")', 1),
+    ('s = "a b"', 's = "a   b"', 1),
+    ("// x\n b", "// x b", 1),
+    ("a /* one */ b // two", "c d", 0),
+    ('x = "// no comment"; y', 'z = "// no comment"; y', 0),
     (None, "a", 2),
     ("a", None, 2),
 ]
@@ -51,5 +58,11 @@ def test_datasets(spark):
     assert verdict(gold, gold.na.fill("")) == (1, 1, 1)
     assert verdict(gold.limit(0), gold.limit(0)) == (0, 0, 0)
     assert verdict(gold, None) == verdict(None, gold) == (2, None, None)
+    stamp = spark.sql("select timestamp'2024-01-01 00:00:00.000001' as t, map('a', 1, 'b', 2) as m, x'00ff' as b")
+    other = spark.sql("select timestamp'2024-01-01 00:00:00.000002' as t, map('a', 1, 'b', 2) as m, x'00ff' as b")
+    turned = spark.sql("select timestamp'2024-01-01 00:00:00.000001' as t, map('b', 2, 'a', 1) as m, x'00ff' as b")
+    assert verdict(stamp, other) == (1, 1, 1) and verdict(stamp, turned) == (0, 0, 0)
+    with pytest.raises(ValueError, match="different columns or types"):
+        dataset_equivalence(gold, gold.withColumn("a", gold.a.cast("long")))
     with pytest.raises(ValueError, match="different columns"):
         dataset_equivalence(gold, gold.drop("b"))

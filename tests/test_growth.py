@@ -9,15 +9,15 @@ import pytest
 from faultloom.functions.masking import KINDED, PLAIN, mask, unmask
 from faultloom.operators.chunking import order_map, reorder_chunks, shuffle_documents, split_chunks
 from faultloom.operators.diffs import chunk_table
-from faultloom.operators.renaming import accepted_map, judge_entries, rename_token_list, rename_tokens, text_tokens
-from faultloom.functions.text import json_entries
+from faultloom.operators.renaming import accepted_map, judge_entries, rename_tokens
+from faultloom.functions.text import first_json_object, identifier_tokens, json_entries
 from faultloom.plans.rename_corpus import apply_rename_responses
 from pyspark.sql import functions as F
 
 N = 20_000
 LINES = [f"  wire sig_{i} ; // c{i}" for i in range(N)]
 TEXT = "module m (a);\n" + "\n".join(LINES) + "\nendmodule\n"
-JSON = "{" + ",".join(f'"sig_{i}":"s{i}"' for i in range(200)) + "}"
+JSON = "{" + ",".join(f'"sig_{i}":"s{i}"' for i in range(N)) + "}"
 
 
 @pytest.fixture
@@ -38,10 +38,10 @@ CASES = {
     "rename": lambda d: apply_rename_responses(d, text="text").select("renamed"),
     "rename_masked": lambda d: apply_rename_responses(d, text="text", mask_first=True).select(F.md5("renamed")),
     "rename_steps": lambda d: d.withColumn("e", json_entries(F.col("llm_response")))
-    .withColumn("t", text_tokens(F.col("text")))
+    .withColumn("t", identifier_tokens(F.col("text")))
     .withColumn("v", judge_entries(F.col("e"), F.col("t")))
     .withColumn("m", accepted_map(F.col("v")))
-    .select(F.md5(rename_token_list(F.col("t"), F.col("m")))),
+    .select(F.md5(rename_tokens(F.col("text"), F.col("m")))),
     "rename_tokens": lambda d: d.withColumn("m", F.from_json("llm_response", "map<string,string>")).select(
         F.md5(rename_tokens(F.col("text"), F.col("m")))
     ),
@@ -50,6 +50,7 @@ CASES = {
     "chunk_steps": lambda d: d.withColumn("c", split_chunks(F.col("text")))
     .withColumn("p", reorder_chunks(F.col("c"), level="medium"))
     .select(F.size(order_map(F.col("p"), "medium"))),
+    "json_search": lambda d: d.select(F.md5(first_json_object(F.concat(F.lit("say "), F.replace("llm_response", F.lit(","), F.lit(',"}":{},')), F.lit(" }"))))),
     "mask": lambda d: d.withColumn("m", mask(F.col("text"), KINDED)).select(F.md5("m.masked")),
     "unmask": lambda d: d.withColumn("h", mask(F.col("text"), PLAIN)["hits"])
     .withColumn("k", mask(F.col("other"), PLAIN)["masked"])
@@ -67,6 +68,6 @@ def test_long_document(document, name):
 def test_results_on_the_long_document(document):
     [row] = apply_rename_responses(document, text="text").select("renamed", "status").collect()
     assert row.status == "succeeded"
-    assert "wire s199 ;" in row.renamed and "wire sig_200 ;" in row.renamed and "sig_199 " not in row.renamed
+    assert f"wire s{N - 1} ;" in row.renamed and "sig_" not in row.renamed
     [row] = chunk_table(document, key="doc_id", old="text", new="other").collect()
     assert (row.old_version, row.new_version) == ("wire sig_77 ; // c77", "wire sig_x ; // c77")

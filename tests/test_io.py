@@ -7,7 +7,7 @@ from faultloom.plans.analyze import analyze_file
 from faultloom.plans.collect import build_prompts, collect_responses, collect_to_log
 from faultloom.plans.rename_corpus import rename_corpus
 from faultloom.plans.shuffle_corpus import shuffle_corpus, write_shuffled
-from faultloom.operators.responses import join_responses, latest_per_key
+from faultloom.operators.responses import join_responses, one_per_key
 from faultloom.schemas import RESPONSES
 from faultloom.sources.corpus import export_files, rewritten, scan_corpus
 from faultloom.sources.tables import analysis_dir, path_suffix, read_table, write_three_ways
@@ -118,8 +118,8 @@ def test_collect_resumes(spark, corpus_dir, tmp_path):
     # A run that ignores the log appends duplicates, which the key removes.
     collect_to_log(corpus, lambda prompt: "third", log, model="m")
     everything = read_table(spark, log, RESPONSES)
-    assert everything.count() == 6 and latest_per_key(everything).count() == 3
-    joined = join_responses(build_prompts(corpus, model="m"), latest_per_key(everything))
+    assert everything.count() == 6 and one_per_key(everything).count() == 3
+    joined = join_responses(build_prompts(corpus, model="m"), one_per_key(everything))
     assert joined.where("llm_response is null").count() == 0
     ordered = collect_responses(corpus, str.upper, model="m", ordered=True)
     assert ordered.columns == [*RESPONSES.names, "error"]
@@ -151,7 +151,7 @@ def test_analyze_file(spark, responses, tmp_path):
     path = str(tmp_path / "r.parquet")
     responses.write.parquet(path)
     out = analyze_file(spark, path)
-    rows = spark.read.parquet(f"{out}/10_rows_with_analysis.pq")
+    rows = spark.read.parquet(f"{out}/10_llm_bug_detection_data_with_analysis.pq")
     assert rows.count() == 3 and {"challenge_id", "llm_prompt"} <= set(rows.columns)
     matrix = {(r[0], r[1]): (r[2], r[3]) for r in spark.read.parquet(f"{out}/confusion_matrix.pq").collect()}
     assert matrix["no_bug", "response_very_short"] == (1, 33.33)

@@ -7,6 +7,7 @@ from faultloom.operators.renaming import (
     exclude_words,
     judge_mapping_table,
     reason_counts,
+    rename_by_proposals,
     rename_by_table,
     rename_tokens,
 )
@@ -147,7 +148,7 @@ def test_corpus_is_rewritten_without_a_shuffle(spark, tmp_path):
 
     result = rename_corpus(spark.read.parquet(path), responder, concurrency=2)
     plan = result._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 2
     rows = {r.path: r for r in result.collect()}
     assert rows["f.v"].renamed == "k y" and rows["f.v"].status == "succeeded"
     assert rows["g.v"].renamed == "boom" and rows["g.v"].status == "failed"
@@ -194,6 +195,16 @@ def test_long_mapping_is_sliced(spark):
     assert row.text == "n5 n1500 n2999 other"
 
 
+def test_repeated_old_names(spark):
+    """Two rows with one old name: the last new name at the first place, as in a JSON object."""
+    documents = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
+    pairs = [(1, 0, "a", "x"), (1, 1, "b", "y"), (1, 2, "a", "z"), (1, 3, "c", "y")]
+    mappings = spark.createDataFrame(pairs, "doc_id int, ord int, old_name string, new_name string")
+    accepted = judge_mapping_table(mappings, documents).where("reason is null")
+    assert [r.text for r in rename_by_table(documents, accepted).collect()] == ["z y c"]
+    assert [r.text for r in rename_by_proposals(documents, mappings).collect()] == ["z y c"]
+
+
 def test_exclude_words(spark):
     names = spark.createDataFrame([("a",), ("wire",)], "name string")
     words = spark.createDataFrame([("wire",), ("wire",)], "name string")

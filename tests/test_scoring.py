@@ -197,4 +197,4 @@ def test_responses_against_emitted_pairs(spark):
         "uuid string, input_file_rel_path string, llm_response string",
     )
     rows = score_responses(responses, pairs_from_emitted(emitted)).collect()
-    assert [(r.uuid, r.score) for r in rows] == [("u1", 1.0)]
+    assert [(r.uuid, r.status, r.score) for r in rows] == [("u1", "ok", 1.0), ("u2", "no_pair", None)]

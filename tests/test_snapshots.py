@@ -54,7 +54,14 @@ def branches(spark):
 
 @pytest.fixture(scope="module")
 def overrides(spark):
-    return spark.createDataFrame(RULES, OVERRIDES)
+    rows = [(r, b, a, path, chosen) for r, b, a, paths, chosen in RULES for path in paths or [None]]
+    return spark.createDataFrame(rows, OVERRIDES)
+
+
+def test_contradictory_overrides(snapshots, branches, overrides):
+    more = overrides.unionAll(overrides.where("branch = 'choice'").selectExpr("repo", "branch", "action", "expected_path", "'x.v'"))
+    got = {r.branch: r.status for r in select_branches(changed_paths(snapshots), branches, more).collect()}
+    assert got["choice"] == "override_mismatch"
 
 
 def test_changed_paths(snapshots):
@@ -144,9 +151,10 @@ def test_branch_names(spark):
 
 
 def test_known_overrides(spark):
-    rows = {(r.repo, r.branch): r for r in known_overrides(spark).collect()}
-    assert len(rows) == 3 and sum(r.action == "skip" for r in rows.values()) == 1
-    assert all(r.chosen_path in r.expected_paths for r in rows.values() if r.action == "choose")
+    rows = known_overrides(spark).collect()
+    assert len({(r.repo, r.branch) for r in rows}) == 3 and sum(r.action == "skip" for r in rows) == 1
+    choices = {(r.branch, r.chosen_path) for r in rows if r.action == "choose"}
+    assert choices <= {(r.branch, r.expected_path) for r in rows}
 
 
 def test_union_is_strict(spark):
