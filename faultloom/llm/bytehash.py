@@ -40,6 +40,12 @@ def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((prefix[ends] - prefix[starts]) * powers(_INVERSE, len(prefix))[starts])
 
 
+def every(prefix: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all spans of ``size`` bytes, one per start."""
+    count = max(0, len(prefix) - size)
+    return mix((prefix[size:] - prefix[:count]) * powers(_INVERSE, len(prefix))[:count])
+
+
 def slices(lengths: np.ndarray, limit: int):
     """``(first, last)`` runs of rows whose lengths sum to about ``limit``; a longer row comes alone."""
     first, held = 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import buffer_of, mix, spans, sums
+from .bytehash import buffer_of, every, mix, spans, sums
 from .decontaminate import BITMAP_BITS, bitmap
 from .shared import Scratch
 
@@ -48,8 +48,7 @@ def units(data: np.ndarray):
     """Units ``(low, high, place)`` of a text, explicit starts, and its prefix sums."""
     n = len(data)
     prefix = sums(data)
-    at = np.arange(max(0, n - GRAM + 1))
-    trigger = np.flatnonzero(spans(prefix, at, at + GRAM) < np.uint64((1 << 64) // RATE))
+    trigger = np.flatnonzero(every(prefix, GRAM) < np.uint64((1 << 64) // RATE))
     before = np.concatenate([[-1], trigger])[:-1] if len(trigger) else trigger
     low = np.maximum(before + 1, trigger - REACH + 1)
     high = np.minimum(trigger, n - SPAN)
