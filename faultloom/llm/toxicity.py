@@ -9,8 +9,6 @@ size, is what scoring tasks receive. A misspelt word shares most n-grams with th
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,29 +17,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytehash import mix
+
 #: Hash buckets of n-grams, vector length, and n-gram lengths.
 BUCKETS = 1 << 17
-WIDTH = 8
+WIDTH = 4
 SHORTEST, LONGEST = 3, 5
 #: Bounds of the training sample: rows of each class, and characters of a text that may be chosen.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 TRAIN_CHARS = 50_000
 STEPS = 250
-BATCH = 256
+BATCH = 192
 RATE = 0.05
 DECAY = 0.1
-MEMO_WORDS = 300_000
+#: Empty words that every text is taken to have besides its own, so that a few words alone decide little.
+CALM = 8
+#: Words of a text that are scored at a time.
+PART_WORDS = 20_000
 
 TOKEN = re.compile(r"[^\W_]+")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams and of the word itself, between word marks."""
-    marked = f"<{word}>"
-    found = {marked}
-    for size in range(SHORTEST, LONGEST + 1):
-        found.update(marked[i : i + size] for i in range(len(marked) - size + 1))
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(found)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(word, bucket)`` of every character n-gram of the words, each between word marks."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = "<" + "><".join(words) + ">"
+    codes = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters up to the word's end
+    owners, buckets = [], []
+    key = np.zeros(len(codes), np.uint64)
+    for size in range(1, LONGEST + 1):
+        key = key[: len(codes) - size + 1] * np.uint64(0x110001) + codes[size - 1 :]
+        if size >= SHORTEST:
+            inside = np.flatnonzero(left[: len(key)] >= size)
+            owners.append(owner[inside])
+            buckets.append((mix(key[inside] + np.uint64(size)) % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,14 +74,11 @@ class Bags:
             seen, count = np.unique(own, return_counts=True)
             rows.append(np.full(len(seen), at, np.int32))
             ids.append(seen.astype(np.int32))
-            weights.append((count / max(1, len(words))).astype(np.float32))
+            weights.append((count / (len(words) + CALM)).astype(np.float32))
         self.rows, self.ids, self.weights = map(np.concatenate, (rows, ids, weights))
-        flat, sizes = array("i"), array("i")
-        for word in vocabulary:
-            own = grams(word)
-            flat.extend(own)
-            sizes.append(len(own))
-        self.sizes, self.grams = np.array(sizes, np.int64), np.array(flat, np.int32)
+        owner, buckets = grams(list(vocabulary))
+        self.sizes = np.bincount(owner, minlength=len(vocabulary))
+        self.grams = buckets[np.argsort(owner, kind="stable")].astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.texts = len(rows)
 
@@ -76,6 +87,15 @@ class Bags:
         per_word = np.bincount(self.ids, minlength=len(self.sizes))
         return np.bincount(self.grams, np.repeat(per_word, self.sizes), BUCKETS)
 
+    def restrict(self, known: np.ndarray) -> None:
+        """Keep the known buckets only, renumbered; a word's mean still counts all its n-grams."""
+        self.shares = 1.0 / np.maximum(self.sizes, 1)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        held = known[self.grams]
+        self.grams = (np.cumsum(known) - 1)[self.grams[held]]
+        self.sizes = np.bincount(owner[held], minlength=len(self.sizes))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
     def select(self, chosen: np.ndarray):
         """``(row, word, weight)`` of the chosen texts, rows renumbered and words local, and their n-grams."""
         place = np.full(self.texts, -1)
@@ -85,7 +105,7 @@ class Bags:
         sizes = self.sizes[words]
         ends = np.cumsum(sizes)
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - sizes), sizes)
-        return place[self.rows[held]], local, self.weights[held], self.grams[flat], sizes
+        return place[self.rows[held]], local, self.weights[held], self.grams[flat], sizes, self.shares[words]
 
 
 def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -98,9 +118,10 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
     bags = Bags(texts)
     known = bags.spread() >= LEAST_TEXTS
-    vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH))
+    bags.restrict(known)
+    size = int(known.sum())
+    vectors = rng.normal(0, 0.1, (size, WIDTH))
     soft = rng.normal(0, 0.1, (WIDTH, 2))
-    vectors[~known] = 0
     offset = np.log(np.bincount(labels, minlength=2) / len(labels))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, offset)]
     step, epochs = 0, -(-STEPS // -(-len(labels) // BATCH))
@@ -108,9 +129,8 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            rows, words, share, flat, sizes = bags.select(chosen)
+            rows, words, share, flat, sizes, each = bags.select(chosen)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            each = 1.0 / np.maximum(sizes, 1)
             means = np.stack([np.bincount(owner, vectors[flat, d], len(sizes)) for d in range(WIDTH)], 1)
             means *= each[:, None]
             hidden = np.stack(
@@ -125,8 +145,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
             back = error @ soft.T * SCALE
             to_words = np.stack([np.bincount(words, back[rows, d] * share, len(sizes)) for d in range(WIDTH)], 1)
             to_grams = to_words * each[:, None]
-            grad = np.stack([np.bincount(flat, to_grams[owner, d], BUCKETS) for d in range(WIDTH)], 1)
-            grad[~known] = 0
+            grad = np.stack([np.bincount(flat, to_grams[owner, d], size) for d in range(WIDTH)], 1)
             step += 1
             rate = RATE * (1 - epoch / epochs)
             for p, g, (m, v) in zip((vectors, soft, offset), (grad, hidden.T @ error * SCALE, error.sum(0)), state):
@@ -135,7 +154,8 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EASE)
             vectors *= 1 - rate * DECAY
     read = (soft[:, 1] - soft[:, 0]) * SCALE
-    return (vectors @ read).astype(np.float32), float(offset[1] - offset[0])
+    weights[known] = vectors @ read
+    return weights, float(offset[1] - offset[0])
 
 
 #: N-grams in fewer texts of the sample keep no vector; the floor of a step's divisor.
@@ -146,22 +166,19 @@ SCALE = 20.0
 
 
 class Scorer:
-    """Chance of label 1 for a text; the part of each recent word is remembered."""
+    """Chance of label 1 for a text: the mean over its words (and CALM empty ones) of their n-grams' mean."""
 
     def __init__(self, weights: np.ndarray, bias: float) -> None:
-        self.weights, self.bias, self.memo = weights, bias, {}
-
-    def part(self, word: str) -> float:
-        value = self.memo.get(word)
-        if value is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            value = self.memo[word] = float(self.weights[grams(word)].mean())
-        return value
+        self.weights, self.bias = weights, bias
 
     def __call__(self, text: str | None) -> float:
         words = words_of(text)
-        mean = sum(map(self.part, words)) / len(words) if words else 0.0
+        total = 0.0
+        for at in range(0, len(words), PART_WORDS):
+            owner, buckets = grams(words[at : at + PART_WORDS])
+            sums, counts = np.bincount(owner, self.weights[buckets]), np.bincount(owner)
+            total += float((sums / counts).sum())
+        mean = total / (len(words) + CALM)
         return float(1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30))))
 
 
