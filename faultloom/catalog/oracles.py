@@ -206,7 +206,7 @@ def placement(level: str) -> str:
 
 
 def shuffled(level: str) -> str:
-    """Texts put together again, and the order map as JSON (one module per text in this input)."""
+    """Texts put together again, and per module name the order of its last module as JSON."""
     first = (
         "min(slot)"
         if level != "medium"
@@ -214,24 +214,29 @@ def shuffled(level: str) -> str:
     )
     return f"""{placed(level)}, bodies as (
   select doc_id, module_no, string_agg(text, '' order by slot) as body from placed group by all),
+outside as (
+  select doc_id, hits, unnest(regexp_split_to_array(masked, '{MODULE}')) as gap,
+         unnest(range(len(regexp_split_to_array(masked, '{MODULE}')))) as module_no from sources),
 woven as (
-  select s.doc_id, s.hits,
-         regexp_split_to_array(s.masked, '{MODULE}')[1] || b.body || regexp_split_to_array(s.masked, '{MODULE}')[2] as masked
-  from sources s join bodies b using (doc_id)),
+  select o.doc_id, any_value(hits) as hits, string_agg(gap || coalesce(body, ''), '' order by o.module_no) as masked
+  from outside o left join bodies b on b.doc_id = o.doc_id and b.module_no = o.module_no group by o.doc_id),
 numbers as (
   select doc_id, unnest(regexp_split_to_array(masked, '__MSK_[0-9]+__')) as gap,
          unnest(range(1, 1 + len(regexp_split_to_array(masked, '__MSK_[0-9]+__')))) as i,
          regexp_extract_all(masked, '__MSK_([0-9]+)__', 1) as ids, hits from woven),
 texts as (
   select doc_id, string_agg(gap || coalesce(hits[ids[i]::int + 1], ''), '' order by i) as text from numbers group by doc_id),
+lasts as (
+  select doc_id, module_name, max(module_no) as module_no, min(module_no) as first_no from named group by doc_id, module_name),
 orders as (
-  select doc_id, module_name, bucket, {first} as first,
+  select doc_id, module_no, bucket, {first} as first,
          '"' || bucket || '":["' || string_agg(chunk_id, '","' order by slot) || '"]' as entry
-  from placed where bucket is not null group by doc_id, module_name, bucket),
-maps as (
-  select doc_id, '{{"' || module_name || '":{{' || string_agg(entry, ',' order by first) || '}}}}' as order_json
-  from orders group by doc_id, module_name)
-select doc_id, text, order_json from texts join maps using (doc_id)"""
+  from placed where bucket is not null group by doc_id, module_no, bucket),
+entries as (
+  select l.doc_id, first_no, '"' || module_name || '":{{' || coalesce(string_agg(entry, ',' order by first), '') || '}}' as entry
+  from lasts l left join orders o on o.doc_id = l.doc_id and o.module_no = l.module_no group by l.doc_id, first_no, module_name),
+maps as (select doc_id, string_agg(entry, ',' order by first_no) as entries from entries group by doc_id)
+select doc_id, text, '{{' || coalesce(entries, '') || '}}' as order_json from texts left join maps using (doc_id)"""
 
 
 # --- snapshots --------------------------------------------------------------------------------

@@ -61,16 +61,30 @@ from {documents} d cross join (values (0,'the','tok_a'),(1,'and','tok_b'),(2,'of
   (4,'for','tok_d'),(5,'is','9bad'),(6,'tok_b','the'),(7,'de','la'),(8,'la','de')) as m(ord, old_name, new_name)
 """
 
+# Code around each document's own text: names are digests of its words, the whole text stands in comments,
+# digits of its digest choose the statements and none, one or two modules (also two of one name).
 RTL_DOCS = """
 select doc_id,
-       '// doc ' || cast(doc_id as string) || chr(10)
-    || 'module m' || cast(doc_id % 7 as string) || ' (a, b);' || chr(10)
-    || '  parameter W = ' || cast(doc_id as string) || ';' || chr(10)
-    || '  wire x;' || chr(10) || '  wire y; // c' || chr(10)
-    || '  assign x = a;' || chr(10) || '  assign y = b;' || chr(10) || '  assign z = x;' || chr(10)
-    || '  generate if (W) begin assign q = 1; end endgenerate' || chr(10)
-    || '  sub u1 (x, y);' || chr(10) || 'endmodule' || chr(10) as text
-from {documents}
+       '// ' || replace(text, chr(10), chr(10) || '// ') || chr(10)
+    || case when h < '3' then 'wire outside;' || chr(10) else
+          'module m_' || a || ' (' || a || ', ' || b || ');' || chr(10)
+       || '  parameter W = ' || cast(length(text) as string) || ';' || chr(10)
+       || '  wire ' || a || '_x;' || chr(10) || '  reg ' || b || '_y; // ' || split_part(text, chr(10), 2) || chr(10)
+       || case when h >= '8' then '  typedef logic t_' || a || ';' || chr(10) else '' end
+       || '  assign ' || a || '_x = ' || b || ';' || chr(10) || '  assign ' || c || ' = "a;b";' || chr(10)
+       || case when g < '8' then '  always @(posedge clk) begin ' || b || '_y <= ' || c || '; end' || chr(10)
+               else '  initial ' || b || '_y = 0;' || chr(10) end
+       || case when g >= '4' then '  function f_' || c || '; input i; f_' || c || ' = i; endfunction' || chr(10) else '' end
+       || case when g >= 'a' then '  generate if (W) begin assign q = 1; end endgenerate' || chr(10) else '' end
+       || '  sub_' || c || ' u1 (' || a || ', ' || b || ');' || chr(10) || 'endmodule' || chr(10) end
+    || case when h >= '9' then '/* between */ wire w_' || a || ';' || chr(10)
+       || 'module m_' || case when h >= 'c' then a else b end || ' (z);' || chr(10) || '  localparam P = 1;' || chr(10)
+       || '  assign z = P;' || chr(10) || '  assign ' || c || ' = z;' || chr(10) || 'endmodule' || chr(10) else '' end as text
+from (select doc_id, text, substr(md5(text), 1, 1) as h, substr(md5(text), 2, 1) as g,
+             'n' || substr(md5(split_part(text, ' ', 1)), 1, 4) as a,
+             'k' || substr(md5(split_part(text, ' ', 2)), 1, 4) as b,
+             'v' || substr(md5(split_part(text, ' ', 3)), 1, 4) as c
+      from {documents}) as own
 """
 
 SNAPSHOTS = """
