@@ -2,6 +2,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from faultloom.operators import scoring
 from faultloom.operators.scoring import SIDES_PER_SLICE, report_scores, similarity_table
 from faultloom.plans.score import pairs_from_emitted, score_responses
 from test_diffs import DECODER, DECODER_CUT, expected_chunks
@@ -21,7 +22,7 @@ def fenced(*blocks):
     return "# Bug\n" + "\n".join(f"```verilog\n{b}\n```" for b in blocks) + "\nend"
 
 
-COUNTER = "module counter(\n    input clk,\n    output reg [7:0] count\n);\n    always @(posedge clk) begin\n        count <= count + {};\n    end\nendmodule\n"
+COUNTER = "module counter(\n    input clk,\n    output reg [7:0] count\n);\n    always @(posedge clk) begin\n        count <= count + {}\n    end\nendmodule\n"
 ALWAYS = "\n    always @(posedge clk) begin\n        count <= count {} 1;\n    end\n"
 FIFO = """
 module fifo #(parameter DEPTH = 8)(
@@ -45,8 +46,8 @@ module fifo #(parameter DEPTH = 8)(
 endmodule
 """
 CASES = [
-    (COUNTER.format("1"), COUNTER.format("2;  // Bug: incrementing by 2 instead of 1"),
-     fenced("count <= count + 2;;  // Bug: incrementing by 2 instead of 1"), {}, (0.8, 1.0)),
+    (COUNTER.format("1;"), COUNTER.format("2;  // Bug: incrementing by 2 instead of 1"),
+     fenced("count <= count + 2;  // Bug: incrementing by 2 instead of 1"), {}, (1.0, 1.0)),
     (ALWAYS.format("+"), ALWAYS.format("-"),
      fenced("module adder(\n    input [7:0] a, b,\n    output [7:0] sum\n);\n    assign sum = a + b;\nendmodule"), {}, (0.0, 0.4)),
     (ALWAYS.format("+"), ALWAYS.format("-"), fenced("assign sum = a + b;"), {}, (0.0, 0.25)),
@@ -198,3 +199,13 @@ def test_responses_against_emitted_pairs(spark):
     )
     rows = score_responses(responses, pairs_from_emitted(emitted)).collect()
     assert [(r.uuid, r.status, r.score) for r in rows] == [("u1", "ok", 1.0), ("u2", "no_pair", None)]
+
+
+def test_many_blocks_and_missing_pair(spark, monkeypatch):
+    """Slices of blocks give the best of all blocks; a report without a pair keeps its row."""
+    monkeypatch.setattr(scoring, "BLOCKS_PER_SLICE", 3)
+    pairs = spark.createDataFrame([(1, "assign y = a;", "assign y = b;")], "pair_id int, base_code string, buggy_code string")
+    blocks = fenced(*[f"noise {i}" for i in range(10)], "assign y = b;", "more")
+    reports = spark.createDataFrame([(1, 1, blocks), (2, 9, blocks)], REPORT)
+    got = {r.report_id: (r.status, r.n_code_blocks, r.score) for r in report_scores(reports, pairs).collect()}
+    assert got == {1: ("ok", 12, 1.0), 2: ("no_pair", 12, None)}
