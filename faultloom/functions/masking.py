@@ -61,15 +61,6 @@ PLAIN = MaskStyle(
 BASED_LITERAL = r"[0-9]*'[sS]?[bBoOdDhH][0-9a-fA-FxXzZ_?]+"
 
 
-def mask_hits(text: Column, style: MaskStyle, *, keep_based_literals: bool = False) -> Column:
-    """The masked stretches of a text in order; the n-th one belongs to placeholder n."""
-    if not keep_based_literals:
-        return F.regexp_extract_all(text, F.lit(style.hit_pattern), 0)
-    return F.filter(
-        F.regexp_extract_all(text, F.lit(_stepping_over(style)), 0), _is_masked
-    )
-
-
 def _stepping_over(style: MaskStyle) -> str:
     return rf"(?=[/\"'0-9])(?:{BASED_LITERAL}|{style.pattern})"
 
