@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from ..functions.prompts import DETECTION_PROMPTS, RENAME_PROMPT
 from ..functions.labels import NO_MODIFICATIONS
 from ..functions.words import RESERVED
-from .views import CODE_TAIL, TAIL_EDITS, cte
+from .views import CODE_TAIL, PROPOSALS, RENAME_JSON, TAIL_EDITS, WITHOUT_PAIRS, cte
 
 SEED = 7
 
@@ -99,7 +101,8 @@ select *, {pct(share("count", f"(sum(count) over ({over}))"))} as percent from c
 
 # --- renaming ---------------------------------------------------------------------------------
 
-JUDGED = f"""{cte("mappings")}, vocabulary as (
+def judged(head: str, pairs: str) -> str:
+    return f"""{head}, vocabulary as (
   select doc_id, list_distinct(regexp_extract_all(text, '[A-Za-z0-9_$]+')) as names from documents),
 own as (
   select m.*, case when old_name like '\\_\\_OBFUSCATE\\_MASK\\_%' escape '\\' then 'mask_token'
@@ -107,7 +110,7 @@ own as (
                    when not list_contains(v.names, old_name) then 'absent'
                    when not regexp_full_match(new_name, '[A-Za-z_][A-Za-z0-9_$]*') then 'invalid_new_name'
               end as own_reason
-  from mappings m join vocabulary v using (doc_id)),
+  from {pairs} m join vocabulary v using (doc_id)),
 judged as (
   select doc_id, ord::bigint as ord, old_name, new_name,
          coalesce(own_reason,
@@ -116,7 +119,26 @@ judged as (
            case when old_name in ({", ".join(quoted(w) for w in RESERVED)}) then 'not_candidate' end) as reason
   from own)"""
 
-RENAMED = f"""{JUDGED}, pieces as (
+def _pair_rows() -> str:
+    """``values`` of kind, place, names and type of the pairs in the answers; kind 0 is the full mapping."""
+    full = [(old, new, True) for old, new in json.loads(RENAME_JSON).items()]
+    rows = [(k, n, *p) for k, pairs in ({0: full} | PROPOSALS).items() for n, p in enumerate(pairs)]
+    return ", ".join(f"({k}, {n}, {quoted(old)}, {quoted(new)}, {text})" for k, n, old, new, text in rows)
+
+
+ODD_ANSWERS = ", ".join(map(str, [*PROPOSALS, *WITHOUT_PAIRS]))
+JUDGED = judged(cte("mappings"), "mappings")
+JUDGED_ANSWERS = judged(
+    f"""with proposals as (
+  select doc_id, e.ord, e.old_name, e.new_name, e.is_text from documents d
+  join (values {_pair_rows()}) as e(kind, ord, old_name, new_name, is_text)
+    on e.kind = case when doc_id % 13 in ({ODD_ANSWERS}) then doc_id % 13 else 0 end)""",
+    "proposals",
+)
+
+
+def renamed(judged_rows: str) -> str:
+    return f"""{judged_rows}, pieces as (
   select doc_id, unnest(regexp_extract_all(text, '{TOKEN_OR_GAP}')) as piece,
          unnest(range(len(regexp_extract_all(text, '{TOKEN_OR_GAP}')))) as pos
   from documents),
@@ -125,10 +147,21 @@ renamed as (
   from pieces p left join judged j on j.doc_id = p.doc_id and j.old_name = p.piece and j.reason is null
   group by p.doc_id)"""
 
-ALL_RENAMED = f"""{RENAMED}, outputs as (
-  select d.doc_id, d.text as gold, coalesce(r.text, d.text) as renamed,
-         exists (select 1 from judged j where j.doc_id = d.doc_id and j.reason is null) as mapped
-  from documents d left join renamed r using (doc_id))"""
+def outputs(judged_rows: str, failed: str) -> str:
+    return f"""{renamed(judged_rows)}, outputs as (
+  select doc_id, gold, case when status = 'succeeded' then renamed else gold end as renamed, status, status = 'succeeded' as mapped
+  from (
+    select d.doc_id, d.text as gold, coalesce(r.text, d.text) as renamed,
+           case when d.doc_id in ({failed}) then 'failed'
+                when exists (select 1 from judged j where j.doc_id = d.doc_id and j.reason is null) then 'succeeded'
+                else 'no_usable_mapping' end as status
+    from documents d left join renamed r using (doc_id)))"""
+
+
+ALL_RENAMED = outputs(JUDGED, "select null")
+FAILED_ANSWERS = """select doc_id from own where not is_text
+  and coalesce(own_reason, '') not in ('mask_token', 'unsupported_key', 'absent')"""
+ALL_ANSWERED = outputs(JUDGED_ANSWERS, FAILED_ANSWERS)
 
 # --- masking and chunks -----------------------------------------------------------------------
 
@@ -346,7 +379,7 @@ def code_of(text: str) -> str:
 
 
 NAME_TEST = "regexp_full_match({0}, '[A-Za-z_][A-Za-z0-9_$]*') and {0} not in ({1})"
-RENAME_EQUIV = f"""{ALL_RENAMED}, paired as (
+RENAME_EQUIV = f"""{ALL_ANSWERED}, paired as (
   select doc_id, gold || {quoted(CODE_TAIL)} as gold, renamed || {tail_case()} as gate from outputs),
 listed as (select doc_id, {code_of("gold")} as l, {code_of("gate")} as r from paired),
 tokens as (select doc_id, len(l) as nl, len(r) as nr, unnest(l) as lt, unnest(r) as rt from listed),
@@ -504,18 +537,17 @@ ORACLES: dict[str, str] = {
                'q <= 2''b00; r = 8''hFF; ' || {masked("text", PLAIN, PLAIN_PLACEHOLDER)} as masked, true as round_trip
         from rtl_docs""",
     "mapping_accept": f"{JUDGED} select doc_id, ord, old_name, new_name, reason from judged",
-    "mapping_accept_inline": f"{JUDGED} select doc_id, ord, old_name, new_name, reason from judged",
+    "mapping_accept_inline": f"{JUDGED_ANSWERS} select doc_id, ord, old_name, new_name, reason from judged",
     "mapping_reasons": f"""{JUDGED} select coalesce(reason, 'accepted') as reason, count(*) as count
         from judged group by 1""",
-    "rename_tokens": f"{ALL_RENAMED} select doc_id, renamed as text from outputs",
+    "rename_tokens": f"{ALL_ANSWERED} select doc_id, renamed as text from outputs",
     "rename_join": f"{ALL_RENAMED} select doc_id, renamed as text from outputs",
     "rename_corpus": f"""{ALL_RENAMED}
         select doc_id, case when contains(gold, 'the') and mapped then 'succeeded' else 'no_usable_mapping' end as status,
                md5(case when contains(gold, 'the') then renamed else gold end) as renamed_md5
         from outputs""",
-    "rename_run_summary": f"""{ALL_RENAMED}
-        select 'document' as what, case when mapped then 'succeeded' else 'no_usable_mapping' end as outcome,
-               count(*) as count from outputs group by 2
+    "rename_run_summary": f"""{ALL_ANSWERED}
+        select 'document' as what, status as outcome, count(*) as count from outputs group by 2
         union all
         select 'pair', coalesce(reason, 'accepted'), count(*) from judged group by 2""",
     "modules": f"{MODULES} select doc_id, module_no, module_name, module_text from named",

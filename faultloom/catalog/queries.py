@@ -213,10 +213,7 @@ def mask_based_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _renamed_by_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answered = documents(spark, sf_dir).select(
-        "doc_id", "text", F.lit(f"Sure: {RENAME_JSON} done").alias("llm_response")
-    )
-    return apply_rename_responses(answered, text="text")
+    return apply_rename_responses(view(spark, sf_dir, "answers", "doc_id"), text="text")
 
 
 def mapping_accept(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,27 @@ RENAME_JSON = (
 CODE_TAIL = ' wire q9; s9 = "a b"; n9 = 2\'d1; // note'
 TAIL_EDITS = (("2'd1", "2'd0"), ("// note", "/* other */"), ("wire", "reg"), ('"a b"', '"a  b"'), ("s9 =", "q9 ="))
 
+# Answers to the renaming prompt per document: most hold the mapping above, the others none, one with a number or
+# a nested object for a name, an object that does not parse, or one key twice. PROPOSALS lists their pairs.
+ANSWERS = f"""
+select doc_id, text,
+       case doc_id % 13 when 7 then 'no idea'
+            when 8 then 'Sure: {{{{"the": "tok_a", "and": 7, "of": "x"}}}} done'
+            when 9 then '{{{{bad}}}} {{{{"the": "tok_a"}}}}'
+            when 10 then 'Nested: {{{{"n": {{{{"k":"}}}}"}}}}, "the": "tok_a"}}}} and {{{{"z": 1}}}}'
+            when 11 then '{{{{"the": "tok_a", "of": "b", "the": "tok_z"}}}}'
+            else 'Sure: {RENAME_JSON.replace("{", "{{").replace("}", "}}")} done' end as llm_response
+from {{documents}}
+"""
+PROPOSALS = {
+    8: (("the", "tok_a", True), ("and", "7", False), ("of", "x", True)),
+    10: (("n", '{"k":"}"}', False), ("the", "tok_a", True)),
+    11: (("the", "tok_z", True), ("of", "b", True)),
+}
+WITHOUT_PAIRS = (7, 9)
+
 VIEWS = {
+    "answers": (ANSWERS, ("documents",)),
     "reviews": (REVIEWS, ("documents",)),
     "usable_reviews": (USABLE_REVIEWS, ("reviews",)),
     "code_pairs": (CODE_PAIRS, ("documents",)),
