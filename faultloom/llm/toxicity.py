@@ -82,10 +82,9 @@ class Bags:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.texts = len(rows)
 
-    def spread(self) -> np.ndarray:
-        """In how many texts each bucket occurs, a bucket counted once for every word of it in a text."""
-        per_word = np.bincount(self.ids, minlength=len(self.sizes))
-        return np.bincount(self.grams, np.repeat(per_word, self.sizes), BUCKETS)
+    def held(self) -> np.ndarray:
+        """Which buckets occur: each of them is trained, however rare, and weight decay holds noise down."""
+        return np.bincount(self.grams, minlength=BUCKETS) > 0
 
     def restrict(self, known: np.ndarray) -> None:
         """Keep the known buckets only, renumbered; a word's mean still counts all its n-grams."""
@@ -117,7 +116,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
         return weights, {0.0: -4.0, 0.5: -1.0, 1.0: 4.0}[share]
     rng = np.random.default_rng(seed)
     bags = Bags(texts)
-    known = bags.spread() >= LEAST_TEXTS
+    known = bags.held()
     bags.restrict(known)
     size = int(known.sum())
     vectors = rng.normal(0, 0.1, (size, WIDTH))
@@ -158,8 +157,7 @@ def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:
     return weights, float(offset[1] - offset[0])
 
 
-#: N-grams in fewer texts of the sample keep no vector; the floor of a step's divisor.
-LEAST_TEXTS = 30
+#: The floor of a step's divisor.
 EASE = 2e-4
 #: The softmax reads averages times this: a few words among hundreds must be able to decide.
 SCALE = 20.0

@@ -356,6 +356,28 @@ def test_toxicity(spark):
     assert kept.columns == rows.columns and kept.count() == sum(r.predicted == 0 for r in got)
 
 
+def test_toxicity_learns_rare_words():
+    """Held-out recall on a small table: every telling word occurs in fewer than 30 texts, some misspelt."""
+    rnd = random.Random(61)
+    words = ["".join(rnd.choice("abcdeghiklmnoprstu") for _ in range(rnd.randint(3, 8))) for _ in range(60)]
+    telling = ["zwockel", "quaffjerk", "vyxxon"]
+    told = telling + ["zwockell", "qwaffjerk", "vyxxonn"]
+    texts, truth = [], []
+    for i in range(420):
+        own = [rnd.choice(words) for _ in range(rnd.randint(5, 10))]
+        if i % 5 == 0:
+            own[rnd.randrange(len(own))] = rnd.choice(telling if i < 300 else told)
+        texts.append(" ".join(own))
+        truth.append(int(i % 5 == 0))
+    assert all(0 < sum(w in t.split() for t in texts[:300]) < 30 for w in telling)
+    weights, bias = toxicity.train(texts[:300], truth[:300])
+    assert all(weights[toxicity.grams([w])[1]].all() for w in telling)
+    score = toxicity.Scorer(weights, bias)
+    found = np.array([score(t) >= 0.5 for t in texts[300:]])
+    toxic = np.array(truth[300:], bool)
+    assert found[toxic].mean() >= 0.75 and found[~toxic].mean() <= 0.1
+
+
 # 7 BPE
 
 
