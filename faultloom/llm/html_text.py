@@ -3,8 +3,9 @@
 The standard library's parser streams events; block boundaries cut them into lines, each with its text, its
 count of tags and its place in the page. Ratios of text to tags are smoothed with a Gaussian, and lines
 above the standard deviation form the content cluster. Its lines outside page furniture decide the content
-region: the innermost element that holds most of their text, or the article or main element around it. All
-lines of that region are the text, short ones too, except for furniture.
+region: the innermost container that holds them all (never a paragraph, heading or list), an element around it
+that has a heading of its own, or the article or main element around it. All lines of that region are the
+text, short ones too, except for furniture.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
-REGION_SHARE = 0.8
 FEED = 1 << 16
 
 #: Elements whose text is never shown as text of the page.
@@ -40,6 +40,9 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul script style noscript template iframe object textarea select button".split()
 )
 CLOSES_P = BLOCKS - {"br", "caption", "option", "title", "script", "style", "template", "noscript"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are part of a text, never the container of one.
+PASSAGES = HEADINGS | set("p pre blockquote li ul ol dl dt dd figure figcaption caption tr tbody thead tfoot table".split())
 #: An opening tag ends an open element of these names, up to the nearest of the elements that bound it.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table select body article section div".split())
@@ -149,13 +152,13 @@ def main_text(html: str | None) -> str:
     chosen = (ratios >= ratios.std()) & ~hidden & (lengths > 0)
     if not chosen.any():
         chosen = ~hidden & (lengths > 0)
-    weight = np.zeros(len(page.names))
-    np.add.at(weight, np.array(page.inside)[chosen], lengths[chosen])
-    own = weight.copy()
+    own = np.bincount(np.array(page.inside)[chosen], minlength=len(page.names))
     for number in range(len(own) - 1, 0, -1):
         own[page.parents[number]] += own[number]
-    total = own[0]
-    region = max(n for n in range(len(own)) if own[n] >= REGION_SHARE * total)  # the latest opened is innermost
+    region = int(np.flatnonzero(own == own[0])[-1])  # the latest opened is innermost
+    headed = {page.parents[n] for n, h in zip(page.inside, page.hidden) if page.names[n] in HEADINGS and not h}
+    while region > 0 and (page.names[region] in PASSAGES or page.parents[region] in headed):
+        region = page.parents[region]
     around = region
     while around > 0:
         if page.names[around] in ("article", "main"):

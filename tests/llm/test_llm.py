@@ -454,6 +454,22 @@ def test_html_text(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body,words",
+    [
+        ("<p>{a}</p><p>{b}</p>", "a b"),
+        ("<div>" + "<p>{a}</p>" * 5 + "</div><div><p>{a}</p></div>", "a a a a a a"),
+        ("<div id=content><h1>Head</h1><p>{b}</p><div class=body><p>{a}</p><p>{a}</p></div></div>", "Head b a a"),
+        ("<div><p>Short lead</p><ul><li>{a}</li><li>Two</li></ul></div>", "Short lead a Two"),
+        ("<nav>Home</nav><div><h2>Head</h2><div><p>{a}</p></div></div><footer>End</footer>", "Head a"),
+    ],
+)
+def test_html_text_without_article(body, words):
+    texts = {"a": "Long words. " * 90, "b": "Other words. " * 8}
+    want = " ".join(texts[w].strip() if w in texts else w for w in words.split())
+    assert main_text(f"<html><body>{body.format(**texts)}</body></html>") == want
+
+
 # 10 fingerprints
 
 
