@@ -1,8 +1,9 @@
 """Embedding near-dedup: one HNSW graph per shard, every shard queried, verified cosine, union of components.
 
 Equal vectors are one class with a count. Classes are hashed into shards of bounded size and each shard
-builds a graph. A recall audit against brute force over a bounded set of audit vectors doubles the beam
-until enough links are found; a query whose beam ends within links widens its own beam further. Links are
+builds a graph. A recall audit against brute force over a bounded set of audit vectors that have links
+doubles the beam until enough links are found; where the widest beam misses too many, shards are searched
+exactly, in blocks. A query whose beam ends within links widens its own beam, at last to an exact search. Links are
 verified in double precision; a task returns a spanning forest of them, never all pairs of a group. As
 every link lies within a component, the exact numbers of links are then counted component by component,
 in blocks that return counts only.
@@ -27,10 +28,14 @@ THRESHOLD = 0.95
 SHARD_ROWS = 25_000
 LEAST_SHARDS = 8
 BLOCK_ROWS = 16_384
-#: First beam, wanted share of links, bound of the audit set, and how far below the threshold a beam must end.
+#: First and widest beam (an exact search costs less than a wider one), wanted share of an audit vector's links,
+#: candidates and bound of the audit set, planted queries, and how far below the threshold a beam must end.
 BEAM = 48
+WIDEST = 1536
 RECALL = 0.97
+CANDIDATES = 4096
 AUDIT_ROWS = 512
+PLANTED = 256
 MARGIN = 0.06
 COUNT_BLOCK = 1024
 STEP = 512
@@ -68,27 +73,34 @@ def packed(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return source.mapInArrow(run, f"key {kind}, vec binary")
 
 
-def range_search(graph, raw_points, units, raw_queries, beam: int, threshold: float):
-    """``(query, point)`` pairs found in a shard with a double-precision cosine of at least the threshold."""
+def range_search(graph, raw_points, units, raw_queries, beam: int | None, threshold: float):
+    """``(query, point)`` pairs found in a shard with a double-precision cosine of at least the threshold.
+
+    Without a beam, and for queries whose beam outgrows WIDEST, all points of the shard are compared.
+    """
     queries = unit(raw_queries)
     found_q, found_p = [], []
-    todo, size = np.arange(len(queries)), min(beam, len(units))
+    todo, size = np.arange(len(queries)), beam
     while len(todo):
         wider = []
         for at in range(0, len(todo), STEP):
             own = todo[at : at + STEP]
-            ids, sims = graph.search(queries[own].astype(np.float32), size)
-            full = (sims[:, -1] >= threshold - MARGIN) & (size < len(units))
-            wider.append(own[full])
-            row, col = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0) & ~full[:, None])
-            q, p = own[row], ids[row, col]
+            if size is None or size > WIDEST or size >= len(units):
+                row, p = np.nonzero(queries[own].astype(np.float32) @ graph.vectors.T >= threshold - 1e-4)
+                q = own[row]
+            else:
+                ids, sims = graph.search(queries[own].astype(np.float32), size)
+                full = sims[:, -1] >= threshold - MARGIN
+                wider.append(own[full])
+                row, col = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0) & ~full[:, None])
+                q, p = own[row], ids[row, col]
             for part in range(0, len(q), 65_536):
                 cut = slice(part, part + 65_536)
                 exact = np.einsum("kd,kd->k", queries[q[cut]], units[p[cut]]) >= threshold
                 found_q.append(q[cut][exact])
                 found_p.append(p[cut][exact])
-        todo = np.concatenate(wider)
-        size = min(2 * size, len(units))
+        todo = np.concatenate(wider) if wider else todo[:0]
+        size = size and 2 * size
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return join(found_q), join(found_p)
 
@@ -108,37 +120,75 @@ def build_shard(table):
     return pa.table({"shard": table.column("shard")[:1], "graph": pa.array([pickle.dumps(state)], pa.binary())})
 
 
-def audited_beam(classes: DataFrame, graphs: DataFrame, threshold: float) -> tuple[int, float]:
-    """The beam at which audit vectors find RECALL of their brute-force links, and the recall measured."""
-    chosen = classes.where("first_key % 100 = 0").orderBy(F.xxhash64("cls")).limit(AUDIT_ROWS).select("vec").collect()
-    if not chosen:
-        chosen = classes.orderBy(F.xxhash64("cls")).limit(AUDIT_ROWS).select("vec").collect()
-    audit = np.stack([np.frombuffer(r.vec, np.float64) for r in chosen])
-    units = unit(audit)
+def audit_set(classes: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """``(classes, vectors, links, groups)`` of audit queries with links, by brute force and without self matches.
+
+    Linked candidates are taken evenly in the order of their links; they form two groups, with fewer and with
+    more links, so that hot vectors do not outweigh the others. A third group are planted queries (class -1),
+    each within the threshold of a candidate, so that the audit can tell something where links are rare.
+    """
+    chosen = classes.orderBy(F.xxhash64("cls"), "cls").limit(CANDIDATES).select("cls", "vec").collect()
+    known = np.array([r.cls for r in chosen], np.int64)
+    raw = unit(np.stack([np.frombuffer(r.vec, np.float64) for r in chosen]))
+    rng = np.random.default_rng(7)
+    near = raw[:PLANTED]
+    aside = rng.normal(size=near.shape)
+    aside -= (aside * near).sum(1, keepdims=True) * near
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-9)
+    level = (1 + threshold) / 2
+    raw = np.concatenate([raw, level * near + np.sqrt(1 - level * level) * aside])
+    known = np.concatenate([known, np.full(len(near), -1)])
 
     def truth(batches):
-        total = 0
+        links = np.zeros(len(raw), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                total += int((unit(unpack(batch.column(0))) @ units.T >= threshold).sum())
-        yield pa.RecordBatch.from_pydict({"n": [total]})
-
-    wanted = classes.select("vec").mapInArrow(truth, "n long").agg(F.sum("n")).first()[0]
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(ids), STEP):
+                own = unit(unpack(batch.column(1)[at : at + STEP]))
+                links += ((own @ raw.T >= threshold) & (ids[at : at + STEP, None] != known)).sum(0)
+        yield pa.RecordBatch.from_pydict({"at": np.arange(len(raw)), "n": links})
+
+    links = np.zeros(len(raw), np.int64)
+    counted = classes.select("cls", "vec").mapInArrow(truth, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for r in counted.where("n > 0").collect():
+        links[r.at] = r.n
+    linked = np.flatnonzero((links > 0) & (known >= 0))
+    linked = linked[np.argsort(links[linked], kind="stable")]
+    if len(linked) > AUDIT_ROWS:
+        linked = linked[np.linspace(0, len(linked) - 1, AUDIT_ROWS).astype(np.int64)]
+    planted = np.flatnonzero((links > 0) & (known < 0))
+    rows = np.concatenate([linked, planted])
+    cuts = np.split(np.arange(len(rows)), [len(linked) // 2, len(linked)])
+    return known[rows], raw[rows], links[rows], [c for c in cuts if len(c)]
+
+
+def audited_beam(classes: DataFrame, graphs: DataFrame, threshold: float) -> tuple[int | None, float]:
+    """The beam at which audit vectors find RECALL of their links, and the recall measured; no beam if none does.
+
+    The recall is the mean over a group's vectors of the share of their links found, the least of the groups.
+    """
+    known, audit, wanted, groups = audit_set(classes, threshold)
     beam = BEAM
-    while True:
+    while groups and beam <= WIDEST:
 
         def trial(batches, beam=beam):
-            total = 0
+            found = np.zeros(len(audit), np.int64)
             for batch in batches:
                 for blob in batch.column(0):
-                    graph, raw, points, _ = load(blob.as_py())
-                    total += len(range_search(graph, raw, points, audit, beam, threshold)[0])
-            yield pa.RecordBatch.from_pydict({"n": [total]})
-
-        found = graphs.select("graph").mapInArrow(trial, "n long").agg(F.sum("n")).first()[0]
-        if found >= RECALL * wanted or beam >= SHARD_ROWS:
-            return beam, found / max(1, wanted)
+                    graph, raw, points, ids = load(blob.as_py())
+                    q, p = range_search(graph, raw, points, audit, beam, threshold)
+                    found += np.bincount(q[ids[p] != known[q]], minlength=len(audit))
+            yield pa.RecordBatch.from_pydict({"at": np.arange(len(audit)), "n": found})
+
+        rows = graphs.select("graph").mapInArrow(trial, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        share = np.zeros(len(audit))
+        for r in rows.collect():
+            share[r.at] = min(1.0, r.n / wanted[r.at])
+        recall = min(float(share[g].mean()) for g in groups)
+        if recall >= RECALL:
+            return beam, recall
         beam *= 2
+    return None, 1.0
 
 
 def search_links(scratch: Scratch, classes: DataFrame, threshold: float) -> DataFrame:

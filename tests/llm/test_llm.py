@@ -6,18 +6,20 @@ import base64
 import hashlib
 import io
 import itertools
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from faultloom.llm import byte_bpe, decontaminate, hnsw, suffix_dedup, toxicity, warc
+from faultloom.llm import byte_bpe, decontaminate, embedding_dedup, hnsw, suffix_dedup, toxicity, warc
 from faultloom.llm.embedding_dedup import embedding_groups
 from faultloom.llm.html_text import extract_text, main_text
 from faultloom.llm.language_id import languages
@@ -124,6 +126,28 @@ def test_hnsw_finds_neighbours():
     assert (np.diff(sims, axis=1) <= 1e-6).all()
 
 
+@pytest.mark.parametrize("hot", [0, 250])
+def test_embedding_audit_sees_lost_points(spark, hot):
+    """A graph that cannot reach some linked points is not trusted, also beside a hot group that it finds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500 + hot, 16))
+    x[10:20] = x[:10] + rng.normal(size=(10, 16)) * 0.02  # 10 links among hundreds of vectors
+    x[500:] = x[499] + rng.normal(size=(hot, 16)) * 0.02
+    shard = embedding_dedup.build_shard(
+        pa.table({"shard": np.zeros(len(x), np.int32), "cls": np.arange(len(x)), "vec": pa.array([v.tobytes() for v in x], pa.binary())})
+    )
+    state = pickle.loads(shard.column("graph")[0].as_py())
+    lost = np.flatnonzero(np.isin(state["ids"], range(10, 20)) & (np.arange(len(x)) > 0))
+    for layer in state["layers"]:
+        layer[np.isin(layer, lost)] = -1
+    classes = spark.createDataFrame([(i, v.tobytes(), 1, i) for i, v in enumerate(x)], "cls long, vec binary, n long, first_key long")
+    graphs = spark.createDataFrame([(0, bytearray(pickle.dumps(state)))], "shard int, graph binary")
+    beam, _ = embedding_dedup.audited_beam(classes, graphs, 0.95)
+    graph, raw, units, ids = embedding_dedup.load(pickle.dumps(state))
+    q, p = embedding_dedup.range_search(graph, raw, units, x[:20], beam, 0.95)
+    assert {(a, b) for a, b in zip(q.tolist(), ids[p].tolist()) if a != b} >= {(a, a + 10) for a in range(10)}
+
+
 # 2 archives
 
 
