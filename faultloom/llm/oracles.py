@@ -31,4 +31,44 @@ select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as
 from p left join top using (payload)
 """
 
-ORACLES = {"op2_warc": WARC, "op4_decontaminate": DECONTAMINATE}
+# The 256 table entries of CRC-32, and its steps over the bytes of a text.
+CRC_STEPS = """
+steps as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, range(8)::bigint[]),
+  lambda a, i: xor(a >> 1, case when a % 2 = 1 then 3988292384 else 0 end))) as steps)
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, given a row of ``steps``."""
+    bytes_of = f"list_transform(range(strlen({text})), lambda i: ('0x' || hex(encode({text}))[2 * i + 1:2 * i + 2])::bigint)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, {bytes_of}),"
+        " lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295)"
+    )
+
+
+SPELLING = f"""
+with recursive {CRC_STEPS.strip()},
+runs as (select doc_id, run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents)
+  group by all),
+hashed as (select run, n, {crc32_sql("(coalesce(doc_id::varchar, '') || ':' || run)")} as h from runs, steps),
+words as (select word, sum(n)::bigint as n
+  from (select n, case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word from hashed)
+  where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (select word, n, i, word[:i] || word[i + 2:] as rest from (select *, unnest(range(length(word))) as i from words)),
+near as (
+  select a.word, b.word as other, b.n from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from cuts a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(n) as n from near group by word),
+tops as (select b.word, n_near, b.n as form_n, min(other) as form from best b join near using (word, n) group by all),
+held as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+  case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end::bigint as form_n
+  from words w left join tops using (word)),
+chain as (select word, coalesce(form, word) as root, form is null as done from held
+  union all select c.word, coalesce(h.form, c.root), h.form is null from chain c join held h on h.word = c.root where not done)
+select h.word, form, c.root, h.n, n_near, form_n from held h join chain c on c.word = h.word and c.done
+"""
+
+ORACLES = {"op2_warc": WARC, "op4_decontaminate": DECONTAMINATE, "op13_spelling": SPELLING}

@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .language_id import languages
 from .ring_shards import ring_shards
 from .simhash_dedup import simhash_groups
+from .spelling_variants import spelling_variants
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
 from .warc import archive_round_trip
@@ -63,4 +64,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_warc, op3_ring_shards, op4_decontaminate, op5_suffix_dedup, op6_toxicity, op7_byte_bpe, op8_language_id, op9_html_text, op10_simhash)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_warc,
+        op3_ring_shards,
+        op4_decontaminate,
+        op5_suffix_dedup,
+        op6_toxicity,
+        op7_byte_bpe,
+        op8_language_id,
+        op9_html_text,
+        op10_simhash,
+        op13_spelling,
+    )
+}

@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "byte_level_bpe"
     ]
