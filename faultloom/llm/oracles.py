@@ -71,4 +71,33 @@ chain as (select word, coalesce(form, word) as root, form is null as done from h
 select h.word, form, c.root, h.n, n_near, form_n from held h join chain c on c.word = h.word and c.done
 """
 
-ORACLES = {"op2_warc": WARC, "op4_decontaminate": DECONTAMINATE, "op13_spelling": SPELLING}
+IMPORTANCE = f"""
+with {CRC_STEPS.strip()},
+docs as (select row_number() over () as row, doc_id, coalesce({WORDS.format(LOWER.format("text"))}, []) as ws from documents),
+items as (select coalesce({WORDS.format(LOWER.format("text"))}, []) as ws from benchmark),
+of_docs as (select row, unnest(ws) as w from docs),
+of_items as (select unnest(ws) as w from items),
+vocabulary as (select w, {crc32_sql("w")} % 10000 as bucket
+  from (select w from of_docs union select w from of_items), steps),
+source as (select bucket, count(*) as s from of_docs join vocabulary using (w) group by bucket),
+target as (select bucket, count(*) as t from of_items join vocabulary using (w) group by bucket),
+totals as (select (select coalesce(sum(s), 0) from source)::double as s_all, (select coalesce(sum(t), 0) from target)::double as t_all),
+gains as (select w, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000) / ((coalesce(s, 0) + 1)::double * (t_all + 10000))))::bigint as gain
+  from vocabulary left join source using (bucket) left join target using (bucket), totals),
+weights as (select row, sum(gain)::bigint as weight from of_docs join gains using (w) group by row),
+scored as (
+  select row, doc_id, len(ws)::bigint as n_features, coalesce(weight, 0)::bigint as weight, coalesce(weight, 0)::bigint
+    + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[:8])::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from docs left join weights using (row)),
+places as (select row, row_number() over (order by score desc, doc_id nulls last, row) as rank, count(*) over () as n
+  from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end::bigint as rank
+from scored left join places using (row)
+"""
+
+ORACLES = {
+    "op2_warc": WARC,
+    "op4_decontaminate": DECONTAMINATE,
+    "op11_importance": IMPORTANCE,
+    "op13_spelling": SPELLING,
+}

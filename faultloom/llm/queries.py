@@ -9,8 +9,10 @@ from .byte_bpe import encode_documents
 from .decontaminate import contamination
 from .embedding_dedup import embedding_groups
 from .html_text import extract_text
+from .importance_sampling import importance_sample
 from .language_id import languages
 from .ring_shards import ring_shards
+from .secret_scan import secrets
 from .simhash_dedup import simhash_groups
 from .spelling_variants import spelling_variants
 from .suffix_dedup import suffix_dedup
@@ -64,6 +66,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -81,6 +91,8 @@ QUERIES = {
         op8_language_id,
         op9_html_text,
         op10_simhash,
+        op11_importance,
+        op12_secrets,
         op13_spelling,
     )
 }
