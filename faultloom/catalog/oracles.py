@@ -452,7 +452,8 @@ opcodes as (
   union all select pair_id, 'equal', i, i + n, j, j + n from blocks where n > 0)"""
 
 
-def diff_chunks(lines, normalized: bool) -> str:
+def chunked(lines, normalized: bool) -> str:
+    """The changed chunks of every pair, in their order by ``pi, pj``."""
     join = "chr(10)" if normalized else "''"
     trim = "trim({}, chr(10))" if normalized else "{}"
     sides = ", ".join(
@@ -466,11 +467,103 @@ stretches as (
   select *, coalesce(lag(i + n) over w, 0) as pi, coalesce(lag(j + n) over w, 0) as pj
   from separators window w as (partition by pair_id order by i, j, n desc)),
 built as (
-  select pair_id, pi, pj, {sides} from stretches join listed using (pair_id) where pi < i or pj < j)
-select pair_id, (row_number() over (partition by pair_id order by pi, pj) - 1)::bigint as chunk_no, old_version, new_version
-from built {differ}"""
+  select pair_id, pi, pj, {sides} from stretches join listed using (pair_id) where pi < i or pj < j),
+chunks as (
+  select pair_id, (row_number() over (partition by pair_id order by pi, pj) - 1)::bigint as chunk_no, old_version, new_version
+  from built {differ})"""
 
 
+def diff_chunks(lines, normalized: bool) -> str:
+    return f"{chunked(lines, normalized)} select * from chunks"
+
+
+def fenced_blocks(key: str, table: str, text: str) -> str:
+    """``texts``: the code blocks of each row, white space collapsed."""
+    return f"""pieces as (select {key}, {lines_of(text)} as lines from {table}),
+rows as (select {key}, unnest(range(len(lines))) as pos, unnest(lines) as line from pieces),
+fences as (select {key}, pos, row_number() over (partition by {key} order by pos) - 1 as n
+           from rows where regexp_matches(line, '^{WS}*```')),
+spans as (select o.{key}, o.n // 2 as block_no, o.pos as opened, c.pos as closed
+          from fences o join fences c on c.{key} = o.{key} and c.n = o.n + 1 where o.n % 2 = 0),
+texts as (select {key}, block_no, {collapsed("block")} as block from (
+  select s.{key}, s.block_no, coalesce(string_agg(r.line, chr(10) order by r.pos), '') as block
+  from spans s left join rows r on r.{key} = s.{key} and r.pos > s.opened and r.pos < s.closed
+  group by s.{key}, s.block_no))"""
+
+
+def similarities() -> str:
+    """Ratios of all change sides and blocks that meet, by the same splitting of ranges on characters.
+
+    A character that makes up over a hundredth of a long block starts no run, but a run is lengthened through
+    such characters on both sides; what is left at the corner without a run is compared from its start.
+    """
+    reports = cte("reports")
+    reports = reports[reports.index("reports as") :]
+    back = "coalesce(list_position(list_transform(list_zip(list_reverse({0}), list_reverse({1})), lambda z: z[1] = z[2]), false) - 1, {2})"
+    forth = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] = z[2]), false) - 1, {2})"
+    before, after = "least(i - alo, j - blo)", "least(ahi - i - n, bhi - j - n)"
+    left = back.format(f"a[i - {before} + 1:i]", f"b[j - {before} + 1:j]", before)
+    right = forth.format(f"a[i + n + 1:i + n + {after}]", f"b[j + n + 1:j + n + {after}]", after)
+    return f"""{chunked(collapsed_lines, True)}, {reports}, {fenced_blocks("report_id", "reports", "bug_report")},
+sides as (
+  select pair_id, chunk_no, {collapsed("case when new_version <> '' then new_version else old_version end")} as side from chunks),
+meetings as materialized (
+  select report_id, chunk_no, side, block from reports join sides using (pair_id) join texts using (report_id)),
+couples as materialized (
+  select row_number() over () as p, side, block, regexp_extract_all(side, '(?s:.)') as a, regexp_extract_all(block, '(?s:.)') as b
+  from (select distinct side, block from meetings)),
+side_chars as (select p, unnest(range(len(a))) as i, unnest(a) as c from couples),
+block_chars as (select p, unnest(range(len(b))) as j, unnest(b) as c, len(b) as m from couples),
+rare_chars as (
+  select p, j, c from (select *, count(*) over (partition by p, c) as often from block_chars)
+  where m < 200 or often <= m // 100 + 1),
+same_chars as (select p, i, j, i - j as d from side_chars join rare_chars using (p, c)),
+char_runs as materialized (
+  select p, d, min(i) as i0, max(i) + 1 as i9
+  from (select *, i - row_number() over (partition by p, d order by i) as island from same_chars) group by p, d, island),
+areas as (
+  select p, 0::bigint as alo, len(a)::bigint as ahi, 0::bigint as blo, len(b)::bigint as bhi, false as done from couples
+  union all
+  select p, part.alo, part.ahi, part.blo, part.bhi, part.done
+  from (
+    select p, alo, ahi, blo, bhi, i - {left} as i1, j - {left} as j1, i + n + {right} as i2, j + n + {right} as j2
+    from (
+      select p, alo, ahi, blo, bhi, -max(best).i as i, -max(best).j as j, max(best).n as n
+      from (
+        select g.*, struct_pack(n := least(i9, ahi, bhi + d) - greatest(i0, alo, blo + d),
+               i := -greatest(i0, alo, blo + d), j := d - greatest(i0, alo, blo + d)) as best
+        from areas g join char_runs u on u.p = g.p
+        where not g.done and u.i0 < g.ahi and u.i9 > g.alo and least(i9, ahi, bhi + d) > greatest(i0, alo, blo + d))
+      group by p, alo, ahi, blo, bhi) join couples using (p)),
+  lateral (select unnest([
+    struct_pack(alo := i1, ahi := i2, blo := j1, bhi := j2, done := true),
+    struct_pack(alo := alo, ahi := i1, blo := blo, bhi := j1, done := false),
+    struct_pack(alo := i2, ahi := ahi, blo := j2, bhi := bhi, done := false)]) as part)
+  where part.ahi > part.alo and part.bhi > part.blo),
+matches as (
+  select p, sum(ahi - alo) as total, min(alo) as i, min(blo) as j from areas where done group by p),
+ratios as materialized (
+  select side, block, case when len(a) + len(b) = 0 then 1.0::double else 2.0::double * (coalesce(total, 0) + least(
+      coalesce(i, len(a)), coalesce(j, len(b)), {forth.format("a", "b", "least(len(a), len(b))")})) / (len(a) + len(b)) end as ratio
+  from couples left join matches using (p)),
+best as (
+  select report_id, chunk_no, max(ratio) as best_similarity from meetings join ratios using (side, block) group by all)"""
+
+
+REPORT_SCORES = f"""{similarities()},
+asked as (
+  select r.report_id, c.pair_id is not null as paired, coalesce(s.n, 0) as sides, coalesce(t.n, 0) as blocks
+  from reports r left join code_pairs c using (pair_id)
+  left join (select pair_id, count(*) as n from sides group by pair_id) s using (pair_id)
+  left join (select report_id, count(*) as n from texts group by report_id) t using (report_id)),
+credits as (
+  select report_id, sum(case when best_similarity >= 0.8::double then 1 else best_similarity / 0.8::double end) as credit
+  from best group by report_id)
+select report_id, case when paired then sides end::bigint as n_diffs, blocks::bigint as n_code_blocks,
+  case when not paired then 'no_pair' when sides = 0 then 'no_diffs' when blocks = 0 then 'no_code_blocks' else 'ok' end as status,
+  case when paired and sides > 0 and blocks > 0 then least(credit / sides, 1.0::double) end as score
+from asked left join credits using (report_id)"""
+
 ORACLES: dict[str, str] = {
     "labels_rowlevel": f"""{LABELLED} select uuid, input_file_rel_path, challenge_id,
         expected_detection_result, actual_detection_result from labelled""",
@@ -558,19 +651,13 @@ ORACLES: dict[str, str] = {
     "shuffle_corpus": shuffled("safe"),
     "shuffle_corpus_medium": shuffled("medium"),
     "shuffle_corpus_aggressive": shuffled("aggressive"),
-    "report_blocks": f"""{cte("reports")}, pieces as (select report_id, pair_id, {lines_of("bug_report")} as lines from reports),
-        rows as (select report_id, unnest(range(len(lines))) as pos, unnest(lines) as line from pieces),
-        fences as (select report_id, pos, row_number() over (partition by report_id order by pos) - 1 as n
-                   from rows where regexp_matches(line, '^{WS}*```')),
-        spans as (select o.report_id, o.n // 2 as block_no, o.pos as opened, c.pos as closed
-                  from fences o join fences c on c.report_id = o.report_id and c.n = o.n + 1 where o.n % 2 = 0),
-        texts as (select s.report_id, s.block_no, coalesce(string_agg(r.line, chr(10) order by r.pos), '') as block
-                  from spans s left join rows r on r.report_id = s.report_id and r.pos > s.opened and r.pos < s.closed
-                  group by s.report_id, s.block_no),
-        listed as (select report_id, count(*) as n, string_agg({collapsed("block")}, '|' order by block_no) as blocks
+    "report_blocks": f"""{cte("reports")}, {fenced_blocks("report_id", "reports", "bug_report")},
+        listed as (select report_id, count(*) as n, string_agg(block, '|' order by block_no) as blocks
                    from texts group by report_id)
         select report_id, pair_id, coalesce(n, 0)::bigint as n_blocks, coalesce(blocks, '') as blocks
-        from reports left join listed using (report_id)""",
+        from reports join code_pairs using (pair_id) left join listed using (report_id)""",
+    "similarity_best": f"{similarities()} select report_id, chunk_no, best_similarity from best",
+    "report_scores": REPORT_SCORES,
     "diff_opcodes": f"""{matched(collapsed_lines)} select pair_id, (row_number() over (partition by pair_id order by i1, j1, i2, j2) - 1)::bigint as pos,
         tag, i1::int as i1, i2::int as i2, j1::int as j1, j2::int as j2 from opcodes""",
     "diff_chunks": diff_chunks(collapsed_lines, True),

@@ -43,16 +43,23 @@ select doc_id as pair_id, text as base_code,
 from {documents}
 """
 
+# Digits of each document's digest choose its report's blocks, all cut from its own text: none, a piece of it,
+# its changed line with more, the whole of either side, an open fence. A third of the reports name one pair,
+# some name a pair that is not there.
 REPORTS = """
-select pair_id as report_id, pair_id,
-       case when pair_id % 4 = 0 then 'Bug:' || chr(10) || '```' || chr(10) || 'MUTATED ' || cast(pair_id as string) || chr(10) || '```'
-            when pair_id % 4 = 1 then 'Bug:' || chr(10) || '```sv' || chr(10) || 'assign unrelated = 1;' || chr(10) || '```'
-            when pair_id % 4 = 2 then 'No modifications detected'
-            when pair_id % 8 = 3 then 'All of it:' || chr(10) || '```' || chr(10) || buggy_code || chr(10) || '```'
-            else '```' || chr(10) || split_part(base_code, chr(10), 1) || chr(10) || '```' || chr(10)
-                 || '```' || chr(10) || 'MUTATED' || chr(10) || '```' || chr(10) || '```' || chr(10) || base_code
-                 || chr(10) || '```' || chr(10) || '```' || chr(10) || 'open' end as bug_report
-from {code_pairs}
+select id as report_id,
+       case when id % 17 = 3 then -1 - id when id % 3 = 0 then 0 else id end as pair_id,
+       case when h < '2' then 'No modifications detected'
+            else 'Found:' || chr(10) || '```sv' || chr(10)
+                 || substr(buggy_code, 1 + length(buggy_code) % 97, cast(40 + id % 400 as int)) || chr(10) || '```' || chr(10)
+                 || case when g < '8' then '```' || chr(10) || 'MUTATED ' || cast(id as string) || ' '
+                              || substr(base_code, 1, cast(id % 60 as int)) || chr(10) || '```' || chr(10) else '' end
+                 || case when g < '4' then 'all:' || chr(10) || ' ```' || chr(10) || buggy_code || chr(10) || '```' || chr(10)
+                         when g < '6' then '```' || chr(10) || split_part(base_code, chr(10), 2) || chr(10) || '```' || chr(10)
+                              || '```' || chr(10) || base_code || chr(10) || '```' || chr(10) else '' end
+                 || case when h >= 'c' then '```' || chr(10) || 'open' else 'end' end end as bug_report
+from (select pair_id as id, base_code, buggy_code, substr(md5(buggy_code), 1, 1) as h, substr(md5(buggy_code), 2, 1) as g
+      from {code_pairs}) as own
 """
 
 MAPPINGS = """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, unnest
 from ..functions.text import normalized_lines, split_lines_keeping_ends
+from .matching import make_run_finder
 
 # Fixed value: equal runs of at least this many lines separate two chunks.
 CONTEXT_LINES = 3
@@ -20,89 +21,9 @@ NORMALIZED = "normalized"
 EXACT = "exact"
 
 
-# With the popular-line heuristic a line of the new side that makes up more than a hundredth
-# of at least so many lines starts no run.
-POPULAR_FROM = 200
-POPULAR_SHARE = 100
-
-
-def _run_finder(heuristic: bool):
-    """Matching runs of two line lists, equal to the stdlib matcher's, by sorted stretches.
-
-    One way for every input: stretches of lines are numbered by doubling, and the longest common one of a
-    range is found by bisection over its length, so files full of repeated lines cost no more than others.
-    A function made here travels to the workers by value, so the package need not be installed there.
-    """
-
-    def find(a: list, b: list) -> list[tuple[int, int, int]]:
-        import numpy as np
-
-        ids: dict = {}
-        codes = np.array([ids.setdefault(x, len(ids)) for x in a + b], dtype=np.int64)
-        ca, cb = codes[: len(a)], codes[len(a) :]
-        seeds = np.concatenate([ca, [len(ids)], cb])
-        if heuristic and len(b) >= POPULAR_FROM:
-            often = np.bincount(cb, minlength=len(ids) + 1) > len(b) // POPULAR_SHARE + 1
-            popular = np.flatnonzero(often[seeds])
-            seeds[popular] = len(ids) + 1 + np.arange(len(popular))  # equal to nothing
-        width = max(int(seeds.max(initial=0)), len(seeds)) + 2
-        # levels[k][p] numbers the stretch of 2**k lines at p of the joined list, equal for equal ones.
-        levels = [seeds]
-
-        def stretches(length, start, stop):
-            """Numbers of all stretches of ``length`` lines within [start, stop) of the joined list."""
-            k = length.bit_length() - 1
-            while len(levels) <= k:
-                last, half = levels[-1], 1 << (len(levels) - 1)
-                both = last[:-half] * width + last[half:]
-                levels.append(np.unique(both, return_inverse=True)[1])
-            head = levels[k][start : stop - length + 1]
-            shift = length - (1 << k)
-            return head * width + levels[k][start + shift : start + shift + len(head)]
-
-        def longest(alo, ahi, blo, bhi):
-            """Longest common stretch of seed lines; the first in ``a``, then the first in ``b``."""
-            at = len(a) + 1
-            low, high = 0, min(ahi - alo, bhi - blo)
-            while low < high:
-                middle = (low + high + 1) // 2
-                left, right = stretches(middle, alo, ahi), stretches(middle, at + blo, at + bhi)
-                if np.isin(left, right).any():
-                    low = middle
-                else:
-                    high = middle - 1
-            if not low:
-                return alo, blo, 0
-            left, right = stretches(low, alo, ahi), stretches(low, at + blo, at + bhi)
-            first = int(np.argmax(np.isin(left, right)))
-            return alo + first, blo + int(np.argmax(right == left[first])), low
-
-        found, todo = [], [(0, len(a), 0, len(b))]
-        while todo:
-            alo, ahi, blo, bhi = todo.pop()
-            if alo == ahi or blo == bhi:
-                continue
-            i, j, n = longest(alo, ahi, blo, bhi)
-            while i > alo and j > blo and ca[i - 1] == cb[j - 1]:  # popular lines lengthen a run
-                i, j, n = i - 1, j - 1, n + 1
-            while i + n < ahi and j + n < bhi and ca[i + n] == cb[j + n]:
-                n += 1
-            if n:
-                found.append((i, j, n))
-                todo += [(alo, i, blo, j), (i + n, ahi, j + n, bhi)]
-        runs = []
-        for i, j, n in sorted(found):
-            if runs and runs[-1][0] + runs[-1][2] == i and runs[-1][1] + runs[-1][2] == j:
-                i, j, n = runs[-1][0], runs[-1][1], runs.pop()[2] + n
-            runs.append((i, j, n))
-        return runs
-
-    return find
-
-
 def matching_runs(old_lines: Column, new_lines: Column, *, autojunk: bool) -> Column:
     """Maximal equal runs of two ``array<string>`` as ``array<struct<i,j,n>>``, in order."""
-    find = _run_finder(autojunk)
+    find = make_run_finder(autojunk)
 
     @F.pandas_udf("array<int>")
     def kernel(old: pd.Series, new: pd.Series) -> pd.Series:

@@ -2,7 +2,8 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
-from faultloom.operators.diffs import EXACT, NORMALIZED, _run_finder, chunk_table, opcode_table
+from faultloom.operators.diffs import EXACT, NORMALIZED, chunk_table, opcode_table
+from faultloom.operators.matching import make_run_finder
 
 DECODER = """
 // 3:8 Decoder
@@ -146,7 +147,7 @@ def test_unknown_mode(spark):
 
 @pytest.mark.parametrize("heuristic", [False, True])
 def test_run_finder_equals_the_stdlib(heuristic):
-    find = _run_finder(heuristic)
+    find = make_run_finder(heuristic)
     rng = random.Random(31)
     for size in [40] * 300 + [450] * 60:
         letters = rng.choice(["ab", "abcdef", [str(i) for i in range(300)]])
@@ -167,5 +168,5 @@ def test_repeated_lines_stay_fast(heuristic):
     b = list(a)
     for _ in range(20):
         b[rng.randrange(len(b))] = "changed"
-    runs = _run_finder(heuristic)(a, b)
+    runs = make_run_finder(heuristic)(a, b)
     assert 20 <= len(runs) <= 60 and all(a[i : i + n] == b[j : j + n] for i, j, n in runs)

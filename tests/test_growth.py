@@ -8,7 +8,7 @@ import time
 import pytest
 from faultloom.functions.masking import KINDED, PLAIN, mask, unmask
 from faultloom.operators.chunking import order_map, reorder_chunks, shuffle_documents, split_chunks
-from faultloom.operators.diffs import chunk_table
+from faultloom.operators.diffs import chunk_table, opcode_table
 from faultloom.operators.renaming import accepted_map, judge_entries, rename_tokens
 from faultloom.functions.text import first_json_object, identifier_tokens, json_entries
 from faultloom.plans.rename_corpus import apply_rename_responses
@@ -56,6 +56,9 @@ CASES = {
     .withColumn("k", mask(F.col("other"), PLAIN)["masked"])
     .select(F.md5(unmask(F.col("k"), F.col("h"), PLAIN))),
     "diff": lambda d: chunk_table(d, key="doc_id", old="text", new="other").select("new_version"),
+    "diff_every_other_line": lambda d: opcode_table(
+        d.withColumn("other", F.regexp_replace("text", r"([02468] ; [^\n]*)", "$1 x")), key="doc_id", old="text", new="other"
+    ).agg(F.count("*")),
 }
 
 
