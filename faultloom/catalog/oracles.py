@@ -116,7 +116,8 @@ judged as (
          coalesce(own_reason,
            case when row_number() over (partition by doc_id, new_name, own_reason is null order by ord) > 1
                 then 'collision' end,
-           case when old_name in ({", ".join(quoted(w) for w in RESERVED)}) then 'not_candidate' end) as reason
+           case when old_name in ({", ".join(quoted(w) for w in RESERVED)}) or regexp_full_match(old_name, '\\p{{Nd}}+')
+                then 'not_candidate' end) as reason
   from own)"""
 
 def _pair_rows() -> str:
@@ -159,6 +160,9 @@ def outputs(judged_rows: str, failed: str) -> str:
 
 
 ALL_RENAMED = outputs(JUDGED, "select null")
+LONG_ENTRIES = f"""{cte("long_mappings")}, entries as (
+  select doc_id, old_name, min(ord) as ord, max_by(new_name, ord) as new_name from long_mappings group by doc_id, old_name)"""
+ALL_RENAMED_LONG = outputs(judged(LONG_ENTRIES, "entries"), "select null")
 FAILED_ANSWERS = """select doc_id from own where not is_text
   and coalesce(own_reason, '') not in ('mask_token', 'unsupported_key', 'absent')"""
 ALL_ANSWERED = outputs(JUDGED_ANSWERS, FAILED_ANSWERS)
@@ -635,6 +639,7 @@ ORACLES: dict[str, str] = {
         from judged group by 1""",
     "rename_tokens": f"{ALL_ANSWERED} select doc_id, renamed as text from outputs",
     "rename_join": f"{ALL_RENAMED} select doc_id, renamed as text from outputs",
+    "rename_join_long": f"{ALL_RENAMED_LONG} select doc_id, renamed as text from outputs",
     "rename_corpus": f"""{ALL_RENAMED}
         select doc_id, case when contains(gold, 'the') and mapped then 'succeeded' else 'no_usable_mapping' end as status,
                md5(case when contains(gold, 'the') then renamed else gold end) as renamed_md5

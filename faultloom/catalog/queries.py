@@ -242,6 +242,12 @@ def rename_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return renaming.rename_by_proposals(texts, view(spark, sf_dir, "mappings"))
 
 
+def rename_join_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of far more pairs than their documents name; one has a third of all pairs."""
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    return renaming.rename_by_proposals(texts, view(spark, sf_dir, "long_mappings"))
+
+
 def rename_corpus_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = f"Sure: {RENAME_JSON} done"
 
@@ -466,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "mapping_reasons": mapping_reasons,
     "rename_tokens": rename_tokens,
     "rename_join": rename_join,
+    "rename_join_long": rename_join_long,
     "rename_corpus": rename_corpus_stub,
     "rename_run_summary": rename_run_summary,
     "modules": modules,

@@ -135,24 +135,16 @@ def rename_tokens(text: Column, mapping: Column) -> Column:
     return kernel.asNondeterministic()(text, F.map_keys(mapping), F.map_values(mapping))
 
 
-# Pairs brought to a document's row at a time; longer mappings take several rows.
-PAIRS_PER_SLICE = 1000
+def document_words(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, word)``: the distinct identifier tokens of each document, one row each."""
+    words = unnest(documents.select(key, text), F.array_distinct(identifier_tokens(F.col(text))), key, item="word")
+    return words.select(key, "word").distinct()
 
 
-def _pairs_with_presence(pairs: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Pair slices ``key, pairs, present``: which old names occur in the document, decided on its row.
-
-    What is shuffled is one row per document with its distinct words, not one row per word, and the
-    pairs travel in bounded slices.
-    """
-    slices = pairs.groupBy(key, F.floor(F.col("ord") / PAIRS_PER_SLICE).alias("_slice")).agg(
-        F.collect_list(F.struct("ord", "old_name", "new_name")).alias("pairs")
-    )
-    words = documents.select(key, F.array_distinct(identifier_tokens(F.col(text))).alias("words"))
-    names = F.transform("pairs", lambda p: p["old_name"])
-    return slices.join(words, key, "left").select(
-        key, "pairs", F.coalesce(F.array_intersect(names, "words"), F.array().cast("array<string>")).alias("present")
-    )
+def _beside(pairs: DataFrame, words: DataFrame, key: str, how: str) -> DataFrame:
+    """Pairs joined with the words of their document by key and name, so that rows of one document spread."""
+    words = words.select(F.col(key).alias("_document"), F.col("word").alias("_word"), F.lit(True).alias("_present"))
+    return pairs.join(words, (pairs[key] == words["_document"]) & (pairs["old_name"] == words["_word"]), how)
 
 
 def judge_mapping_table(
@@ -160,22 +152,15 @@ def judge_mapping_table(
 ) -> DataFrame:
     """Judge a long mapping table ``(key, ord, old_name, new_name)`` against its documents.
 
-    Same rules as :func:`judge_entries`, for mappings that do not sit on their document's row. ``ord``
-    numbers a document's pairs from 0.
+    Same rules as :func:`judge_entries`, for mappings that do not sit on their document's row and may have
+    any number of pairs: a name meets its document's word as one row does another. ``ord`` numbers a
+    document's pairs from 0.
     """
-    placed = _pairs_with_presence(mappings, documents, key, text)
-
-    def judge(p: Column, present: Column) -> Column:
-        old, new = p["old_name"], p["new_name"]
-        return F.struct(
-            p["ord"].alias("ord"), old.alias("old_name"), new.alias("new_name"), _first_reason(old, new, present).alias("reason")
-        )
-
-    # A slice may list an old name twice, so its pairs are looked up by place in the sorted list.
-    rows = unnest(placed, F.col("pairs"), key, "present", item="p").withColumn("hit", F.array_contains("present", F.col("p.old_name")))
-    rows = rows.select(key, judge(F.col("p"), F.col("hit")).alias("p")).select(key, "p.*")
-    # One group holds a document's claims on one name: no more than one response contains. The rows
-    # are already partitioned by document, so the window adds no shuffle.
+    rows = _beside(mappings, document_words(documents, key=key, text=text), key, "left")
+    old, new = F.col("old_name"), F.col("new_name")
+    reason = _first_reason(old, new, F.coalesce("_present", F.lit(False)))
+    rows = rows.select(key, "ord", "old_name", "new_name", reason.alias("reason"))
+    # One group holds a document's claims on one name, in order; its first row alone is looked at.
     claims = Window.partitionBy(key, "new_name", F.col("reason").isNull()).orderBy("ord")
     return rows.select(
         key,
@@ -190,16 +175,9 @@ def judge_mapping_table(
     )
 
 
-def rename_by_table(
-    documents: DataFrame, accepted: DataFrame, *, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Rename documents by a long table of accepted pairs ``(key, ord, old_name, new_name)``.
-
-    Of an old name listed twice for a document the last new name counts. The pairs are put on their
-    document's row, which is joined once.
-    """
-    last = accepted.groupBy(key, "old_name").agg(F.max_by("new_name", "ord").alias("new_name"))
-    mapping = last.groupBy(key).agg(
+def _rename_by_present(documents: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rename by pairs whose names all occur in their document, each once."""
+    mapping = pairs.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("old_name", "new_name"))).alias("_mapping")
     )
     return (
@@ -209,25 +187,32 @@ def rename_by_table(
     )
 
 
+def rename_by_table(
+    documents: DataFrame, accepted: DataFrame, *, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Rename documents by a long table of accepted pairs ``(key, ord, old_name, new_name)``.
+
+    Of an old name listed twice for a document the last new name counts. A mapping may be longer than any
+    row: names are looked up as rows, and only the pairs whose names occur in a document's text come
+    to its row, which are never more than the text has words. Texts are shuffled once.
+    """
+    last = accepted.groupBy(key, "old_name").agg(F.max_by("new_name", "ord").alias("new_name"))
+    present = _beside(last, document_words(documents, key=key, text=text), key, "left_semi")
+    return _rename_by_present(documents, present, key, text)
+
+
 def rename_by_proposals(
     documents: DataFrame, mappings: DataFrame, *, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Judge a long table of proposed pairs and rename in one go: documents are joined once.
+    """Judge a long table of proposed pairs and rename by those accepted, however many there are.
 
     As in a JSON object, a repeated old name keeps its first place and its last new name.
     """
     entries = mappings.groupBy(key, "old_name").agg(
-        F.min("ord").cast("int").alias("ord"), F.max_by("new_name", "ord").alias("value")
-    )
-    entry = F.struct("ord", F.col("old_name").alias("key"), "value", F.lit(True).alias("is_text"))
-    grouped = entries.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    tokens = F.when(F.size("_entries") > 0, F.array_distinct(identifier_tokens(F.col(text))))
-    return (
-        documents.join(grouped, key, "left")
-        .withColumn("_mapping", accepted_map(judge_entries(F.col("_entries"), tokens)))
-        .withColumn(text, rename_tokens(F.col(text), F.col("_mapping")))
-        .drop("_entries", "_mapping")
+        F.min("ord").alias("ord"), F.max_by("new_name", "ord").alias("new_name")
     )
+    judged = judge_mapping_table(entries, documents, key=key, text=text)
+    return _rename_by_present(documents, judged.where("reason is null"), key, text)
 
 
 def reason_counts(judged: DataFrame) -> DataFrame:

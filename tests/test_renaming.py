@@ -185,14 +185,37 @@ def test_rename_by_table(tables):
     assert got == {1: "t and x o", 2: "t"}
 
 
-def test_long_mapping_is_sliced(spark):
-    """More pairs than one slice holds, most of them not in the text."""
-    documents = spark.createDataFrame([(1, "w5 w1500 w2999 other")], "doc_id int, text string")
-    mappings = spark.range(3000).selectExpr("1 as doc_id", "cast(id as int) as ord", "'w' || id as old_name", "'n' || id as new_name")
+def test_mappings_of_more_pairs_than_a_row_would_hold(spark):
+    """A hot document with 300,000 pairs of long names, few of them in the text; others beside it."""
+    documents = spark.createDataFrame(
+        [(1, "w5 w1500 w299999 other"), (2, "w5 w6"), (2, "w6 again"), (None, "w5"), (3, None)], "doc_id int, text string"
+    )
+    pad = "'" + "_" * 200 + "'"
+    mappings = spark.range(300_000).selectExpr(
+        "1 as doc_id", "id as ord", "'w' || id as old_name", f"if(id = 1500, 'n' || {pad}, {pad} || id) as new_name"
+    ).unionByName(spark.createDataFrame([(2, 0, "w5", "a"), (2, 1, "w6", "b")], "doc_id int, ord long, old_name string, new_name string"))
     judged = judge_mapping_table(mappings, documents)
-    assert judged.where("reason is null").count() == 3 and judged.count() == 3000
-    [row] = rename_by_table(documents, mappings).collect()
-    assert row.text == "n5 n1500 n2999 other"
+    assert judged.where("reason is null").count() == 5 and judged.count() == 300_002
+    renamed = sorted((r.text for r in rename_by_table(documents, mappings).collect()), key=str)
+    pad = "_" * 200
+    assert renamed == sorted([f"{pad}5 n{pad} {pad}299999 other", "a b", "b again", "w5", None], key=str)
+    assert sorted((r.text for r in rename_by_proposals(documents, mappings).collect()), key=str) == renamed
+
+
+def test_long_tables_rename_like_a_mapping_on_the_row(spark):
+    rng = random.Random(8)
+    names = [f"v{i}" for i in range(30)] + ["wire", "7", "__OBFUSCATE_MASK_1", "a b", "x$"]
+    texts = [" ".join(rng.choice(names) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    pairs = [[(rng.choice(names), rng.choice(names + ["9z", ""])) for _ in range(rng.randint(1, 25))] for _ in texts]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = [(d, n, *p) for d, own in enumerate(pairs) for n, p in enumerate(own)]
+    mappings = spark.createDataFrame(rows, "doc_id int, ord int, old_name string, new_name string")
+    answers = spark.createDataFrame(
+        [(d, t, "{" + ",".join(f'"{a}":"{b}"' for a, b in own) + "}") for d, (t, own) in enumerate(zip(texts, pairs))],
+        "doc_id int, text string, llm_response string",
+    )
+    want = {r.doc_id: r.renamed for r in apply_rename_responses(answers, text="text").collect()}
+    assert {r.doc_id: r.text for r in rename_by_proposals(documents, mappings).collect()} == want
 
 
 def test_repeated_old_names(spark):
