@@ -26,7 +26,7 @@ from .shared import Scratch
 GROUPS = 12
 # Depths at which the trie may be cut into shards, and the words of a shard that is not cut further.
 CUTS = (3, 6, 9, 12)
-SHARD_WORDS = 20_000
+SHARD_WORDS = 4_000
 
 DELETE_MODULUS = 199
 MIN_CHARS = 6
