@@ -17,14 +17,15 @@ import zlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 # Code points fall into groups by their number modulo this; also the depth of the trie.
 GROUPS = 12
-# Depths at which the trie may be cut into shards, and the words of a shard that is not cut further.
+# Depths at which the trie may be cut into shards; the words of a shard that is not cut further, and the
+# queries one task answers from it.
 CUTS = (3, 6, 9, 12)
 SHARD_WORDS = 4_000
 
@@ -222,8 +223,8 @@ def _search(rows: DataFrame, depth: int, ends: int) -> DataFrame:
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                if (row["shard"], row["piece"]) != at:
-                    at, trie = (row["shard"], row["piece"]), Trie(depth, ends)
+                if (row["shard"], row["piece"], row["part"]) != at:
+                    at, trie = (row["shard"], row["piece"], row["part"]), Trie(depth, ends)
                 if row["leaf"]:
                     trie.add(row["word"], row["n"])
                 else:
@@ -235,17 +236,27 @@ def _search(rows: DataFrame, depth: int, ends: int) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, types)], ["word", "n", "other", "other_n"]
             )
 
-    dealt = rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece", F.desc("leaf"))
+    place = ("shard", "piece", "part")
+    dealt = rows.repartition(*place).sortWithinPartitions(*place, F.desc("leaf"))
     return dealt.mapInArrow(run, "word string, n long, other string, other_n long")
 
 
+def _places(one: Column, rows: Column, most: int) -> Column:
+    """Numbers of the pieces a row goes to, if a shard's ``rows`` of its kind lie in pieces of about ``most``:
+    its own by its word's hash where ``one``, else all."""
+    pieces = F.greatest(F.ceil(rows / most), F.lit(1)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("word"), pieces).cast("int"))
+    return F.when(one, own).otherwise(F.sequence(F.lit(0), pieces - 1))
+
+
 def near_pairs(
     scratch: Scratch, words: DataFrame, min_chars: int = MIN_CHARS, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
     """``(word, n, other, other_n)``: each unordered pair of words one edit apart, once.
 
     ``words`` holds each word once. Shards with over ``shard_words`` words are cut at the next depth; at the
-    last one, where all words of a shard have one vector, they are cut by hash and asked piece by piece.
+    last one, where all words of a shard have one vector, they are cut by hash and asked piece by piece. A
+    shard with more queries than that is copied, and each copy answers a part of them.
     """
     spark = words.sparkSession
     ends = max(min_chars // 2, 1)
@@ -256,19 +267,18 @@ def near_pairs(
     start = 0
     for depth in CUTS:
         rows = scratch.table(_spread(rows, start, depth))
-        sizes = rows.where("leaf").groupBy("shard").agg(F.count("*").alias("held"))
+        sizes = rows.groupBy("shard").agg(F.count_if("leaf").alias("held"), F.count_if(~F.col("leaf")).alias("asked"))
+        sizes = sizes.where("held > 0")
         last = depth == CUTS[-1]
         # Queries to shards without words end here.
         sized = rows.join(sizes, "shard")
         small = sized if last else sized.where(F.col("held") <= shard_words)
-        pieces = F.ceil(F.col("held") / shard_words).cast("int")
-        own = F.array(F.pmod(F.xxhash64("word"), pieces).cast("int"))
-        to = F.when(F.col("leaf"), own).otherwise(F.sequence(F.lit(0), pieces - 1))
-        pieced = small.select("shard", F.explode(to).alias("piece"), "leaf", "word", "n", "above", "below")
+        pieced = small.withColumn("piece", F.explode(_places(F.col("leaf"), F.col("held"), shard_words)))
+        pieced = pieced.withColumn("part", F.explode(_places(~F.col("leaf"), F.col("asked"), shard_words)))
         found = found.unionByName(scratch.table(_search(pieced, depth, ends)))
         if last or sizes.where(F.col("held") > shard_words).isEmpty():
             return found
-        rows = sized.where(F.col("held") > shard_words).drop("held")
+        rows = sized.where(F.col("held") > shard_words).drop("held", "asked")
         start = depth
     return found
 
