@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -244,7 +245,7 @@ def _search(rows: DataFrame, depth: int, ends: int) -> DataFrame:
 def _places(one: Column, rows: Column, most: int) -> Column:
     """Numbers of the pieces a row goes to, if a shard's ``rows`` of its kind lie in pieces of about ``most``:
     its own by its word's hash where ``one``, else all."""
-    pieces = F.greatest(F.ceil(rows / most), F.lit(1)).cast("int")
+    pieces = F.greatest(F.ceil(F.coalesce(rows, F.lit(0)) / most), F.lit(1)).cast("int")
     own = F.array(F.pmod(F.xxhash64("word"), pieces).cast("int"))
     return F.when(one, own).otherwise(F.sequence(F.lit(0), pieces - 1))
 
@@ -258,29 +259,27 @@ def near_pairs(
     last one, where all words of a shard have one vector, they are cut by hash and asked piece by piece. A
     shard with more queries than that is copied, and each copy answers a part of them.
     """
-    spark = words.sparkSession
     ends = max(min_chars // 2, 1)
     rows = words.select(
         F.lit("").alias("shard"), F.lit(True).alias("leaf"), "word", "n", F.lit(0).alias("above"), F.lit(0).alias("below")
     )
-    found = spark.createDataFrame([], "word string, n long, other string, other_n long")
-    start = 0
+    found, start = [], 0
     for depth in CUTS:
         rows = scratch.table(_spread(rows, start, depth))
         sizes = rows.groupBy("shard").agg(F.count_if("leaf").alias("held"), F.count_if(~F.col("leaf")).alias("asked"))
-        sizes = sizes.where("held > 0")
+        # Written, so that the join below knows the size of this table of the few large shards.
+        large = scratch.table(sizes.where((F.col("held") > shard_words) | (F.col("asked") > shard_words)))
+        sized = rows.join(large, "shard", "left")
         last = depth == CUTS[-1]
-        # Queries to shards without words end here.
-        sized = rows.join(sizes, "shard")
-        small = sized if last else sized.where(F.col("held") <= shard_words)
-        pieced = small.withColumn("piece", F.explode(_places(F.col("leaf"), F.col("held"), shard_words)))
+        settled = sized if last else sized.where(F.coalesce("held", F.lit(0)) <= shard_words)
+        pieced = settled.withColumn("piece", F.explode(_places(F.col("leaf"), F.col("held"), shard_words)))
         pieced = pieced.withColumn("part", F.explode(_places(~F.col("leaf"), F.col("asked"), shard_words)))
-        found = found.unionByName(scratch.table(_search(pieced, depth, ends)))
-        if last or sizes.where(F.col("held") > shard_words).isEmpty():
-            return found
+        found.append(scratch.table(_search(pieced, depth, ends)))
+        if last or large.where(F.col("held") > shard_words).isEmpty():
+            break
         rows = sized.where(F.col("held") > shard_words).drop("held", "asked")
         start = depth
-    return found
+    return reduce(DataFrame.unionByName, found)
 
 
 def _roots(scratch: Scratch, forms: DataFrame) -> DataFrame:
