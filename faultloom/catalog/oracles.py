@@ -568,6 +568,22 @@ select report_id, case when paired then sides end::bigint as n_diffs, blocks::bi
   case when paired and sides > 0 and blocks > 0 then least(credit / sides, 1.0::double) end as score
 from asked left join credits using (report_id)"""
 
+SOURCE_FILES = """with files as (
+  select 'ch' || (doc_id % 50) || case when doc_id % 29 = 0 then '/.deep/' else '/' end
+         || case when doc_id % 31 = 0 then '_' when doc_id % 37 = 0 then '.' else '' end
+         || 'f' || doc_id || case when doc_id % 2 = 0 then '.sv' else '.v' end as path,
+         case when doc_id % 43 = 7 then ''::blob when doc_id % 41 = 5 then encode(text) || '\\xFF\\x28'::blob else encode(text) end as content,
+         case when doc_id % 43 = 7 then '' else text end as text, doc_id % 43 = 7 or doc_id % 41 <> 5 as valid_utf8
+  from documents)"""
+ANALYSIS_OUTPUTS = f"""with counted as ({matrix()}), challenges as ({BY_CHALLENGE}), labelled_rows as ({LABELLED} select * from labelled)
+select 'rows' as output, uuid as name, expected_detection_result || '/' || actual_detection_result as value, 1::bigint as count
+from labelled_rows
+union all
+select 'matrix', expected_detection_result || '/' || actual_detection_result, round(percent * 100)::bigint::varchar, count from counted
+union all
+select 'challenges', challenge_id, round(correct_overall_pct * 100)::bigint || '/' || round(correctly_detected_bug_pct * 100)::bigint,
+       total_llm_prompts from challenges"""
+
 ORACLES: dict[str, str] = {
     "labels_rowlevel": f"""{LABELLED} select uuid, input_file_rel_path, challenge_id,
         expected_detection_result, actual_detection_result from labelled""",
@@ -663,6 +679,16 @@ ORACLES: dict[str, str] = {
         from reports join code_pairs using (pair_id) left join listed using (report_id)""",
     "similarity_best": f"{similarities()} select report_id, chunk_no, best_similarity from best",
     "report_scores": REPORT_SCORES,
+    "csv_round_trip": """select doc_id, nullif(text, '') as text, nullif(lang, '') as lang, nullif(source, '') as source, n_chars
+        from documents""",
+    "response_log": f"""{cte("reviews")} select distinct uuid, input_file_rel_path, input_file_contents,
+        md5(input_file_contents) as llm_prompt, llm_response, llm_model_name from reviews""",
+    "corpus_round_trip": f"""{SOURCE_FILES} select path, valid_utf8,
+        case when valid_utf8 then md5(regexp_replace(text, '\\r\\n?', chr(10), 'g')) end as content_md5 from files""",
+    "export_manifest": f"{SOURCE_FILES} select path, octet_length(content)::bigint as n_bytes, sha256(content) as sha256 from files",
+    "analysis_outputs": ANALYSIS_OUTPUTS,
+    "three_formats": f"""{cte("branches")} select b.*, format from branches b cross join (values ('pq'), ('ndjson'), ('csv')) as f(format)""",
+    "shuffle_outputs": f"select doc_id, md5(text) as text_md5, md5(order_json) as order_md5 from ({shuffled('safe')})",
     "diff_opcodes": f"""{matched(collapsed_lines)} select pair_id, (row_number() over (partition by pair_id order by i1, j1, i2, j2) - 1)::bigint as pos,
         tag, i1::int as i1, i2::int as i2, j1::int as j1, j2::int as j2 from opcodes""",
     "diff_chunks": diff_chunks(collapsed_lines, True),

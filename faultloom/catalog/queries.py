@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import unnest
@@ -23,13 +23,18 @@ from ..functions.text import (
 )
 from ..functions.words import RESERVED, is_candidate
 from ..operators import chunking, diffs, equivalence, evaluation, renaming, scoring, snapshots
-from ..plans.analyze import analyze
+from ..plans.analyze import OUTPUTS, analyze, analyze_file
 from ..plans.collect import collect_responses
 from ..plans.pair_corpus import build_pair_corpus
 from ..plans.rename_corpus import apply_rename_responses, rename_corpus, rename_summary
 from ..plans.score import pairs_from_emitted
+from ..plans.shuffle_corpus import shuffle_corpus, write_shuffled
+from ..schemas import RESPONSES
 from ..sizing import widened
-from ..sources.tables import read_table
+from ..sources.corpus import export_tree, exported_manifest, scan_corpus
+from ..sources.log import append_log, read_log
+from ..sources.scratch import fresh_dir
+from ..sources.tables import current_version, read_table, write_csv, write_three_ways
 from . import views
 from .views import RENAME_JSON, VIEWS
 
@@ -303,6 +308,118 @@ def _shuffled(level: str) -> Query:
     return query
 
 
+# --- sources and sinks: each writes to a fresh folder that the cluster shares and reads it back -------------
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents through CSV files whose fields span lines."""
+    source = table(spark, sf_dir, "documents")
+    path = f"{fresh_dir(spark, 'csv')}/documents.csv"
+    write_csv(source, path)
+    return read_table(spark, path, source.schema)
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "reviews").select(
+        "uuid",
+        "input_file_rel_path",
+        "input_file_contents",
+        F.md5("input_file_contents").alias("llm_prompt"),
+        "llm_response",
+        "llm_model_name",
+    )
+
+
+def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that two overlapping runs add to, the second one with every record twice."""
+    records, path = _records(spark, sf_dir), f"{fresh_dir(spark, 'log')}/responses.ndjson"
+    append_log(records.where("llm_model_name <> 'model-1'"), path)
+    append_log(records.unionByName(records), path)
+    return read_log(spark, path, RESPONSES)
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content`` of a tree: some folders and files hidden, some files empty or not UTF-8."""
+    own, body = F.col("doc_id"), F.col("text").cast("binary")
+    name = F.concat(
+        F.lit("ch"),
+        (own % 50).cast("string"),
+        F.when(own % 29 == 0, "/.deep/").otherwise("/"),
+        F.when(own % 31 == 0, "_").when(own % 37 == 0, ".").otherwise(""),
+        F.lit("f"),
+        own.cast("string"),
+        F.when(own % 2 == 0, ".sv").otherwise(".v"),
+    )
+    content = F.when(own % 43 == 7, F.lit(b"")).when(own % 41 == 5, F.concat(body, F.lit(b"\xff("))).otherwise(body)
+    return documents(spark, sf_dir).select(name.alias("path"), content.alias("content"))
+
+
+def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of source files, some hidden, empty or not UTF-8, and the scan of that tree."""
+    root = fresh_dir(spark, "tree")
+    export_tree(_source_files(spark, sf_dir), root, path="path", content="content")
+    return scan_corpus(spark, root).select(
+        "path", "valid_utf8", F.when(F.col("valid_utf8"), F.md5("content")).alias("content_md5")
+    )
+
+
+def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export of that tree says it has written."""
+    root = fresh_dir(spark, "tree")
+    export_tree(_source_files(spark, sf_dir), root, path="path", content="content")
+    return exported_manifest(spark, root)
+
+
+def analysis_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tables of an analysis job, as written, one after the other."""
+    path = f"{fresh_dir(spark, 'analysis')}/responses.pq"
+    _records(spark, sf_dir).write.parquet(path)
+    out = analyze_file(spark, path)
+    rows, matrix, challenges = (spark.read.parquet(f"{out}/{name}") for name in OUTPUTS)
+    label = F.concat_ws("/", "expected_detection_result", "actual_detection_result")
+    def cents(share: str) -> Column:
+        return F.round(F.col(share) * 100).cast("bigint").cast("string")
+
+    shares = [cents(c) for c in ("correct_overall_pct", "correctly_detected_bug_pct")]
+    return (
+        rows.select(F.lit("rows").alias("output"), F.col("uuid").alias("name"), label.alias("value"), F.lit(1).cast("long").alias("count"))
+        .unionByName(matrix.select(F.lit("matrix").alias("output"), label.alias("name"), cents("percent").alias("value"), "count"))
+        .unionByName(
+            challenges.select(
+                F.lit("challenges").alias("output"),
+                F.col("challenge_id").alias("name"),
+                F.concat_ws("/", *shares).alias("value"),
+                F.col("total_llm_prompts").alias("count"),
+            )
+        )
+    )
+
+
+def three_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table in three formats, written twice; the current version of each is read back."""
+    source = view(spark, sf_dir, "branches")
+    root = fresh_dir(spark, "formats")
+    write_three_ways(source.limit(0), root)
+    write_three_ways(source, root)
+    where = current_version(spark, root)
+    parts = [
+        read_table(spark, f"{where}/all_metadata.{kind}", source.schema).withColumn("format", F.lit(kind))
+        for kind in ("pq", "ndjson", "csv")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def shuffle_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reordered texts and their side file of maps as a job leaves them."""
+    shuffled = shuffle_corpus(view(spark, sf_dir, "rtl_docs", "doc_id"), text="text", seed=SEED)
+    root = fresh_dir(spark, "shuffled")
+    write_shuffled(shuffled, root, key="doc_id")
+    where = current_version(spark, root)
+    maps = spark.read.schema("doc_id long, order_json string").json(f"{where}/order_maps.ndjson")
+    texts = spark.read.parquet(f"{where}/texts.pq").select("doc_id", F.md5("text").alias("text_md5"))
+    return texts.join(maps, "doc_id").select("doc_id", "text_md5", F.md5("order_json").alias("order_md5"))
+
+
 # --- diffs and scores -------------------------------------------------------------------------
 
 
@@ -483,6 +600,13 @@ QUERIES: dict[str, Query] = {
     "shuffle_corpus": _shuffled("safe"),
     "shuffle_corpus_medium": _shuffled("medium"),
     "shuffle_corpus_aggressive": _shuffled("aggressive"),
+    "csv_round_trip": csv_round_trip,
+    "response_log": response_log,
+    "corpus_round_trip": corpus_round_trip,
+    "export_manifest": export_manifest,
+    "analysis_outputs": analysis_outputs,
+    "three_formats": three_formats,
+    "shuffle_outputs": shuffle_outputs,
     "diff_chunks": diff_chunks,
     "diff_chunks_exact": diff_chunks_exact,
     "diff_opcodes": diff_opcodes,

@@ -14,6 +14,7 @@ from ..sources.tables import analysis_dir, read_table
 ROWS = "10_llm_bug_detection_data_with_analysis.pq"
 MATRIX = "confusion_matrix.pq"
 BY_CHALLENGE = "results_by_challenge.pq"
+OUTPUTS = (ROWS, MATRIX, BY_CHALLENGE)
 
 
 class Analysis(NamedTuple):
@@ -32,9 +33,15 @@ def analyze(responses: DataFrame, *, strict: bool = False) -> Analysis:
 
 
 def analyze_file(spark: SparkSession, path: str, *, strict: bool = False) -> str:
-    """Analyze a table on storage and write the results to ``<stem>_analysis``; returns that path."""
-    result = analyze(read_table(spark, path, RESPONSES), strict=strict)
+    """Analyze a table on storage and write the results to ``<stem>_analysis``; returns that path.
+
+    The input is read and labelled once, for the table of rows; both aggregates are made from that table, of
+    which they read two or three narrow columns.
+    """
     out = analysis_dir(path)
-    for frame, name in zip(result, (ROWS, MATRIX, BY_CHALLENGE)):
-        frame.write.mode("overwrite").parquet(f"{out}/{name}")
+    labelled = with_labels(read_table(spark, path, RESPONSES), strict=strict)
+    labelled.write.mode("overwrite").parquet(f"{out}/{ROWS}")
+    rows = spark.read.parquet(f"{out}/{ROWS}")
+    confusion_matrix(rows).write.mode("overwrite").parquet(f"{out}/{MATRIX}")
+    results_by_challenge(rows).write.mode("overwrite").parquet(f"{out}/{BY_CHALLENGE}")
     return out

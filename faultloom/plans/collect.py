@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import detection_prompt, record_key
 from ..operators.responses import attach_responses, unanswered
 from ..schemas import RESPONSES
-from ..sources.tables import append_ndjson
+from ..sources.log import append_log, read_log
 
 
 def build_prompts(corpus: DataFrame, *, model: str, version: str = "v2") -> DataFrame:
@@ -55,16 +55,19 @@ def collect_to_log(
     *,
     model: str,
     rounds: int = 1,
+    log: DataFrame | None = None,
     **options,
 ) -> None:
-    """Append the successful responses to an NDJSON log.
+    """Add the successful responses to an NDJSON log that has each record once.
 
-    Failed calls stay out of the log, so running again with ``log=`` retries exactly those. A job's
-    rows become visible when it ends; ``rounds`` splits the corpus by path into that many jobs, so
-    that an interrupted run keeps the answers of the rounds it finished.
+    Only what the log lacks is asked, or what another ``log`` lacks; failed calls stay out, so running again
+    retries exactly those, and a repeated run adds nothing. A job's rows become visible when it ends;
+    ``rounds`` splits the corpus by path into that many jobs, so that an interrupted run keeps the answers of
+    the rounds it finished.
     """
     turn = F.pmod(F.xxhash64("path"), F.lit(rounds))
     for number in range(rounds):
         part = corpus if rounds == 1 else corpus.where(turn == number)
-        answered = collect_responses(part, responder, model=model, **options)
-        append_ndjson(answered.where(F.col("error").isNull()).drop("error"), path)
+        known = read_log(corpus.sparkSession, path, RESPONSES) if log is None else log
+        answered = collect_responses(part, responder, model=model, log=known, **options)
+        append_log(answered.where(F.col("error").isNull()).drop("error"), path)

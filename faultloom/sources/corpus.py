@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import with_suffix_prefix
+from .scratch import arrow_uri
+from .tables import current_version, new_version, publish
 
 # Fixed value: the files that make up a corpus.
 SOURCE_SUFFIXES = (".v", ".sv")
@@ -46,9 +48,10 @@ def _files_left_out(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -
     """``path, value`` of the files that Spark's listing skips.
 
     The driver only opens directories until there are enough of them to go round; the tasks list the
-    rest and read what was skipped.
+    rest. What they found is dealt out anew, file by file, before it is read, so a directory that holds
+    most of the files is listed by one task but read by all.
     """
-    uri = re.sub(r"\As3[an]://", "s3://", _qualified(spark, root))
+    uri = arrow_uri(_qualified(spark, root))
     uri = _path_part(uri) if uri.startswith("file:") else uri
     system, base = fs.FileSystem.from_uri(uri)
 
@@ -64,24 +67,28 @@ def _files_left_out(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -
         names += [info.path for info in inside if skipped(info)]
         folders = [info.path for info in inside if not info.is_file]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
 
         files, _ = arrow_fs.FileSystem.from_uri(uri)
-
         for batch in batches:
             for place, is_folder in zip(batch["place"], batch["is_folder"]):
                 where = arrow_fs.FileSelector(place, recursive=True) if is_folder else [place]
-                for info in filter(skipped, files.get_file_info(where)):
-                    with files.open_input_stream(info.path) as stream:
-                        data = stream.read()
-                    yield pd.DataFrame({"path": [info.path[len(base) :].strip("/")], "value": [data]})
+                yield pd.DataFrame({"file": [i.path for i in files.get_file_info(where) if skipped(i)]}, dtype=object)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        files, _ = arrow_fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for file in batch["file"]:
+                with files.open_input_stream(file) as stream:
+                    yield pd.DataFrame({"path": [file[len(base) :].strip("/")], "value": [stream.read()]})
 
     places = [(f, True) for f in folders] + [(n, False) for n in names]
     listed = spark.createDataFrame(places, "place string, is_folder boolean").repartition(wanted, "place")
-    return listed.mapInPandas(read, "path string, value binary").select(
-        "path", F.col("value").cast("string").alias("value")
-    )
+    found = listed.mapInPandas(find, "file string").repartition("file")
+    return found.mapInPandas(read, "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
 
 
 # Scheme and authority of a file URI.
@@ -120,30 +127,73 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def export_files(df: DataFrame, root: str, *, path: str = "out_path", content: str = "content") -> DataFrame:
-    """Write one file per row below ``root`` from the tasks: returns ``path, n_bytes, error`` lazily.
+    """Write one file per row below ``root`` from the tasks: returns ``path, n_bytes, sha256, error`` lazily.
 
-    Works on any file system Arrow can open. A retried task writes the same bytes to the same name,
-    so losing an executor does no harm. Run an action on the result to do the writing.
+    Works on any file system Arrow can open, for text and binary contents. A task writes a file under a name
+    of its own attempt and gives it the final name when it is complete, so a lost attempt leaves no half file
+    there, and a retried one puts the same bytes in its place. Run an action on the result to do the writing;
+    :func:`export_tree` also keeps a manifest.
     """
+    uri = arrow_uri(root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import uuid
+
         from pyarrow import fs as arrow_fs
 
-        system, base = arrow_fs.FileSystem.from_uri(root)
+        system, base = arrow_fs.FileSystem.from_uri(uri)
+
+        def put(name, content):
+            data = content if isinstance(content, (bytes, bytearray)) else content.encode("utf-8")
+            folder, _, last = f"{base}/{name}".rpartition("/")
+            system.create_dir(folder, recursive=True)
+            draft = f"{folder}/.{uuid.uuid4().hex}.part"
+            try:
+                with system.open_output_stream(draft) as out:
+                    out.write(data)
+                system.move(draft, f"{folder}/{last}")
+            except BaseException:
+                if system.get_file_info(draft).is_file:
+                    system.delete_file(draft)
+                raise
+            return len(data), hashlib.sha256(data).hexdigest()
+
         for batch in batches:
             done = []
-            for name, text in zip(batch["path"], batch["content"]):
+            for name, content in zip(batch["path"], batch["content"]):
                 try:
-                    target = f"{base}/{name}"
-                    data = text.encode("utf-8")
-                    system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    with system.open_output_stream(target) as out:
-                        out.write(data)
-                    done.append((name, len(data), None))
+                    done.append((name, *put(name, content), None))
                 except Exception as failure:
-                    done.append((name, None, f"{type(failure).__name__}: {failure}"))
-            out = pd.DataFrame(done, columns=["path", "n_bytes", "error"])
+                    done.append((name, None, None, f"{type(failure).__name__}: {failure}"))
+            out = pd.DataFrame(done, columns=["path", "n_bytes", "sha256", "error"])
             yield out.astype({"n_bytes": "Int64"})
 
     files = df.select(F.col(path).alias("path"), F.col(content).alias("content"))
-    return files.mapInPandas(write, "path string, n_bytes bigint, error string")
+    return files.mapInPandas(write, "path string, n_bytes bigint, sha256 string, error string")
+
+
+#: Folder with the lists of exported files, hidden from readers of the tree by its first letter.
+MANIFESTS = "_manifests"
+
+
+def export_tree(df: DataFrame, root: str, *, path: str = "out_path", content: str = "content") -> DataFrame:
+    """Write one file per row below ``root`` and a manifest of them; returns the manifest.
+
+    The manifest is written by the same job as the files and named as current by the driver when that job
+    has ended and no file has failed. Files that failed raise an error that names the first of them.
+    """
+    spark = df.sparkSession
+    version = new_version(f"{root.rstrip('/')}/{MANIFESTS}")
+    export_files(df, root, path=path, content=content).write.parquet(version)
+    manifest = spark.read.parquet(version)
+    failed = manifest.where("error is not null").agg(F.count("*").alias("n"), F.min(F.struct("path", "error")).alias("first")).first()
+    if failed.n:
+        raise OSError(f"{failed.n} files could not be written, the first is {failed.first.path}: {failed.first.error}")
+    publish(spark, version)
+    return manifest
+
+
+def exported_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """``path, n_bytes, sha256`` of the files of the last complete export to ``root``."""
+    return spark.read.parquet(current_version(spark, f"{root.rstrip('/')}/{MANIFESTS}")).drop("error")

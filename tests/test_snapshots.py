@@ -9,6 +9,7 @@ from faultloom.operators.snapshots import (
     select_branches,
     union_metadata,
 )
+from faultloom.sources.tables import current_version
 from faultloom.plans.pair_corpus import build_pair_corpus, corpus_files, write_pair_corpus
 from faultloom.schemas import BRANCH_METADATA, OVERRIDES
 from faultloom.sources.corpus import export_files, scan_corpus
@@ -127,7 +128,7 @@ def test_pair_corpus(snapshots, branches, overrides, spark, tmp_path):
     write_pair_corpus(corpus, root)
     assert spark.read.parquet(f"{root}/pairs.pq").where("output_folder = 'r_one' and role = 'base'").first().content == "new"
     for read, name in ((spark.read.parquet, "pq"), (spark.read.json, "ndjson"), (spark.read.option("header", True).csv, "csv")):
-        frame = read(f"{root}/all_metadata.{name}")
+        frame = read(f"{current_version(spark, root)}/all_metadata.{name}")
         assert frame.count() == 3 and set(frame.columns) == set(BRANCH_METADATA.names)
 
 
