@@ -1,6 +1,7 @@
 """Rolling hashes over byte buffers and word boundaries, by whole numpy arrays.
 
-A hash only nominates candidates here; equality is always checked on the bytes afterwards.
+Hashes nominate candidates; where an operator lets two of them, 128 bits, decide that strings are equal
+without a look at the bytes, it says so.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, free_name
 
 RADIUS = 3
 SHINGLE = 3
@@ -227,12 +227,11 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     held = prints.join(classes, "fp").where(F.col("key").eqNullSafe(F.col("component")))
     root = F.coalesce(F.col("component").cast("string"), F.hex("fp"))
     chosen = held.groupBy(root.alias("root"), "key").agg(F.min("stamp").alias("stamp"), F.count("*").alias("n"))
-    chosen = scratch.table(chosen.select(F.col("key").alias("_k"), F.col("stamp").alias("_s"), F.col("n").alias("_n")))
-    rows = docs.withColumn("_row_stamp", stamp).join(
-        chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row_stamp") == F.col("_s"))
-    )
-    single = rows.where("_n = 1").select(*docs.columns)
-    more = rows.where("_n > 1").dropDuplicates(["_k", "_s"]).select(*docs.columns)
+    own, k, s, n = (free_name(docs, name) for name in ("_row_stamp", "_k", "_s", "_n"))
+    chosen = scratch.table(chosen.select(F.col("key").alias(k), F.col("stamp").alias(s), F.col("n").alias(n)))
+    rows = docs.withColumn(own, stamp).join(chosen, F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(s)))
+    single = rows.where(F.col(n) == 1).select(*docs.columns)
+    more = rows.where(F.col(n) > 1).dropDuplicates([k, s]).select(*docs.columns)
     return single.unionByName(more)
 
 

@@ -1,10 +1,10 @@
-"""Suffix-array dedup: bytes covered by a string of ``SPAN`` bytes that starts more than once are removed.
+"""Suffix-array dedup: bytes covered by a string of ``span`` bytes that starts more than once are removed.
 
-Start positions fall into units. A trigger is a place whose 16 bytes hash into one of RATE values; a unit is
+Start positions fall into units. A trigger is a place whose 16 bytes hash into one of ``rate`` values; a unit is
 the starts from one trigger (exclusive) to the next (inclusive), so starts of equal strings stand at equal
 distances from equal triggers. Units are narrowed down without loss:
 
-* a unit whose first ``CORE`` bytes from its trigger occur nowhere else repeats nowhere;
+* a unit whose first ``core`` bytes from its trigger occur nowhere else repeats nowhere;
 * all starts of units that are equal up to the end of their last string repeat;
 * the remaining different units around an equal core, one of each kind, are sorted as suffixes.
 
@@ -19,6 +19,7 @@ compared as strings of their own by hash and count, which splits any hot value.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,28 @@ from .bytehash import buffer_of, every, mix, spans, sums
 from .decontaminate import BITMAP_BITS, bitmap
 from .shared import Scratch
 
-SPAN = 400
 GRAM = 16
-RATE = 32
-REACH = 192
-CORE = SPAN - REACH
+
+
+@dataclass(frozen=True)
+class Law:
+    """Bytes of the strings that must not repeat, and how their starts are put into units: one place in
+    ``rate`` is a trigger, and one at most ``reach`` bytes on is shared by all starts of a unit."""
+
+    span: int = 400
+    reach: int = 192
+    rate: int = 32
+
+    @property
+    def core(self) -> int:
+        return self.span - self.reach
+
+
+#: Strings of 400 bytes.
+LONG = Law()
+#: Strings of 200 bytes, which over 50 words of four bytes with their spaces hold.
+PASSAGE = Law(200, 96, 16)
+
 #: Kinds around one core that one task sorts together; more take the way by hash.
 KINDS = 50_000
 
@@ -44,42 +62,42 @@ def text_id() -> tuple:
     return F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")
 
 
-def units(data: np.ndarray):
+def units(data: np.ndarray, law: Law):
     """Units ``(low, high, place)`` of a text, explicit starts, and its prefix sums."""
     n = len(data)
     prefix = sums(data)
-    trigger = np.flatnonzero(every(prefix, GRAM) < np.uint64((1 << 64) // RATE))
+    trigger = np.flatnonzero(every(prefix, GRAM) < np.uint64((1 << 64) // law.rate))
     before = np.concatenate([[-1], trigger])[:-1] if len(trigger) else trigger
-    low = np.maximum(before + 1, trigger - REACH + 1)
-    high = np.minimum(trigger, n - SPAN)
+    low = np.maximum(before + 1, trigger - law.reach + 1)
+    high = np.minimum(trigger, n - law.span)
     good = low <= high
-    bounds = np.concatenate([trigger - REACH, [n - SPAN]])
+    bounds = np.concatenate([trigger - law.reach, [n - law.span]])
     begins = np.concatenate([before, trigger[-1:] if len(trigger) else [-1]]) + 1
-    bounds = np.minimum(bounds, n - SPAN)
+    bounds = np.minimum(bounds, n - law.span)
     lone = [np.arange(b, e + 1) for b, e in zip(begins.tolist(), bounds.tolist()) if e >= b]
     return low[good], high[good], trigger[good], np.concatenate(lone) if lone else np.zeros(0, np.int64), prefix
 
 
-def unit_hashes(prefix, low, high, place):
-    core = spans(prefix, place, place + CORE)
+def unit_hashes(prefix, low, high, place, law):
+    core = spans(prefix, place, place + law.core)
     shape = ((place - low) * 4096 + (place - high)).astype(np.uint64)
-    return core, mix(spans(prefix, low, high + SPAN) + mix(shape + np.uint64(1)))
+    return core, mix(spans(prefix, low, high + law.span) + mix(shape + np.uint64(1)))
 
 
-def halves(prefix, starts):
+def halves(prefix, starts, law):
     """Two hashes that name the string at each start."""
-    middle = starts + SPAN // 2
-    return spans(prefix, starts, middle), spans(prefix, middle, starts + SPAN)
+    middle = starts + law.span // 2
+    return spans(prefix, starts, middle), spans(prefix, middle, starts + law.span)
 
 
 def _signed(values):
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def _texts(batch, column):
+def _texts(batch, column, law):
     """``(row, bytes)`` of the rows that are long enough to repeat a string."""
     data, offsets = buffer_of(batch.column(column))
-    for row in np.flatnonzero(np.diff(offsets) >= SPAN).tolist():
+    for row in np.flatnonzero(np.diff(offsets) >= law.span).tolist():
         yield row, data[offsets[row] : offsets[row + 1]]
 
 
@@ -100,50 +118,9 @@ def _as_long(values):
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def core_counts(texts: DataFrame) -> DataFrame:
-    """``(core, n, several)`` of cores that occur more than once; several: around different units."""
-
-    def run(batches):
-        def parts():
-            for batch in batches:
-                for _, data in _texts(batch, 0):
-                    low, high, place, _, prefix = units(data)
-                    core, unit = unit_hashes(prefix, low, high, place)
-                    yield _as_long(core), _as_long(unit)
-
-        yield from _batches(["core", "unit"], parts())
-
-    found = texts.select("text").mapInArrow(run, "core long, unit long").groupBy("core")
-    found = found.agg(F.count("*").alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"))
-    return found.where("n > 1").select("core", (F.col("a") != F.col("b")).alias("several"))
-
-
-def occurrences(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Units ``(core, unit, t1, t2, low, high, place)`` whose core may occur more than once."""
-
-    def run(batches):
-        def parts():
-            for batch in batches:
-                ids = [batch.column(i).to_numpy() for i in (1, 2)]
-                for row, data in _texts(batch, 0):
-                    low, high, place, _, prefix = units(data)
-                    core, unit = unit_hashes(prefix, low, high, place)
-                    slot = core & np.uint64(BITMAP_BITS - 1)
-                    hit = ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-                    size = int(hit.sum())
-                    own = [np.full(size, i[row]) for i in ids]
-                    yield _as_long(core[hit]), _as_long(unit[hit]), *own, low[hit], high[hit], place[hit]
-
-        yield from _batches(["core", "unit", "t1", "t2", "low", "high", "place"], parts())
-
-    kinds = "core long, unit long, t1 long, t2 long, low long, high long, place long"
-    return texts.select("text", "t1", "t2").mapInArrow(run, kinds)
-
-
-def _lone_windows(data):
+def _lone_windows(lone, prefix, law):
     """Of the starts that belong to no unit: hashes, starts and how often each string is among them."""
-    *_, lone, prefix = units(data)
-    h1, h2 = halves(prefix, lone)
+    h1, h2 = halves(prefix, lone, law)
     order = np.lexsort((lone, h2, h1))
     h1, h2, lone = h1[order], h2[order], lone[order]
     new = np.ones(len(lone), bool)
@@ -152,62 +129,90 @@ def _lone_windows(data):
     return h1, h2, lone, new, np.bincount(group, minlength=int(new.sum()))[group] if len(lone) else lone
 
 
-def explicit_counts(texts: DataFrame) -> DataFrame:
-    """``(h1, h2)`` of the strings outside units that occur more than once, counted per text first."""
+def _joined(one, two):
+    """Rows for units and rows for lone starts, one below the other, told apart by a first column."""
+    sizes = len(one[0]), len(two[0])
+    return (np.repeat([False, True], sizes), *(np.concatenate([a, b]) for a, b in zip(one, two)))
+
+
+def repeated_hashes(texts: DataFrame, law: Law) -> DataFrame:
+    """``(lone, x, z, several)`` of what occurs more than once, from one reading of the texts.
+
+    Of units ``x`` names the core; several: around different units. Of starts outside units, ``lone``, x and
+    z name the string; they are counted per text first.
+    """
 
     def run(batches):
         def parts():
             for batch in batches:
-                for _, data in _texts(batch, 0):
-                    h1, h2, _, new, times = _lone_windows(data)
-                    yield _as_long(h1[new]), _as_long(h2[new]), times[new]
+                for _, data in _texts(batch, 0, law):
+                    low, high, place, lone, prefix = units(data, law)
+                    core, unit = unit_hashes(prefix, low, high, place, law)
+                    h1, h2, _, new, times = _lone_windows(lone, prefix, law)
+                    none, one = np.zeros(len(core), np.int64), np.ones(len(core), np.int64)
+                    yield _joined(
+                        (_as_long(core), none, one, _as_long(unit)),
+                        (_as_long(h1[new]), _as_long(h2[new]), times[new], np.zeros(int(new.sum()), np.int64)),
+                    )
 
-        yield from _batches(["h1", "h2", "n"], parts())
+        yield from _batches(["lone", "x", "z", "n", "unit"], parts())
 
-    found = texts.select("text").mapInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2")
-    return found.agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    rows = texts.select("text").mapInArrow(run, "lone boolean, x long, z long, n long, unit long")
+    found = rows.groupBy("lone", "x", "z").agg(F.sum("n").alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"))
+    return found.where("n > 1").select("lone", "x", "z", (F.col("a") != F.col("b")).alias("several"))
 
 
-def explicit_ranges(texts: DataFrame, often: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(t1, t2, a, b)`` of starts outside units that repeat; those that repeat within a text need no join."""
+def _nominated(bits, hashes):
+    slot = hashes & np.uint64(BITMAP_BITS - 1)
+    return ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def occurrences(texts: DataFrame, often: DataFrame, law: Law) -> DataFrame:
+    """Where what occurs more than once stands: ``(lone, core, unit, t1, t2, low, high, place, several)``.
+
+    For lone starts ``low`` to ``high`` are starts that repeat; those that repeat within their text are sure
+    and need no partner in the join.
+    """
+    cores = bitmap(often.where("not lone").select(F.col("x").alias("h")))
+    strings = bitmap(often.where("lone").select(F.col("x").alias("h")))
 
     def run(batches):
         def parts():
             for batch in batches:
                 ids = [batch.column(i).to_numpy() for i in (1, 2)]
-                for row, data in _texts(batch, 0):
-                    h1, h2, lone, _, times = _lone_windows(data)
-                    slot = h1 & np.uint64(BITMAP_BITS - 1)
-                    may = ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                for row, data in _texts(batch, 0, law):
+                    low, high, place, lone, prefix = units(data, law)
+                    core, unit = unit_hashes(prefix, low, high, place, law)
+                    hit = _nominated(cores, core)
+                    size = int(hit.sum())
+                    none = np.zeros(size, np.int64)
+                    of_units = (_as_long(core[hit]), none, low[hit], high[hit], place[hit], _as_long(unit[hit]), none != 0)
+                    h1, h2, lone, _, times = _lone_windows(lone, prefix, law)
                     own = np.sort(lone[times > 1])
                     first = np.flatnonzero(np.diff(own, prepend=-2) != 1)
                     last = np.append(first[1:] - 1, len(own) - 1)[: len(first)]
-                    ask = may & (times == 1)
-                    size = len(first) + int(ask.sum())
-                    sure = np.arange(size) < len(first)
-                    none = np.zeros(len(first), np.int64)
-                    yield (
-                        np.concatenate([none, _as_long(h1[ask])]),
-                        np.concatenate([none, _as_long(h2[ask])]),
-                        *(np.full(size, i[row]) for i in ids),
-                        np.concatenate([own[first], lone[ask]]),
-                        np.concatenate([own[last], lone[ask]]),
-                        sure,
-                    )
-
-        yield from _batches(["h1", "h2", "t1", "t2", "a", "b", "sure"], parts())
-
-    kinds = "h1 long, h2 long, t1 long, t2 long, a long, b long, sure boolean"
+                    ask = _nominated(strings, h1) & (times == 1)
+                    count = len(first) + int(ask.sum())
+                    # The keys of sure rows only spread them over the join.
+                    x = np.concatenate([own[first] ^ ids[0][row], _as_long(h1[ask])])
+                    z = np.concatenate([np.full(len(first), ids[1][row]), _as_long(h2[ask])])
+                    low, high = np.concatenate([own[first], lone[ask]]), np.concatenate([own[last], lone[ask]])
+                    none = np.zeros(count, np.int64)
+                    rows = _joined(of_units, (x, z, low, high, none, none, np.arange(count) < len(first)))
+                    yield (*rows, *(np.full(size + count, i[row]) for i in ids))
+
+        yield from _batches(["lone", "x", "z", "low", "high", "place", "unit", "sure", "t1", "t2"], parts())
+
+    kinds = "lone boolean, x long, z long, low long, high long, place long, unit long, sure boolean, t1 long, t2 long"
     rows = texts.select("text", "t1", "t2").mapInArrow(run, kinds)
-    known = often.select("h1", "h2", F.lit(True).alias("often"))
-    rows = rows.join(known, ["h1", "h2"], "left").where("sure or often")
-    return rows.select("t1", "t2", "a", "b")
+    rows = rows.join(often, ["lone", "x", "z"], "left").where("sure or several is not null")
+    return rows.select("lone", F.col("x").alias("core"), "unit", "t1", "t2", "low", "high", "place", "several")
 
 
 CONTENT = "core long, unit long, down int, up int, left binary, right binary"
 
 
-def contents(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+def contents(texts: DataFrame, chosen: DataFrame, law: Law) -> DataFrame:
     """Bytes of one example of each chosen unit: those before its trigger and those from it on."""
     wanted = chosen.groupBy("t1", "t2").agg(F.collect_list(F.struct("core", "unit", "low", "high", "place")).alias("own"))
     one_each = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
@@ -225,7 +230,7 @@ def contents(texts: DataFrame, chosen: DataFrame) -> DataFrame:
                     out["down"].append(place - low)
                     out["up"].append(place - high)
                     out["left"].append(raw[low:place])
-                    out["right"].append(raw[place : high + SPAN])
+                    out["right"].append(raw[place : high + law.span])
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
 
@@ -259,14 +264,14 @@ def named(scratch: Scratch, rows: DataFrame, columns: list[str]) -> DataFrame:
     return placed.select(*columns, (offset + F.col("at")).alias("name"))
 
 
-def suffix_keys(scratch: Scratch, held: DataFrame) -> DataFrame:
+def suffix_keys(scratch: Scratch, held: DataFrame, core: int) -> DataFrame:
     """``(id, keys)``: the order of ``keys`` is that of the bytes after the core."""
 
     @F.pandas_udf("array<long>")
     def symbols(right: pd.Series) -> pd.Series:
         out = []
         for raw in right:
-            tail = raw[CORE:]
+            tail = raw[core:]
             tail += b"\0" * (-len(tail) % 8)
             big = np.frombuffer(tail, ">u8").astype(np.uint64)
             out.append((big ^ np.uint64(1 << 63)).view(np.int64))
@@ -307,7 +312,7 @@ def _triples(name):
     return F.transform(at, lambda i: F.array(pick(i, 0), pick(i, 1), pick(i, 2)))
 
 
-def repeated_starts(batch: pa.Table):
+def repeated_starts(batch: pa.Table, span: int):
     """Of units in suffix order: ``(unit row, first, last)`` runs of distances before the trigger that repeat."""
     count = batch.num_rows
     core = batch.column("core").to_numpy()
@@ -316,14 +321,14 @@ def repeated_starts(batch: pa.Table):
     right = [v.as_py() for v in batch.column("right")]
     sizes = np.array([len(r) for r in right])
     common = np.zeros(count, np.int64)  # prefix in common with the unit before
-    wide = np.zeros((min(count, 4096) + 1, SPAN), np.uint8)
+    wide = np.zeros((min(count, 4096) + 1, span), np.uint8)
     for at in range(0, count, 4096):
         rows = range(max(0, at - 1), min(count, at + 4096))
         for k, i in enumerate(rows):
             wide[k, : sizes[i]] = np.frombuffer(right[i], np.uint8)
             wide[k, sizes[i] :] = 0
         differ = wide[1 : len(rows)] != wide[: len(rows) - 1]
-        same = np.where(differ.any(1), differ.argmax(1), SPAN)
+        same = np.where(differ.any(1), differ.argmax(1), span)
         own = np.arange(rows[0] + 1, rows[-1] + 1)
         common[own] = np.minimum(same, np.minimum(sizes[own], sizes[own - 1]))
     common[np.flatnonzero(np.concatenate([[True], core[1:] != core[:-1]]))] = -1
@@ -335,7 +340,7 @@ def repeated_starts(batch: pa.Table):
     while len(live):
         able = live[up[live] <= a]
         if len(able):
-            group = np.cumsum(common < SPAN - a)[able]
+            group = np.cumsum(common < span - a)[able]
             key = group * (count + 1) + part[able]
             _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
             repeats = times[inverse] > 1
@@ -354,16 +359,16 @@ def repeated_starts(batch: pa.Table):
     return found
 
 
-def sorted_runs(scratch: Scratch, held: DataFrame) -> DataFrame:
+def sorted_runs(scratch: Scratch, held: DataFrame, law: Law) -> DataFrame:
     """``(core, unit, first, last)`` from the suffix order of the units of each core."""
-    keys = suffix_keys(scratch, held)
+    keys = suffix_keys(scratch, held, law.core)
     rows = held.join(keys, "id").repartition("core").sortWithinPartitions("core", "keys").drop("keys", "id")
 
     def run(batches):
         held, size = [], 0
 
         def result(table):
-            found = repeated_starts(table)
+            found = repeated_starts(table, law.span)
             rows, first, last = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
             core, unit = (table.column(c).to_numpy()[rows] for c in ("core", "unit"))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (core, unit, first, last)], ["core", "unit", "first", "last"])
@@ -385,7 +390,7 @@ def sorted_runs(scratch: Scratch, held: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "core long, unit long, first long, last long")
 
 
-def hashed_runs(held: DataFrame) -> DataFrame:
+def hashed_runs(held: DataFrame, law: Law) -> DataFrame:
     """The same for units of cores with very many kinds, by the hash of every string."""
 
     def run(batches):
@@ -396,7 +401,7 @@ def hashed_runs(held: DataFrame) -> DataFrame:
                     raw = np.frombuffer(cols["left"][i].as_py() + cols["right"][i].as_py(), np.uint8)
                     down, up = cols["down"][i].as_py(), cols["up"][i].as_py()
                     starts = np.arange(0, down - up + 1)
-                    h1, h2 = halves(sums(raw), starts)
+                    h1, h2 = halves(sums(raw), starts, law)
                     fill = [np.full(len(starts), cols[c][i].as_py(), np.int64) for c in ("core", "unit")]
                     yield _as_long(h1), _as_long(h2), *fill, down - starts
 
@@ -407,12 +412,12 @@ def hashed_runs(held: DataFrame) -> DataFrame:
     return rows.join(often, ["h1", "h2"]).select("core", "unit", "first", F.col("first").alias("last"))
 
 
-def repeated_ranges(scratch: Scratch, texts: DataFrame) -> DataFrame:
+def repeated_ranges(scratch: Scratch, texts: DataFrame, law: Law) -> DataFrame:
     """``(t1, t2, ranges)``: per text the ranges of starts, last included, whose strings start elsewhere too."""
-    texts = texts.where(F.octet_length("text") >= SPAN)
-    cores = scratch.table(core_counts(texts))
-    bits = bitmap(cores.select(F.col("core").alias("h")))
-    seen = scratch.table(occurrences(texts, bits).join(cores, "core"))
+    texts = texts.where(F.octet_length("text") >= law.span)
+    often = scratch.table(repeated_hashes(texts, law))
+    places = scratch.table(occurrences(texts, often, law))
+    seen = places.where("not lone").drop("lone")
     kinds = seen.groupBy("core", "unit").agg(
         F.count("*").alias("n"),
         F.first("several").alias("several"),
@@ -422,10 +427,10 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame) -> DataFrame:
     several = kinds.where("several").select("core", "unit", "example.*")
     many = several.groupBy("core").agg(F.count("*").alias("kinds")).where(f"kinds > {KINDS}").select("core")
     chosen = bitmap(several.select(F.col("t1").alias("h")))
-    held = contents(texts.where(_may(chosen)("t1")), several)
-    held = scratch.table(held.select(F.monotonically_increasing_id().alias("id"), "*"))
-    runs = sorted_runs(scratch, held.join(many, "core", "left_anti"))
-    runs = runs.unionByName(hashed_runs(held.join(many, "core", "left_semi")))
+    held = contents(texts.where(_may(chosen)("t1")), several, law)
+    held = scratch.table(held.select(F.monotonically_increasing_id().alias("id"), "*"), replaces=often)
+    runs = sorted_runs(scratch, held.join(many, "core", "left_anti"), law)
+    runs = runs.unionByName(hashed_runs(held.join(many, "core", "left_semi"), law))
     none = F.lit(None).cast("long")
     whole = kinds.where("n > 1").select("core", "unit", none.alias("first"), none.alias("last"))
     verdicts = scratch.table(whole.unionByName(runs), replaces=held)
@@ -435,10 +440,8 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame) -> DataFrame:
         F.coalesce(F.col("place") - F.col("last"), "low").alias("a"),
         F.coalesce(F.col("place") - F.col("first"), "high").alias("b"),
     )
-    found = scratch.table(found.distinct(), replaces=seen)
-    often = scratch.table(explicit_counts(texts))
-    lone = explicit_ranges(texts, often, bitmap(often.select(F.col("h1").alias("h"))))
-    ranges = found.unionByName(lone)
+    lone = places.where("lone").select("t1", "t2", F.col("low").alias("a"), F.col("high").alias("b"))
+    ranges = scratch.table(found.distinct().unionByName(lone), replaces=places)
     return ranges.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
@@ -453,23 +456,23 @@ def _may(bits: np.ndarray):
     return hit
 
 
-def cut_text(raw: bytes, ranges) -> tuple[bytes, int]:
+def cut_text(raw: bytes, ranges, span: int) -> tuple[bytes, int]:
     """What is left of a text without the strings at the given starts, and the number of removed runs."""
     edge = np.zeros(len(raw) + 1, np.int64)
     for r in ranges:
         edge[r["a"]] += 1
-        edge[r["b"] + SPAN] -= 1
+        edge[r["b"] + span] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     spans_gone = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), spans_gone
 
 
-def _cut(docs: DataFrame, text: str, keep: list, result, schema: str):
+def _cut(docs: DataFrame, text: str, keep: list, result, schema: str, law: Law):
     """Rows with repeats go through ``result(text bytes, ranges)``; the others stay as they are."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, body.alias("text")).select("*", *text_id())
-    ranges = scratch.table(repeated_ranges(scratch, rows.select("text", "t1", "t2")))
+    ranges = scratch.table(repeated_ranges(scratch, rows.select("text", "t1", "t2"), law))
     may = _may(bitmap(ranges.select(F.col("t1").alias("h"))))
     names = [f for f in rows.schema.fieldNames() if f not in ("t1", "t2", "text")]
     with_ranges = rows.where(may("t1")).join(ranges, ["t1", "t2"], "left").select(*names, "text", "ranges")
@@ -494,21 +497,20 @@ def _columns(out, schema):
     return [pa.array([o[i] for o in out], kinds[k]) for i, (_, k) in enumerate(_pairs(schema))]
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", law: Law = LONG) -> DataFrame:
     """``(key, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``.
 
-    Null texts are empty. Equal texts are copies of each other: of SPAN bytes and more, all of them go, as
+    Null texts are empty. Equal texts are copies of each other: of ``span`` bytes and more, all of them go, as
     the strings of each start elsewhere. Shorter texts are kept whole. Repeated rows and null keys stay rows
     of their own; an empty table gives no rows; other columns are ignored.
     """
 
     def result(raw, ranges):
-        left, gone = cut_text(raw, ranges)
+        left, gone = cut_text(raw, ranges, law.span)
         return len(raw), len(raw) - len(left), gone, hashlib.sha256(left).hexdigest()
 
-    cut, rest, _ = _cut(
-        docs, text, [F.col(key).alias("key")], result, "n_bytes long n_removed long n_spans long kept_sha256 string"
-    )
+    columns = "n_bytes long n_removed long n_spans long kept_sha256 string"
+    cut, rest, _ = _cut(docs, text, [F.col(key).alias("key")], result, columns, law)
     none = F.lit(0).cast("long")
     rest = rest.select(
         "key",
@@ -520,18 +522,18 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return cut.unionByName(rest).withColumnRenamed("key", key)
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def cut_repeats(docs: DataFrame, text: str = "text", length: str | None = "n_chars", law: Law = LONG) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text`` and ``length`` set to the characters left.
 
     Bytes of characters that a cut divides are dropped with it. Null texts stay null; no row goes.
     """
 
     def result(raw, ranges):
-        return (cut_text(raw, ranges)[0].decode(errors="ignore"),)
+        return (cut_text(raw, ranges, law.span)[0].decode(errors="ignore"),)
 
     others = [c for c in docs.columns if c != text]
     keep = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)] + [F.col(text).isNull().alias("none")]
-    cut, rest, names = _cut(docs, text, keep, result, "left string")
+    cut, rest, names = _cut(docs, text, keep, result, "left string", law)
     both = cut.unionByName(rest.select(*names, F.col("text").alias("left")))
     left = F.when(~F.col("none"), F.col("left"))
     out = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text: left}

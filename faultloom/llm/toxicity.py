@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix
+from .shared import free_name
 
 #: Hash buckets of n-grams, vector length, and n-gram lengths.
 BUCKETS = 1 << 17
@@ -245,4 +246,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that the model finds toxic (score of at least one half)."""
-    return scored(docs, toxicity_model(docs, labels, key, text), text, "_score").where("_score < 0.5").select(*docs.columns)
+    name = free_name(docs, "_score")
+    return scored(docs, toxicity_model(docs, labels, key, text), text, name).where(F.col(name) < 0.5).select(*docs.columns)

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import arrow_uri
 from .shared import Scratch
 
 #: Fixed values of the format: the dictionary's skippable frame, Zstandard's frame and dictionary marks.
@@ -182,10 +183,12 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, archive_b
     Returns the manifest ``(path, records, bytes)``. Evaluating it writes; write the manifest once.
     """
 
+    uri = arrow_uri(folder)
+
     def run(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=3, dict_data=known, write_checksum=True, write_content_size=True)
@@ -237,10 +240,12 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     names = [n for n in PAGE.names if payloads or n != "payload"]
     schema = pa.schema([PAGE.field(n) for n in names])
 
+    uri = arrow_uri(folder)
+
     def run(batches):
         from pyarrow import fs
 
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for path, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen, held, size = 0, [], 0

@@ -36,13 +36,13 @@ from faultloom.llm.simhash_dedup import (
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CLASH = "row long, key string, fp long, stamp string, regions string, ranges string, t1 long, shard string"
+CLASH = "row long, key string, fp long, stamp string, regions string, ranges string, t1 long, shard string, _score double, _row_stamp string, _k long, _S long, _n long"
 
 
 def documents(spark, rows):
     """Documents with null-able columns and further columns whose names operators use themselves."""
     out = spark.createDataFrame(
-        [(k, t, None, None, None, 1, "k", 2, "s", "r", "x", 3, "h") for k, t in rows],
+        [(k, t, None, None, None, 1, "k", 2, "s", "r", "x", 3, "h", 0.25, "own", 4, 5, 6) for k, t in rows],
         f"doc_id long, text string, lang string, source string, n_chars long, {CLASH}",
     )
     return out.repartition(3)
@@ -318,13 +318,14 @@ def repeating_texts():
     return texts
 
 
+@pytest.mark.parametrize("law", [suffix_dedup.LONG, suffix_dedup.PASSAGE, suffix_dedup.Law(40, 20, 4)])
 @pytest.mark.parametrize("kinds", [50_000, 1])
-def test_suffix_dedup(spark, monkeypatch, kinds):
+def test_suffix_dedup(spark, monkeypatch, kinds, law):
     monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
     texts = repeating_texts()
     docs = documents(spark, [(None if i == 7 else i, t) for i, t in enumerate(texts)])
-    got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs).collect())
-    brute = brute_repeats([(t or "").encode() for t in texts])
+    got = Counter(tuple(r) for r in suffix_dedup.suffix_dedup(docs, law=law).collect())
+    brute = brute_repeats([(t or "").encode() for t in texts], law.span)
     assert got == Counter((None if i == 7 else i, *b[:4]) for i, b in enumerate(brute))
 
 
@@ -341,6 +342,19 @@ def test_cut_repeats_keeps_rows_and_columns(spark):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_passages_of_over_fifty_words_are_cut(spark):
+    rnd = random.Random(9)
+
+    def prose(n):
+        return " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+
+    passages = [prose(51) for _ in range(6)]
+    rows = [(i, f"{prose(60)} {passages[i % 6]} {prose(60)}") for i in range(18)] + [(100 + i, prose(150)) for i in range(18)]
+    got = {r.doc_id: r.text for r in suffix_dedup.cut_repeats(documents(spark, rows), law=suffix_dedup.PASSAGE).collect()}
+    assert all(passages[i % 6][5:-5] not in got[i] for i in range(18))
+    assert all(got[k] == t for k, t in rows if k >= 100)
+
+
 # 6 toxicity
 
 
@@ -378,6 +392,7 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(rows.limit(0), marked).count() == 0
     kept = toxicity.drop_toxic(rows, marked)
     assert kept.columns == rows.columns and kept.count() == sum(r.predicted == 0 for r in got)
+    assert {(r["_score"], r["_n"]) for r in kept.collect()} == {(0.25, 6)}
 
 
 def test_toxicity_learns_rare_words():
@@ -520,6 +535,7 @@ def test_simhash_groups(spark):
     assert Counter(tuple(r) for r in got) == want and any(n > 1 for n in Counter(comp.values()).values())
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
+    assert {(r["_row_stamp"], r["_k"], r["_S"], r["_n"]) for r in kept.collect()} == {("own", 4, 5, 6)}
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids == Counter(min(least[c], default=None) for c in set(comp.values()))
     assert simhash_groups(docs.limit(0)).count() == 0 and drop_near_copies(docs.limit(0)).count() == 0
