@@ -9,7 +9,7 @@ from faultloom.llm.byte_bpe import encode_documents
 from faultloom.llm.decontaminate import drop_contaminated
 from faultloom.llm.shared import Scratch
 from faultloom.llm.simhash_dedup import drop_near_copies
-from faultloom.llm.suffix_dedup import cut_repeats
+from faultloom.llm.suffix_dedup import PASSAGE, cut_repeats
 from faultloom.llm.toxicity import drop_toxic
 
 
@@ -24,8 +24,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start more than once are cut out of the texts."""
-    return cut_repeats(docs)
+    """Strings of 200 bytes that start more than once are cut out of the texts: passages of over 50 words."""
+    return cut_repeats(docs, law=PASSAGE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
