@@ -51,7 +51,7 @@ def test_pipeline_stage_by_stage(spark):
     near = [(a, b) for a in rows for b in rows if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
     comp = brute_components(rows, near)
     rows = {k: t for k, t in rows.items() if comp[k] == k}
-    cut = brute_repeats([t.encode() for t in rows.values()])
+    cut = brute_repeats([t.encode() for t in rows.values()], 200)
     rows = {k: c[4].decode(errors="ignore") for k, c in zip(rows, cut)}
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {k for (k, *_, hit) in brute_contamination(rows.items(), items) if hit}
