@@ -85,30 +85,20 @@ def bitmap(shingles: DataFrame) -> np.ndarray:
     return out
 
 
-REGION = "array<struct<first: int, words: string, at: array<int>, h: array<long>>>"
+REGION = "array<struct<first: int, words: string, at: int, h: long>>"
 
 
 def document_regions(docs: DataFrame, keep: list, text: str, filter_bits, window: int, sizes: list[int]) -> DataFrame:
-    """The kept columns, ``n_words`` and the text regions around nominated shingles of every row."""
+    """The kept columns, ``n_words`` and the words around each nominated shingle of every row."""
     reach = window - 1
 
     def regions(held, starts, ends, hits):
-        """Merge nominated positions whose surroundings touch."""
+        """The words that a window around each nominated position can reach, however close the positions lie."""
         out = []
-        hits = sorted(hits)
-        i = 0
-        while i < len(hits):
-            j = i
-            while j + 1 < len(hits) and hits[j + 1][0] - hits[j][0] <= 2 * window:
-                j += 1
-            first = max(0, hits[i][0] - reach)
-            last = min(len(starts), hits[j][0] + window)
-            own = b" ".join(held[starts[k] : ends[k]] for k in range(first, last))
-            part = hits[i : j + 1]
-            out.append(
-                {"first": first, "words": own.decode(), "at": [p for p, _ in part], "h": [h for _, h in part]}
-            )
-            i = j + 1
+        for p, h in sorted(hits):
+            first = max(0, p - reach)
+            own = b" ".join(held[starts[k] : ends[k]] for k in range(first, min(len(starts), p + window)))
+            out.append({"first": first, "words": own.decode(), "at": p, "h": h})
         return out
 
     def piece(data, cuts, n_words, found, base):
@@ -133,11 +123,7 @@ def document_regions(docs: DataFrame, keep: list, text: str, filter_bits, window
             lo, hi = edges[row], edges[row + 1]
             found[base + row] = regions(held, starts[lo:hi], ends[lo:hi], own)
 
-    region_type = pa.list_(
-        pa.struct(
-            [("first", pa.int32()), ("words", pa.string()), ("at", pa.list_(pa.int32())), ("h", pa.list_(pa.int64()))]
-        )
-    )
+    region_type = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.string()), ("at", pa.int32()), ("h", pa.int64())]))
 
     def run(batches):
         for batch in batches:
@@ -187,18 +173,15 @@ def contamination(
         F.sha2(F.col(text), 256).alias("stamp"),
     ]
     rows = scratch.table(document_regions(docs, keep, text, bits, window, sorted(sizes)))
-    places = rows.select("row", F.explode("regions").alias("g")).select(
-        "row", "g.first", "g.words", F.explode(F.arrays_zip("g.at", "g.h")).alias("z")
-    )
-    counts = rows.select(F.explode("regions.h").alias("hs")).select(F.explode("hs").alias("h"))
+    places = rows.select("row", F.explode("regions").alias("g")).select("row", "g.*")
+    counts = rows.select(F.explode("regions.h").alias("h"))
     counts = counts.groupBy("h").agg(F.count("*").alias("seen"))
     ranked = parts.join(counts, "h", "left").groupBy("win", "width")
     prefix = ranked.agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "h", "o")).alias("m"))
     prefix = prefix.where("m.seen > 0").select("win", "width", "m.h", "m.o")
     begin = F.col("at") - F.col("o")
     local = begin - F.col("first")
-    near = places.select("row", "first", "words", F.col("z.at").alias("at"), F.col("z.h").alias("h"))
-    near = near.join(prefix, "h").where(begin >= F.col("first"))
+    near = places.join(prefix, "h").where(begin >= F.col("first"))
     near = near.where(F.array_join(F.slice(F.split("words", " "), local + 1, F.col("width")), " ") == F.col("win"))
     found = scratch.table(near.select("row", "win", begin.alias("begin"), (begin + F.col("width")).alias("end")).distinct())
 

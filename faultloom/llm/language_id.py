@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import mix
@@ -21,10 +21,11 @@ BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
 LANDMARKS = 160
 RIDGE = 1e-3
-#: Bounds of the training sample: rows per language, languages, characters of a text that may be chosen.
+#: Bounds of the training sample: rows per language and in all, languages, characters of a text looked at.
 ROWS_PER_LANGUAGE = 400
-LANGUAGES = 256
-TRAIN_CHARS = 20_000
+SAMPLE_ROWS = 6_000
+LANGUAGES = 1_000
+TRAIN_CHARS = 5_000
 BATCH = 64
 PIECE = 1 << 20
 
@@ -71,19 +72,20 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     languages = sorted(set(langs))
     if not languages:
         return None
-    rows = np.concatenate([unit(presence(texts[i : i + BATCH])) for i in range(0, len(texts), BATCH)])
     own = np.array([languages.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     turn = np.concatenate([rng.permutation(np.flatnonzero(own == k))[: max(2, LANDMARKS // len(languages))] for k in range(len(languages))])
-    marks = rows[turn]
+    marks = unit(presence([texts[i] for i in turn]))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     white = vectors[:, keep] / np.sqrt(values[keep])
-    features = (rows @ marks.T) @ white
+    # Batch by batch: the presence rows of the whole sample would be far larger than its features.
+    kernel = [unit(presence(texts[i : i + BATCH])) @ marks.T for i in range(0, len(texts), BATCH)]
+    features = np.concatenate(kernel) @ white
     target = np.where(own[:, None] == np.arange(len(languages)), 1.0, -1.0)
     mean, level = features.mean(0), target.mean(0)
     centred = features - mean
-    gram = centred.T @ centred + RIDGE * len(rows) * np.eye(features.shape[1])
+    gram = centred.T @ centred + RIDGE * len(texts) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, centred.T @ (target - level))
     return Model(languages, marks, (white @ solved).astype(np.float32), (level - mean @ solved).astype(np.float32))
 
@@ -91,27 +93,27 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
 def training_rows(docs: DataFrame, key: str, text: str, lang: str) -> list:
     """The bounded sample: rows with a language whose crc32 of the key as text modulo 3 is not 1.
 
-    Per language the rows of least hash of the key, at most ROWS_PER_LANGUAGE; texts over TRAIN_CHARS or
-    without a letter are not chosen. Of more than LANGUAGES languages the most frequent are learnt.
+    Per language those of least hash of key and text, equal rows once: ROWS_PER_LANGUAGE, or fewer where there
+    are so many languages that SAMPLE_ROWS would be exceeded, one at least. Of a chosen text the first
+    TRAIN_CHARS characters are learnt from; texts without a letter are not chosen. Of more than LANGUAGES
+    languages the most frequent are learnt. What is ranked are hashes, of which each task passes on only the
+    least; the texts are fetched for the chosen ones.
     """
     fold = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1, F.lit(True))
-    usable = docs.where(
-        F.col(lang).isNotNull() & fold & (F.length(text) <= TRAIN_CHARS) & F.col(text).rlike(r"\p{L}")
-    )
-    rows = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("at"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    known = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    # A share of the hash range that holds about twice the wanted rows of each language, then the least.
-    span = {r.lang: min(1.0, 2.0 * ROWS_PER_LANGUAGE / r.n) for r in known}
-    limit = F.lit(None).cast("long")
-    for name, share in span.items():
-        limit = F.when(F.col("lang") == name, F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).otherwise(limit)
-    near = rows.where(F.col("at") <= limit).collect()
-    out = []
-    for name in sorted(span):
-        own = sorted((r for r in near if r.lang == name), key=lambda r: (r.at, r.text))
-        out += own[:ROWS_PER_LANGUAGE]
-    return out
+    usable = docs.where(F.col(lang).isNotNull() & fold & F.col(text).rlike(r"\p{L}"))
+    rows = usable.select(
+        F.col(lang).alias("lang"), F.xxhash64(key, text).alias("at"), F.xxhash64(F.lit(1), key, text).alias("also"),
+        F.substring(text, 1, TRAIN_CHARS).alias("text"),
+    )
+    hashes = rows.select("lang", "at", "also")
+    counts = hashes.groupBy("lang").agg(F.count("*").alias("n"))
+    known = [r.lang for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    most = max(1, min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // max(len(known), 1)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "also"))
+    least = hashes.where(F.col("lang").isin(known)).distinct().withColumn("place", place).where(F.col("place") <= most)
+    chosen = F.broadcast(least.drop("place"))  # at most SAMPLE_ROWS or LANGUAGES rows of hashes
+    held = rows.join(chosen, ["lang", "at", "also"]).groupBy("lang", "at", "also").agg(F.min("text").alias("text"))
+    return sorted(held.collect(), key=lambda r: (r.lang, r.at, r.also))
 
 
 def language_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:

@@ -8,6 +8,7 @@ import io
 import itertools
 import pickle
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -19,7 +20,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from faultloom.llm import byte_bpe, decontaminate, embedding_dedup, hnsw, suffix_dedup, toxicity, warc
+from faultloom.llm import byte_bpe, decontaminate, embedding_dedup, hnsw, language_id, suffix_dedup, toxicity, warc
 from faultloom.llm.embedding_dedup import embedding_groups
 from faultloom.llm.html_text import extract_text, main_text
 from faultloom.llm.language_id import languages
@@ -287,6 +288,20 @@ def test_contamination(spark):
     assert decontaminate.contamination(documents(spark, docs).limit(0), bench).count() == 0
 
 
+def test_contamination_of_long_repetitive_texts(spark):
+    """Work grows with the text, not with its square: every word is a candidate."""
+    items = [(1, "same " * 14), (2, "same other"), (3, "x y z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    spent = []
+    for n in (5_000, 40_000):
+        rows = [(1, "same " * n), (2, "same other " * n), (3, None)]
+        start = time.time()
+        got = decontaminate.contamination(documents(spark, rows), bench).collect()
+        spent.append(time.time() - start)
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in got} == {1: (n, n, 1), 2: (2 * n, 2 * n, 1), 3: (0, 0, 0)}
+    assert spent[1] < 40
+
+
 # 5 suffixes
 
 
@@ -467,6 +482,38 @@ def test_languages(spark):
     assert languages(df.limit(0)).count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """300 languages, a third of all rows under one key, a language of long texts only."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 900)
+    rnd = random.Random(8)
+    letters = [chr(0x400 + i) for i in range(300)]
+    rows = [(k, f"{letters[k % 300]}{letters[(k * 7) % 300]} " * rnd.randint(2, 6), f"l{k % 300}") for k in range(1800)]
+    rows += [(5, "hot row", "l0")] * 900 + [(2000 + k, "ω ψ " * 4000, "long") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sample = language_id.training_rows(docs, "doc_id", "text", "lang")
+    seen = Counter(r.lang for r in sample)
+    assert len(seen) == 301 and max(seen.values()) == 2 and len(sample) <= 900
+    assert max(len(r.text) for r in sample) == language_id.TRAIN_CHARS
+    assert sample == language_id.training_rows(docs.repartition(5), "doc_id", "text", "lang")
+    got = {r.doc_id: r.lang_pred for r in languages(docs).collect()}
+    assert all(got[2000 + k] == "long" for k in range(9))
+
+
+def test_language_scores_in_batches_equal_a_plain_model():
+    """Kernel values and the arg max of each text by itself, with sets of n-grams in place of matrices."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcd é"[: 3 + k % 4]) for _ in range(rnd.randint(1, 90))) for k in range(150)]
+    model = language_id.fit(texts[:100], [f"l{k % 4}" for k in range(100)])
+    for text, (lang, score) in zip(texts, model.predict(texts)):
+        own = sorted(set(np.flatnonzero(language_id.presence([text])[0]).tolist()))
+        kernel = [sum(mark[own]) / max(len(own), 1) ** 0.5 for mark in model.landmarks]
+        values = model.offset + np.array(kernel) @ model.weights
+        best = int(values.argmax())
+        chance = np.exp(4 * (values - values.max()))
+        assert abs(score - chance[best] / chance.sum()) < 1e-3
+        assert lang == model.languages[best] or np.sort(values)[-1] - np.sort(values)[-2] < 1e-3
+
+
 # 9 pages
 
 
