@@ -250,7 +250,7 @@ def rename_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rename_join_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mappings of far more pairs than their documents name; one has a third of all pairs."""
     texts = documents(spark, sf_dir).select("doc_id", "text")
-    return renaming.rename_by_proposals(texts, view(spark, sf_dir, "long_mappings"))
+    return renaming.rename_by_proposals(texts, view(spark, sf_dir, "long_mappings", "doc_id"))
 
 
 def rename_corpus_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
