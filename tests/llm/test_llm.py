@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import io
 import itertools
 import pickle
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -20,7 +22,7 @@ import tiktoken
 import zstandard
 from pyspark.sql import functions as F
 
-from faultloom.llm import byte_bpe, decontaminate, embedding_dedup, hnsw, language_id, suffix_dedup, toxicity, warc
+from faultloom.llm import byte_bpe, decontaminate, embedding_dedup, hnsw, html_text, language_id, suffix_dedup, toxicity, warc
 from faultloom.llm.bytehash import mix
 from faultloom.llm.embedding_dedup import embedding_groups
 from faultloom.llm.html_text import extract_text, main_text
@@ -606,6 +608,27 @@ PAGES = {
 }
 
 
+def article_text(page):
+    """The text of a page's article element by patterns; these pages have no furniture inside it."""
+    body = re.search(r"<article[^>]*>(.*?)</article>", page, re.S).group(1)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+
+
+def test_pages_equal_their_article_and_ratios_decide_without_marks(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [article_text(p) for p in pages]
+    assert [main_text(p) for p in pages] == want
+    # No element, class or id tells the article from menus and footers: only lines and their ratios do.
+    bare = [re.sub(r"<(/?)(article|nav|footer|header|aside)\b[^>]*>", r"<\1div>", p) for p in pages]
+    bare = [re.sub(r'<(\w+) (?:class|id)="[^"]*">', r"<\1>", p) for p in bare]
+    got = [main_text(p) for p in bare]
+    assert all(w in g for w, g in zip(want, got))
+    assert np.mean([w == g for w, g in zip(want, got)]) > 0.75
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smooth", lambda values, sigma=0: rng.random(len(values)))
+    assert np.mean([w == main_text(p) for w, p in zip(want, bare)]) < 0.05
+
+
 def test_html_text(spark):
     for html, text in PAGES.items():
         assert main_text(html) == text
