@@ -70,21 +70,26 @@ def item_windows(benchmark: DataFrame, item: str, text: str, window: int, shingl
     return source.mapInArrow(run, schema)
 
 
-def bitmap(shingles: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes ``h``; at most BITMAP_BITS / 64 rows reach the driver."""
-    at = F.col("h").bitwiseAND(BITMAP_BITS - 1)
+def bitmap(shingles: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of the hashes ``h``; at most ``bits`` / 64 numbers reach the driver."""
+    at = F.col("h").bitwiseAND(bits - 1)
     rows = (
         shingles.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("slot"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
-        .collect()
+        .toArrow()
     )
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
-    for row in rows:
-        out[row.slot] = np.int64(row.bits).view(np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def nominated(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of a bitmap."""
+    slot = hashes & np.uint64(64 * len(bits) - 1)
+    return ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 REGION = "array<struct<first: int, words: string, at: int, h: long>>"
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import buffer_of, every, mix, spans, sums
-from .decontaminate import BITMAP_BITS, bitmap
+from .decontaminate import BITMAP_BITS, bitmap, nominated
 from .shared import Scratch
 
 GRAM = 16
@@ -162,9 +162,14 @@ def repeated_hashes(texts: DataFrame, law: Law) -> DataFrame:
     return found.where("n > 1").select("lone", "x", "z", (F.col("a") != F.col("b")).alias("several"))
 
 
-def _nominated(bits, hashes):
-    slot = hashes & np.uint64(BITMAP_BITS - 1)
-    return ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+#: Bits of the largest bitmap that tasks receive, 16 MB; over 16 million hashes it lets more of the others pass.
+MOST_BITS = 1 << 27
+
+
+def sized_bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes ``h`` with eight bits or more for each of them, up to ``MOST_BITS``."""
+    wanted = max(8 * hashes.count(), BITMAP_BITS)
+    return bitmap(hashes, min(1 << (wanted - 1).bit_length(), MOST_BITS))
 
 
 def occurrences(texts: DataFrame, often: DataFrame, law: Law) -> DataFrame:
@@ -173,8 +178,8 @@ def occurrences(texts: DataFrame, often: DataFrame, law: Law) -> DataFrame:
     For lone starts ``low`` to ``high`` are starts that repeat; those that repeat within their text are sure
     and need no partner in the join.
     """
-    cores = bitmap(often.where("not lone").select(F.col("x").alias("h")))
-    strings = bitmap(often.where("lone").select(F.col("x").alias("h")))
+    cores = sized_bitmap(often.where("not lone").select(F.col("x").alias("h")))
+    strings = sized_bitmap(often.where("lone").select(F.col("x").alias("h")))
 
     def run(batches):
         def parts():
@@ -183,7 +188,7 @@ def occurrences(texts: DataFrame, often: DataFrame, law: Law) -> DataFrame:
                 for row, data in _texts(batch, 0, law):
                     low, high, place, lone, prefix = units(data, law)
                     core, unit = unit_hashes(prefix, low, high, place, law)
-                    hit = _nominated(cores, core)
+                    hit = nominated(cores, core)
                     size = int(hit.sum())
                     none = np.zeros(size, np.int64)
                     of_units = (_as_long(core[hit]), none, low[hit], high[hit], place[hit], _as_long(unit[hit]), none != 0)
@@ -191,7 +196,7 @@ def occurrences(texts: DataFrame, often: DataFrame, law: Law) -> DataFrame:
                     own = np.sort(lone[times > 1])
                     first = np.flatnonzero(np.diff(own, prepend=-2) != 1)
                     last = np.append(first[1:] - 1, len(own) - 1)[: len(first)]
-                    ask = _nominated(strings, h1) & (times == 1)
+                    ask = nominated(strings, h1) & (times == 1)
                     count = len(first) + int(ask.sum())
                     # The keys of sure rows only spread them over the join.
                     x = np.concatenate([own[first] ^ ids[0][row], _as_long(h1[ask])])
@@ -426,7 +431,7 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame, law: Law) -> DataFrame:
     kinds = scratch.table(kinds)
     several = kinds.where("several").select("core", "unit", "example.*")
     many = several.groupBy("core").agg(F.count("*").alias("kinds")).where(f"kinds > {KINDS}").select("core")
-    chosen = bitmap(several.select(F.col("t1").alias("h")))
+    chosen = sized_bitmap(several.select(F.col("t1").alias("h")))
     held = contents(texts.where(_may(chosen)("t1")), several, law)
     held = scratch.table(held.select(F.monotonically_increasing_id().alias("id"), "*"), replaces=often)
     runs = sorted_runs(scratch, held.join(many, "core", "left_anti"), law)
@@ -450,8 +455,7 @@ def _may(bits: np.ndarray):
 
     @F.pandas_udf("boolean")
     def hit(values: pd.Series) -> pd.Series:
-        slot = values.to_numpy(np.int64).view(np.uint64) & np.uint64(BITMAP_BITS - 1)
-        return pd.Series(((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool))
+        return pd.Series(nominated(bits, values.to_numpy(np.int64).view(np.uint64)))
 
     return hit
 
@@ -473,7 +477,7 @@ def _cut(docs: DataFrame, text: str, keep: list, result, schema: str, law: Law):
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, body.alias("text")).select("*", *text_id())
     ranges = scratch.table(repeated_ranges(scratch, rows.select("text", "t1", "t2"), law))
-    may = _may(bitmap(ranges.select(F.col("t1").alias("h"))))
+    may = _may(sized_bitmap(ranges.select(F.col("t1").alias("h"))))
     names = [f for f in rows.schema.fieldNames() if f not in ("t1", "t2", "text")]
     with_ranges = rows.where(may("t1")).join(ranges, ["t1", "t2"], "left").select(*names, "text", "ranges")
     kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
