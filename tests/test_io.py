@@ -78,7 +78,7 @@ def csv_texts(n):
     ]
 
 
-@pytest.mark.parametrize("split", ["300", "2500", "128m"])
+@pytest.mark.parametrize("split", ["900", "2500", "128m"])
 def test_csv_files_are_read_by_many_tasks(spark, tmp_path, split):
     """Line ends in quotes at every border of a split, some records longer than several splits."""
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(csv_texts(300), csv_texts(301)[1:]))]
