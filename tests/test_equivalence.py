@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from faultloom.operators.equivalence import dataset_equivalence, rename_verdicts
 
@@ -66,3 +68,27 @@ def test_datasets(spark):
         dataset_equivalence(gold, gold.withColumn("a", gold.a.cast("long")))
     with pytest.raises(ValueError, match="different columns"):
         dataset_equivalence(gold, gold.drop("b"))
+
+
+def verdict_by_id(spark, rows):
+    return dict(rename_verdicts(spark.createDataFrame(rows, "pair_id int, gold string, gate string")).collect())
+
+
+def test_long_texts_of_many_names(spark):
+    gold = "".join(f"wire sig_{i} = {i};\n" for i in range(20_000))
+    rows = [(1, gold, gold.replace("sig_", "s")), (2, gold, gold.replace("sig_7 ", "sig_8 ")), (3, gold, gold.replace(" 7;", " 8;"))]
+    start = time.time()
+    assert verdict_by_id(spark, rows) == {1: 0, 2: 1, 3: 1}
+    assert time.time() - start < 30
+
+
+def test_aligned_tokens_are_told_apart_whatever_they_hold(spark):
+    rows = [
+        (1, 'a "1 x" b', 'c "1 x" d'),
+        (2, 'a "1 x" 1', 'c "1 x" 2'),
+        (3, "x1 1 x", "x 1 1x"),
+        (4, "a\x00b\x1ca", "c\x00d\x1cc"),
+        (5, "a \U0001f600 b", "c \U0001f600 d"),
+        (6, "a \U0001f600 b", "c \U0001f601 d"),
+    ]
+    assert verdict_by_id(spark, rows) == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 6: 1}
