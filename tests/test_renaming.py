@@ -1,11 +1,14 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from faultloom.functions.words import DECLARATION_KEYWORDS, KEYWORDS, RESERVED, is_candidate
 from faultloom.operators.renaming import (
     exclude_words,
     judge_mapping_table,
+    make_renamer,
     reason_counts,
     rename_by_proposals,
     rename_by_table,
@@ -232,3 +235,24 @@ def test_exclude_words(spark):
     names = spark.createDataFrame([("a",), ("wire",)], "name string")
     words = spark.createDataFrame([("wire",), ("wire",)], "name string")
     assert [r.name for r in exclude_words(names, words).collect()] == ["a"]
+
+
+def test_renaming_kernel_holds_some_rows_as_objects_at_once():
+    rows = 10_000
+    texts = pa.array([f"wire sig_{i} = other;" + "x" * 2_000 for i in range(rows)])
+    olds, news = pa.array([[f"sig_{i}", "other"] for i in range(rows)]), pa.array([["a", "b"]] * rows)
+    tracemalloc.start()
+    out = make_renamer()(texts, olds, news)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[rows - 1].as_py().startswith("wire a = b;x") and len(out) == rows
+    assert peak < 4_000_000  # the texts take 20 MB, as objects of Python once more and again for the result
+
+
+def test_renaming_kernel_null_and_empty_rows():
+    texts = pa.array(["a b", None, "a b", "a b", ""])
+    olds, news = pa.array([["a"], ["a"], None, [], ["a"]]), pa.array([["b"], ["b"], None, [], ["b"]])
+    assert make_renamer()(texts, olds, news).to_pylist() == ["b b", None, "a b", "a b", ""]
+    assert make_renamer()(texts[:0], olds[:0], news[:0]).to_pylist() == []
+    # A gap is never a name, also where a mapping lists it.
+    assert make_renamer()(pa.array(["a a"]), pa.array([[" ", "a"]]), pa.array([["-", "c"]])).to_pylist() == ["c c"]
