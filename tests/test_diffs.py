@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
-from faultloom.operators.diffs import EXACT, NORMALIZED, chunk_table, opcode_table
+from faultloom.operators.diffs import EXACT, NORMALIZED, chunk_table, make_run_kernel, opcode_table
 from faultloom.operators.matching import make_run_finder
 
 DECODER = """
@@ -170,3 +172,22 @@ def test_repeated_lines_stay_fast(heuristic):
         b[rng.randrange(len(b))] = "changed"
     runs = make_run_finder(heuristic)(a, b)
     assert 20 <= len(runs) <= 60 and all(a[i : i + n] == b[j : j + n] for i, j, n in runs)
+
+
+def test_run_kernel_makes_no_line_an_object():
+    old = pa.array([[f"line {i} {k} " + "x" * 60 for k in range(30)] for i in range(5_000)])
+    new = pa.array([[f"line {i} {k + (k == 3)} " + "x" * 60 for k in range(30)] for i in range(5_000)])
+    tracemalloc.start()
+    out = make_run_kernel(False)(old, new)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0].as_py() == [0, 0, 3, 4, 4, 26] and len(out) == 5_000
+    assert peak < 4_000_000  # the lines take 20 MB, as objects of Python 40
+
+
+def test_run_kernel_null_empty_and_sliced_rows():
+    old = pa.array([["x"], None, ["a", None, "b"], [], ["a"], ["a", "b"]])
+    new = pa.array([["y"], ["a"], ["a", None, "c"], [], None, ["b"]])
+    assert make_run_kernel(False)(old, new).to_pylist() == [[], None, [0, 0, 2], [], None, [1, 0, 1]]
+    assert make_run_kernel(True)(old[2:], new[2:]).to_pylist() == [[0, 0, 2], [], None, [1, 0, 1]]
+    assert make_run_kernel(True)(old[:0], new[:0]).to_pylist() == []
