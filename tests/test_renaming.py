@@ -1,9 +1,12 @@
 import random
 import re
+import time
 import tracemalloc
 
 import pyarrow as pa
 import pytest
+from faultloom.catalog.queries import long_mappings
+from faultloom.catalog.views import VIEWS
 from faultloom.functions.words import DECLARATION_KEYWORDS, KEYWORDS, RESERVED, is_candidate
 from faultloom.operators.renaming import (
     exclude_words,
@@ -256,3 +259,18 @@ def test_renaming_kernel_null_and_empty_rows():
     assert make_renamer()(texts[:0], olds[:0], news[:0]).to_pylist() == []
     # A gap is never a name, also where a mapping lists it.
     assert make_renamer()(pa.array(["a a"]), pa.array([[" ", "a"]]), pa.array([["-", "c"]])).to_pylist() == ["c c"]
+
+
+def test_long_mappings_are_those_of_the_view(spark):
+    texts = ["", None, "one", " lead  two ", "é\nb c", " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(41))]
+    texts += [" ".join(f"w{i}" for i in range(100)), " " * 45, "x" * 50 + " ", " ".join(["a"] * 39) + " "]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "again"), (None, "a b")], "doc_id long, text string")
+    plain = spark.sql(VIEWS["long_mappings"][0], documents=docs)
+    assert sorted(map(str, long_mappings(docs).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_long_mappings_of_long_texts(spark):
+    docs = spark.range(16).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 600_000).alias("text"))
+    start = time.time()
+    assert long_mappings(docs).agg(F.count("old_name"), F.count("new_name")).first() == (960, 960)
+    assert time.time() - start < 10
