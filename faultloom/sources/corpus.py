@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import with_suffix_prefix
-from .scratch import arrow_uri
+from ..sizing import balance
+from .scratch import arrow_uri, file_system
 from .tables import current_version, new_version, publish
 
 # Fixed value: the files that make up a corpus.
@@ -24,70 +26,88 @@ def scan_corpus(
     """One row per source file below ``root``: ``path, content, valid_utf8``.
 
     ``path`` is relative to the root. Line ends become ``\\n``. Files that are not valid UTF-8 are
-    flagged, not dropped. Spark's own listing leaves out empty files and names starting with ``_`` or
-    ``.``; ``complete`` adds them, for which Arrow must be able to open the file system.
+    flagged, not dropped. With ``complete`` tasks list the tree and read its files, for which Arrow must be
+    able to open the file system; they do so whenever the result is computed. Without it Spark's own listing
+    is used, which leaves out empty files and names starting with ``_`` or ``.`` and keeps an entry for every
+    file in the driver.
     """
+    raw = _tree_by_tasks(spark, root, suffixes) if complete else _tree_by_listing(spark, root, suffixes)
+    return raw.select(
+        "path",
+        F.regexp_replace("value", "\r\n?", "\n").alias("content"),
+        F.is_valid_utf8("value").alias("valid_utf8"),
+    )
+
+
+def _tree_by_listing(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """``path, value`` of the files that Spark's own listing finds."""
     root_path = _path_part(_qualified(spark, root)).rstrip("/") + "/"
     file = F.regexp_replace(_decoded(F.col("_metadata.file_path")), _SCHEME, "")
-    raw = (
+    return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*{" + ",".join(suffixes) + "}")
         .text(root, wholetext=True)
         .select(F.substring(file, F.lit(len(root_path) + 1), F.length(file)).alias("path"), "value")
     )
-    if complete:
-        raw = raw.unionByName(_files_left_out(spark, root, suffixes))
-    return raw.select(
-        "path",
-        F.regexp_replace("value", "\r\n?", "\n").alias("content"),
-        F.is_valid_utf8("value").alias("valid_utf8"),
-    )
 
 
-def _files_left_out(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, value`` of the files that Spark's listing skips.
+#: Files, and bytes of them, that a reading task puts into one batch of rows.
+BATCH_FILES, BATCH_BYTES = 1_000, 4_000_000
+
+
+def _tree_by_tasks(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """``path, value`` of all files below ``root``; no list of them passes the driver.
 
-    The driver only opens directories until there are enough of them to go round; the tasks list the
-    rest. What they found is dealt out anew, file by file, before it is read, so a directory that holds
+    One task opens the root, the tasks then open the folders of the first level one by one, and those of the
+    second with all that is below. After each step what was found is dealt out anew, so a folder that holds
     most of the files is listed by one task but read by all.
     """
+    files, place = file_system(spark, root)
+    if not files.exists(place):
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {_qualified(spark, root)}")
     uri = arrow_uri(_qualified(spark, root))
     uri = _path_part(uri) if uri.startswith("file:") else uri
-    system, base = fs.FileSystem.from_uri(uri)
+    base = fs.FileSystem.from_uri(uri)[1]
+    batch_files, batch_bytes = BATCH_FILES, BATCH_BYTES
 
-    def skipped(info):
-        parts = info.path[len(base) :].strip("/").split("/")
-        hidden = any(p.startswith(".") or (p.startswith("_") and "=" not in p) for p in parts)
-        return info.is_file and info.path.endswith(suffixes) and (hidden or info.size == 0)
+    def opened(recursive: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyarrow import fs as arrow_fs
 
-    wanted = 4 * spark.sparkContext.defaultParallelism
-    names, folders = [], [base]
-    while folders and len(folders) < wanted:
-        inside = [info for folder in folders for info in system.get_file_info(fs.FileSelector(folder))]
-        names += [info.path for info in inside if skipped(info)]
-        folders = [info.path for info in inside if not info.is_file]
+            system, _ = arrow_fs.FileSystem.from_uri(uri)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as arrow_fs
+            def below(folder):
+                for info in system.get_file_info(arrow_fs.FileSelector(folder, recursive=recursive)):
+                    is_folder = info.type == arrow_fs.FileType.Directory
+                    if (is_folder and not recursive) or (info.is_file and info.path.endswith(suffixes)):
+                        yield info.path, is_folder
 
-        files, _ = arrow_fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for place, is_folder in zip(batch["place"], batch["is_folder"]):
-                where = arrow_fs.FileSelector(place, recursive=True) if is_folder else [place]
-                yield pd.DataFrame({"file": [i.path for i in files.get_file_info(where) if skipped(i)]}, dtype=object)
+            for batch in batches:
+                for place, is_folder in zip(batch["place"], batch["is_folder"]):
+                    yield pd.DataFrame(below(place) if is_folder else [(place, False)], columns=["place", "is_folder"])
+
+        return run
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
 
-        files, _ = arrow_fs.FileSystem.from_uri(uri)
+        system, _ = arrow_fs.FileSystem.from_uri(uri)
+        held, size = [], 0
         for batch in batches:
-            for file in batch["file"]:
-                with files.open_input_stream(file) as stream:
-                    yield pd.DataFrame({"path": [file[len(base) :].strip("/")], "value": [stream.read()]})
-
-    places = [(f, True) for f in folders] + [(n, False) for n in names]
-    listed = spark.createDataFrame(places, "place string, is_folder boolean").repartition(wanted, "place")
-    found = listed.mapInPandas(find, "file string").repartition("file")
+            for file in batch["place"]:
+                with system.open_input_stream(file) as stream:
+                    held.append((file[len(base) :].strip("/"), stream.read()))
+                size += len(held[-1][1])
+                if size >= batch_bytes or len(held) >= batch_files:
+                    yield pd.DataFrame(held, columns=["path", "value"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", "value"])
+
+    kinds = "place string, is_folder boolean"
+    found = spark.createDataFrame([(base, True)], kinds)
+    for recursive in (False, False, True):
+        found = balance(found.mapInPandas(opened(recursive), kinds), "place")
     return found.mapInPandas(read, "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
 
 

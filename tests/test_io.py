@@ -17,6 +17,7 @@ from faultloom.sources.log import append_log, read_log
 from faultloom.sources.scratch import arrow_uri, shared_dir
 from faultloom.sources.tables import analysis_dir, current_version, path_suffix, read_table, write_csv, write_three_ways
 from faultloom.streaming.live import follow_log
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 AWKWARD = [
@@ -299,3 +300,20 @@ def test_follow_log(spark, responses, tmp_path):
     rows = {(r[0], r[1]): (r[2], r[3]) for r in spark.read.parquet(out).collect()}
     assert sum(n for n, _ in rows.values()) == 4
     assert rows["contains_bug", "contains_bug"] == (2, 50.0)
+
+
+def test_scan_corpus_keeps_no_list_of_files_in_the_driver(spark, tmp_path):
+    names = ["top.v", ".hidden.sv", "a/one.v", "a/b/two.sv", "a/b/c/d/three.v", "a/.deep/four.v", "_x/five.sv", "a/b/note.txt", "e/empty.v"]
+    names += [f"many/f{i}.sv" for i in range(300)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else f"{name}\r\n".encode())
+    (tmp_path / "nothing").mkdir()
+    scanned = scan_corpus(spark, str(tmp_path))
+    assert scanned.inputFiles() == []
+    rows = scanned.collect()
+    wanted = {n: "" if "empty" in n else n + "\n" for n in names if not n.endswith(".txt")}
+    assert {r.path: r.content for r in rows} == wanted and len(rows) == len(wanted)
+    assert scan_corpus(spark, str(tmp_path / "nothing")).collect() == []
+    with pytest.raises(AnalysisException):
+        scan_corpus(spark, str(tmp_path / "absent"))
