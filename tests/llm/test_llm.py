@@ -721,3 +721,36 @@ def test_vantage_trees_lose_no_pair(spark):
     frame = spark.createDataFrame([(i, int(np.int64(p.view(np.int64)))) for i, p in enumerate(points)], "key long, fp long")
     got = {r.first_key: r.component for r in fingerprint_classes(Scratch(spark, "t"), frame).collect()}
     assert got == want
+
+
+def test_cut_text_by_arrays_of_starts():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        raw, span = bytes(rng.integers(0, 256, 200, dtype=np.uint8)), 20
+        first = rng.integers(0, 170, rng.integers(0, 5))
+        last = first + rng.integers(0, 10, len(first))
+        gone = {at for a, b in zip(first.tolist(), last.tolist()) for at in range(a, b + span)}
+        runs = sum(at in gone and at - 1 not in gone for at in range(200))
+        assert suffix_dedup.cut_text(raw, (first, last), span) == (bytes(x for at, x in enumerate(raw) if at not in gone), runs)
+
+
+def test_texts_without_lone_starts_are_not_hashed_for_them(monkeypatch):
+    """Most texts have none; over a third of both readings of the texts went into them all the same."""
+    kernels, asked = [], []
+
+    class Texts:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, kinds):
+            kernels.append(run)
+            raise StopIteration
+
+    lone_windows = suffix_dedup._lone_windows
+    monkeypatch.setattr(suffix_dedup, "_lone_windows", lambda lone, *rest: asked.append(len(lone)) or lone_windows(lone, *rest))
+    with pytest.raises(StopIteration):
+        suffix_dedup.repeated_hashes(Texts(), suffix_dedup.LONG)
+    rng = np.random.default_rng(5)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 1_500))) for _ in range(200)])
+    rows = pa.Table.from_batches(kernels[0](iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert rows.num_rows > 200 * 20 and asked and min(asked) > 0
