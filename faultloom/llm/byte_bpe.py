@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import pyarrow as pa
 import regex
@@ -22,7 +23,7 @@ from .shared import Scratch
 
 CHUNK = 65_536
 OVERLAP = 512
-MEMO_PIECES = 300_000
+MEMO_PIECES = 150_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -32,10 +33,10 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of pieces by rank merges, and what they read and decode as, remembered for recent pieces.
+    """Ids of pieces by rank merges, remembered for recent pieces as four bytes each.
 
     The memo has two generations of bounded size: a full one becomes the old one, and pieces still in use
-    move over.
+    move over. It holds bytes alone, no objects per piece but a key and a value: each task has one.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -43,29 +44,31 @@ class Encoder:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.decimals = [str(i) for i in range(len(self.tokens))]
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         known = self.ranks.get(raw)
         return (known,) if known is not None else self.merged(raw)
 
-    def remember(self, piece: str) -> tuple[int, str, bytes]:
-        """The number of ids, the ids in decimal joined by spaces, and the bytes they decode to."""
+    def remember(self, piece: str) -> bytes:
+        """The piece's ids, four bytes each."""
         entry = self.old.get(piece)
         if entry is None:
-            ids = self.ids(piece)
-            entry = (len(ids), " ".join(map(str, ids)), decode(ids, self.tokens))
+            entry = array("I", self.ids(piece)).tobytes()
         if len(piece) <= 64:
             if len(self.memo) >= MEMO_PIECES:
                 self.old, self.memo = self.memo, {}
             self.memo[piece] = entry
         return entry
 
-    def entries(self, pieces: list[str]) -> list[tuple[int, str, bytes]]:
+    def encode(self, pieces: list[str]) -> tuple[int, bytes, bytes]:
+        """The number of ids, the ids in decimal joined by spaces, and the bytes they decode to."""
         known, more = self.memo.get, self.remember
-        return [known(p) or more(p) for p in pieces]
+        ids = array("I", b"".join([known(p) or more(p) for p in pieces])).tolist()
+        return len(ids), " ".join(map(self.decimals.__getitem__, ids)).encode(), decode(ids, self.tokens)
 
     def merged(self, raw: bytes) -> tuple[int, ...]:
         """Merge the adjacent pair of least rank, leftmost first, until none is left."""
@@ -170,7 +173,7 @@ def encode_documents(
     def whole(batches):
         scan, encoder = regex.compile(pattern), Encoder(coder.value)
         for batch in batches:
-            out = [_digest(encoder.entries(scan.findall(t.as_py()))) for t in batch.column(1)]
+            out = [_digest(*encoder.encode(scan.findall(t.as_py()))) for t in batch.column(1)]
             yield _result(batch.column(0), out)
 
     def spans(batches):
@@ -181,8 +184,7 @@ def encode_documents(
             for no, start, last, part in zip(*(cols[c].to_pylist() for c in ("no", "start", "last", "text"))):
                 seen = chunk_view(scan, part, start, no == 0, last, chunk, overlap)
                 begin, end, pieces = seen
-                counts, ids, raws = zip(*encoder.entries(pieces)) if pieces else ((),) * 3
-                out.append((begin, end, sum(counts), " ".join(ids).encode(), b"".join(raws)))
+                out.append((begin, end, *encoder.encode(pieces)))
             begins, ends, counts, id_bytes, raws = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -252,9 +254,8 @@ def encode_documents(
     return short.unionByName(good).unionByName(again).withColumnRenamed("key", key)
 
 
-def _digest(entries) -> tuple[int, str, str]:
-    counts, ids, raws = zip(*entries) if entries else ((),) * 3
-    return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raws)).hexdigest()
+def _digest(count: int, ids: bytes, raw: bytes) -> tuple[int, str, str]:
+    return count, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
 
 def _result(keys, out):

@@ -33,7 +33,7 @@ RATE = 0.05
 DECAY = 0.1
 #: Empty words that every text is taken to have besides its own, so that a few words alone decide little.
 CALM = 8
-#: Words of a text that are scored at a time.
+#: Words whose n-grams are held at a time.
 PART_WORDS = 20_000
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -77,9 +77,14 @@ class Bags:
             ids.append(seen.astype(np.int32))
             weights.append((count / (len(words) + CALM)).astype(np.float32))
         self.rows, self.ids, self.weights = map(np.concatenate, (rows, ids, weights))
-        owner, buckets = grams(list(vocabulary))
-        self.sizes = np.bincount(owner, minlength=len(vocabulary))
-        self.grams = buckets[np.argsort(owner, kind="stable")].astype(np.int32)
+        words = list(vocabulary)
+        sizes, own = [], []
+        for at in range(0, max(1, len(words)), PART_WORDS):
+            part = words[at : at + PART_WORDS]
+            owner, buckets = grams(part)
+            sizes.append(np.bincount(owner, minlength=len(part)))
+            own.append(buckets[np.argsort(owner, kind="stable")].astype(np.int32))
+        self.sizes, self.grams = np.concatenate(sizes), np.concatenate(own)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.texts = len(rows)
 
@@ -90,10 +95,11 @@ class Bags:
     def restrict(self, known: np.ndarray) -> None:
         """Keep the known buckets only, renumbered; a word's mean still counts all its n-grams."""
         self.shares = 1.0 / np.maximum(self.sizes, 1)
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         held = known[self.grams]
-        self.grams = (np.cumsum(known) - 1)[self.grams[held]]
-        self.sizes = np.bincount(owner[held], minlength=len(self.sizes))
+        self.grams = (np.cumsum(known) - 1).astype(np.int32)[self.grams[held]]
+        before = np.zeros(len(held) + 1, np.int32)
+        np.cumsum(held, out=before[1:])
+        self.sizes = np.diff(before[self.starts]).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
 
     def select(self, chosen: np.ndarray):
@@ -105,7 +111,7 @@ class Bags:
         sizes = self.sizes[words]
         ends = np.cumsum(sizes)
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[words] - (ends - sizes), sizes)
-        return place[self.rows[held]], local, self.weights[held], self.grams[flat], sizes, self.shares[words]
+        return place[self.rows[held]], local, self.weights[held], self.grams[flat].astype(np.int64), sizes, self.shares[words]
 
 
 def train(texts, labels, seed: int = 7) -> tuple[np.ndarray, float]:

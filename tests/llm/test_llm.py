@@ -11,6 +11,7 @@ import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,6 +512,40 @@ def test_toxicity_learns_rare_words():
     assert found[toxic].mean() >= 0.75 and found[~toxic].mean() <= 0.1
 
 
+def most_held(work):
+    """What ``work`` returns and the bytes that it held at most, what it returns included."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def distinct_words(count):
+    return [hashlib.sha256(str(i).encode()).hexdigest()[:8] for i in range(count)]
+
+
+def test_toxicity_training_holds_ngrams_in_parts(monkeypatch):
+    """The n-grams of the whole vocabulary, as 64-bit numbers and several times over, took 25 bytes and more each."""
+    words = distinct_words(60_000)
+    texts = [" ".join(words[i::30]) for i in range(30)]
+    monkeypatch.setattr(toxicity, "PART_WORDS", 1_000)
+    bags, most = most_held(lambda: toxicity.Bags(texts))
+    spare = most_held(lambda: dict.fromkeys(distinct_words(60_000), 0))[1]
+    assert most - spare < 14 * len(bags.grams)
+    few = toxicity.Bags(texts[:3] + ["", "é 日"])
+    monkeypatch.setattr(toxicity, "PART_WORDS", 10**9)
+    whole = toxicity.Bags(texts[:3] + ["", "é 日"])
+    known = np.arange(toxicity.BUCKETS) % 3 > 0
+    for one in (few, whole):
+        one.restrict(known)
+    for name in ("rows", "ids", "weights", "sizes", "grams", "starts", "shares"):
+        assert np.array_equal(getattr(few, name), getattr(whole, name))
+    owner, buckets = toxicity.grams(list(dict.fromkeys(toxicity.words_of(" ".join(texts[:3] + ["é 日"])))))
+    assert np.array_equal(few.sizes, np.bincount(owner[known[buckets]], minlength=len(few.sizes)))
+    assert toxicity.Bags(["", None]).sizes.shape == (0,)
+
+
 # 7 BPE
 
 
@@ -536,6 +571,20 @@ def test_bpe_like_the_library(spark, chunk, overlap):
     assert byte_bpe.encode_documents(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_memo_is_small():
+    """Bytes of a remembered piece, its key and its share of the table included; a text of ids, digits and bytes took 330."""
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(None, RANKS))
+    words = distinct_words(20_000)
+
+    def remember():
+        for at in range(0, len(words), 100):
+            encoder.encode(words[at : at + 100])
+
+    _, most = most_held(remember)
+    assert len(encoder.memo) == len(words) and most / len(words) < 160
+    assert encoder.encode([]) == (0, b"", b"")
+
+
 # 8 languages
 
 
